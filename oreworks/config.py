@@ -99,6 +99,8 @@ class Settings:
     limits: Limits = field(default_factory=Limits)
     scale: Scale = field(default_factory=Scale)
     sources: tuple[SourceSpec, ...] = field(default_factory=default_sources)
+    # Which of several valid rows with one key counts as the first.
+    keep_first_by: tuple[str, ...] = ("_source_priority", "_source_file", "order_ts")
 
     def folder(self, table: str, *parts: str) -> str:
         return "/".join([self.root.rstrip("/"), C.FOLDERS[table], *parts])

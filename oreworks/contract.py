@@ -172,3 +172,25 @@ PUBLISHED_COLUMNS = {
     "dimension": "dimensao",
     "value": "valor",
 }
+
+# ---------------------------------------------------------------------------
+# Layout of the stored sales tables, under the names on disk
+# ---------------------------------------------------------------------------
+UNIFIED_SALES = (
+    "order_id string, customer_id string, product_id string, quantity int, unit_price double, "
+    "total_amount double, order_date date, order_ts timestamp, payment_method string, shipping_city string, "
+    "shipping_state string, status string, _source string, _source_file string, _ingestion_ts timestamp, "
+    "_batch_id string, _data_ref date"
+)
+STORED_LAYOUTS = {
+    "silver_sales": UNIFIED_SALES + ", category_id string, _silver_ts timestamp, ano_mes string",
+    "quarantine": UNIFIED_SALES
+    + ", _motivos array<string>, _motivo_principal string, _dimensao string, _quarentena_ts timestamp",
+}
+
+# ---------------------------------------------------------------------------
+# What the checks expect, as text
+# ---------------------------------------------------------------------------
+EXPECT_CONSERVATION = "bronze == silver + quarentena"
+EXPECT_COMPLETENESS = "0 nulos em campos obrigatórios"
+EXPECT_INTEGRITY = "0 vendas com cliente fora do cadastro"

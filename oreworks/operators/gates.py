@@ -95,12 +95,12 @@ def silver_checks(measured: DataFrame, d: Domains, limits: Limits) -> DataFrame:
         [
             Check(
                 C.CHECK_CONSERVATION, C.CONSERVATION, n("bronze") == n("silver") + n("quarantine"),
-                F.to_json(F.struct("bronze", "silver", "quarantine")), F.lit("bronze == silver + quarantine"),
+                F.to_json(F.struct("bronze", "silver", "quarantine")), F.lit(C.EXPECT_CONSERVATION),
             ),
-            Check(C.CHECK_COMPLETENESS, C.COMPLETENESS, total_empty == 0, F.to_json(per_field), F.lit("0")),
+            Check(C.CHECK_COMPLETENESS, C.COMPLETENESS, total_empty == 0, F.to_json(per_field), F.lit(C.EXPECT_COMPLETENESS)),
             Check(C.CHECK_UNIQUENESS, C.UNIQUENESS, duplicates == 0, duplicates, F.lit(0)),
             Check(C.CHECK_DOMAIN, C.DOMAIN, n("outside_domain") == 0, n("outside_domain"), F.lit(0)),
-            Check(C.CHECK_INTEGRITY, C.INTEGRITY, n("orphans") == 0, n("orphans"), F.lit(0)),
+            Check(C.CHECK_INTEGRITY, C.INTEGRITY, n("orphans") == 0, n("orphans"), F.lit(C.EXPECT_INTEGRITY)),
             Check(
                 C.CHECK_QUARANTINE_RATE, C.MONITORING, rate <= limits.quarantine_rate_max,
                 F.round(rate, 4), F.lit(f"<= {limits.quarantine_rate_max}"),

@@ -105,3 +105,12 @@ def failed_rules(rules: Sequence[Rule]) -> Column:
 
 def with_reasons(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return df.withColumn("_reasons", failed_rules(rules))
+
+
+def failure_counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(rule, failures) for each rule on its own, from one pass."""
+    counted = df.agg(*[F.count_if(~r.passes).alias(r.name.replace(".", "__")) for r in rules])
+    pairs = [
+        F.struct(F.lit(r.name).alias("rule"), F.col(r.name.replace(".", "__")).alias("failures")) for r in rules
+    ]
+    return counted.select(F.inline(F.array(*pairs)))

@@ -15,6 +15,12 @@ def publish_names(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(C.PUBLISHED_COLUMNS)
 
 
+def in_layout(df: DataFrame, table: str) -> DataFrame:
+    """A sales table under its names on disk, with the columns of its layout in order."""
+    names = [field.strip().split(" ")[0] for field in C.STORED_LAYOUTS[table].split(", ")]
+    return publish_names(df).select(*names)
+
+
 def overwrite(df: DataFrame, path: str) -> None:
     """Replace the table; a rerun never adds rows twice."""
     df.write.mode("overwrite").parquet(path)

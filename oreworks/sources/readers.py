@@ -87,8 +87,13 @@ def read_layer(
     table: str,
     months: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """A stored layer under this library's column names; ``months`` prunes partitions."""
-    df = adopt_names(spark.read.parquet(settings.folder(table)))
+    """A stored layer under this library's column names; ``months`` prunes partitions.
+
+    Sales tables are read by their declared layout, so an empty one is a table too.
+    """
+    layout = C.STORED_LAYOUTS.get(table)
+    reader = spark.read.schema(layout) if layout else spark.read
+    df = adopt_names(reader.parquet(settings.folder(table)))
     if months is not None:
         df = df.filter(F.col("year_month").between(*months))
     return df
