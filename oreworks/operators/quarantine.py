@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from oreworks import contract as C
 from oreworks.config import Scale
 from oreworks.operators import lookups
-from oreworks.operators.rules import KNOWN, Rule, passes_all, with_reasons
+from oreworks.operators.rules import FAILED, KNOWN, Rule, evaluate, failed_names
 
 ROW_ID = "_row_id"
 ORDER = ("_source_priority", "_source_file", "order_ts")
@@ -31,7 +31,9 @@ SKETCH_COUNTERS = 8192
 # Rows that need no numbering are spread over this many lanes.
 LANES = 4096
 
-_WORKING = ("_occurrence", KNOWN, "_source_priority", ROW_ID)
+REPEAT = "_repeat"
+
+_WORKING = (FAILED, REPEAT, "_occurrence", KNOWN, "_source_priority", ROW_ID)
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
@@ -71,10 +73,9 @@ def number_occurrences(
     """
     order = F.struct(*[F.col(c) for c in order_by], F.col(ROW_ID).alias("id"))
     firsts = (
-        df.filter(eligible)
-        .join(F.broadcast(hot), key, "left_semi")
+        df.join(F.broadcast(hot), key, "left_semi")
         .groupBy(key)
-        .agg(F.min(order)["id"].alias("_first_id"))
+        .agg(F.min(F.when(eligible, order))["id"].alias("_first_id"))
     )
     # both broadcasts hold at most HOT_KEYS rows
     lined_up = (
@@ -91,10 +92,10 @@ def number_occurrences(
     return lined_up.withColumn("_occurrence", occurrence.cast("int")).drop("_first_id", "_lane_key", "_lane")
 
 
-def quarantine_repeats(df: DataFrame, repeat: Column) -> DataFrame:
-    """Give repeated rows their single reason; other rows keep theirs."""
-    reason = F.array(F.lit(C.RULE_UNIQUENESS))
-    return df.withColumn("_reasons", F.when(repeat, reason).otherwise(F.col("_reasons")))
+def conclude(df: DataFrame, rules: Sequence[Rule], repeat: Column) -> DataFrame:
+    """Final ``_reasons``: those of the rules, or repetition alone for a repeated row."""
+    names = F.when(F.col(REPEAT), F.array(F.lit(C.RULE_UNIQUENESS))).otherwise(failed_names(rules))
+    return df.withColumn(REPEAT, repeat).withColumn("_reasons", names)
 
 
 def judge(
@@ -114,19 +115,24 @@ def judge(
     rows = with_row_id(sales)
     if "_source_priority" in order_by and "_source_priority" not in rows.columns:
         rows = rows.withColumn("_source_priority", F.lit(0))
-    checked = with_reasons(lookups.flag_known(rows, registry), rules)
+    checked = evaluate(lookups.flag_known(rows, registry), rules)
     if hot is None:
         hot = hot_keys(sales, key, scale.hot_key_rows)
-    numbered = number_occurrences(checked, key, order_by, F.size("_reasons") == 0, hot)
-    return quarantine_repeats(numbered, F.coalesce(F.col("_occurrence") > 1, F.lit(False)))
+    numbered = number_occurrences(checked, key, order_by, F.col(FAILED) == 0, hot)
+    return conclude(numbered, rules, F.coalesce(F.col("_occurrence") > 1, F.lit(False)))
+
+
+def is_valid() -> Column:
+    """Of a judged row; reads the verdict columns, so reasons are only spelled out where kept."""
+    return (F.col(FAILED) == 0) & ~F.col(REPEAT)
 
 
 def valid_rows(judged: DataFrame) -> DataFrame:
-    return judged.filter(F.size("_reasons") == 0).drop("_reasons", *_WORKING)
+    return judged.filter(is_valid()).drop("_reasons", *_WORKING)
 
 
 def quarantined_rows(judged: DataFrame) -> DataFrame:
-    return annotate(judged.filter(F.size("_reasons") > 0)).drop(*_WORKING)
+    return annotate(judged.filter(~is_valid())).drop(*_WORKING)
 
 
 def annotate(quarantine: DataFrame) -> DataFrame:
@@ -172,33 +178,35 @@ def tag_unknown(sales: DataFrame, unknown: DataFrame, key: str = "customer_id")
     return sales.join(listed, key, "left").withColumn(KNOWN, F.coalesce(KNOWN, F.lit(True)))
 
 
-def repeat_suspects(passing: DataFrame, key: str = "order_id") -> DataFrame:
-    """Hashes of keys seen more than once.
+def repeat_suspects(sales: DataFrame, key: str = "order_id") -> DataFrame:
+    """Hashes of keys seen more than once, whether or not their rows are good.
 
-    Eight bytes per key instead of the key, and counts that add up inside every
-    task.  A hash shared by two keys only brings in rows that are then numbered
-    exactly.
+    Reads the key column only and moves eight bytes per key; counts add up inside
+    every task.  Which of these keys really repeat is settled exactly afterwards, so
+    a key too many (or two keys with one hash) does no harm.
     """
-    hashed = passing.select(F.xxhash64(key).alias("_key_hash"))
+    hashed = sales.filter(F.col(key).isNotNull()).select(F.xxhash64(key).alias("_key_hash"))
     return hashed.groupBy("_key_hash").agg(F.count("*").alias("n")).filter("n > 1").select("_key_hash")
 
 
 def repeated_rows(
-    passing: DataFrame,
+    sales: DataFrame,
+    unknown: DataFrame,
     suspects: DataFrame,
+    rules: Sequence[Rule],
     order_by: Sequence[str] = ORDER,
     key: str = "order_id",
     scale: Scale = Scale(),
 ) -> DataFrame:
-    """Identities of the rows that come second or later within their key."""
-    narrow = passing.select(key, *[c for c in order_by if c != key], ROW_ID)
-    few = (
-        narrow.withColumn("_key_hash", F.xxhash64(key))
-        .join(suspects, "_key_hash", "left_semi")
-        .drop("_key_hash")
-    )
+    """Identities of good rows that come second or later within their key.
+
+    Only rows of suspect keys get as far as the rules.
+    """
+    few = sales.withColumn("_key_hash", F.xxhash64(key)).join(suspects, "_key_hash", "left_semi")
+    checked = evaluate(tag_unknown(few, unknown), rules)
+    narrow = checked.select(*dict.fromkeys([key, *order_by]), ROW_ID, FAILED)
     hot = hot_keys(few, key, scale.hot_key_rows)
-    numbered = number_occurrences(few, key, order_by, F.lit(True), hot)
+    numbered = number_occurrences(narrow, key, order_by, F.col(FAILED) == 0, hot)
     return numbered.filter(F.col("_occurrence") > 1).select(ROW_ID)
 
 
@@ -206,11 +214,7 @@ def judge_by_exceptions(
     sales: DataFrame, exceptions: Exceptions, rules: Sequence[Rule]
 ) -> DataFrame:
     """Same verdicts as ``judge``, from the two lists of exceptions."""
-    checked = with_reasons(tag_unknown(sales, exceptions.unknown_customers), rules)
-    repeats = exceptions.repeated_rows.withColumn("_repeat", F.lit(True))
+    checked = evaluate(tag_unknown(sales, exceptions.unknown_customers), rules)
+    repeats = exceptions.repeated_rows.withColumn("_listed", F.lit(True))
     tagged = checked.join(repeats, ROW_ID, "left")
-    return quarantine_repeats(tagged, F.col("_repeat").isNotNull()).drop("_repeat")
-
-
-def passing_rows(sales: DataFrame, unknown: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    return tag_unknown(sales, unknown).filter(passes_all(rules))
+    return conclude(tagged, rules, F.col("_listed").isNotNull()).drop("_listed")

@@ -162,8 +162,7 @@ def w6(spark, sf):
 def q9_by_exceptions(spark, sf):
     sales, rules = P.sales(spark, sf), sales_rules(D)
     unknown = lookups.unknown_keys(sales, P.registry(spark, sf))
-    passing = quarantine.passing_rows(sales, unknown, rules)
-    repeated = quarantine.repeated_rows(passing, quarantine.repeat_suspects(passing), P.ORDER)
+    repeated = quarantine.repeated_rows(sales, unknown, quarantine.repeat_suspects(sales), rules, P.ORDER)
     judged = quarantine.judge_by_exceptions(sales, quarantine.Exceptions(unknown, repeated), rules)
     return judged.groupBy(F.array_join("_reasons", ",").alias("reasons")).agg(
         F.count("*").alias("rows"), F.sum(F.col("total_amount").cast("decimal(18,2)")).cast("double").alias("amount")

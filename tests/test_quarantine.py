@@ -135,8 +135,8 @@ def test_hot_keys_and_both_ways_match_brute_force(spark, sale, registry, tmp_pat
         judged = quarantine.judge(stored, registry, rules, scale=scale)
     else:
         unknown = lookups.unknown_keys(stored, registry)
-        passing = quarantine.passing_rows(stored, unknown, rules)
-        repeated = quarantine.repeated_rows(passing, quarantine.repeat_suspects(passing), scale=scale)
+        suspects = quarantine.repeat_suspects(stored)
+        repeated = quarantine.repeated_rows(stored, unknown, suspects, rules, scale=scale)
         judged = quarantine.judge_by_exceptions(stored, quarantine.Exceptions(unknown, repeated), rules)
     got = {
         (r["order_id"], tuple(r["_reasons"])): r["count"]
