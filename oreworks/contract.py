@@ -28,6 +28,9 @@ SALES_FIELDS = (
     "status",
 )
 
+# Fields that are numbers or dates in the unified layout.
+NATIVE_FIELDS = ("quantity", "unit_price", "total_amount", "order_date")
+
 # Header of the delimited sales files -> canonical field.
 CSV_RENAMES = {
     "cod_pedido": "order_id",

@@ -66,7 +66,7 @@ def silver_facts(
     rows = silver.agg(
         F.count("*").alias("silver"),
         F.count_if(~passes_all(rules)).alias("outside_domain"),
-        *[F.count_if(~X.has_value(f)).alias(f"empty_{f}") for f in d.required],
+        *profile.empty_counts(silver, d.required, "empty_"),
     )
     keys = silver.agg(F.count_distinct("order_id").alias("distinct_orders"))
     orphans = lookups.orphan_rows(silver, customers).agg(

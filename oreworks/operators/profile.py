@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oreworks.functions import columns as X
 from oreworks.operators.normalize import unite
@@ -34,7 +35,15 @@ def source_stats(bronze: DataFrame) -> DataFrame:
 
 def null_profile(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Number of rows without a value, per field, in one pass."""
-    return df.agg(*[F.count_if(~X.has_value(f)).alias(f) for f in fields])
+    return df.agg(*empty_counts(df, fields))
+
+
+def empty_counts(df: DataFrame, fields: Sequence[str], prefix: str = "") -> list[Column]:
+    """Aggregates counting missing values; only text can also be blank."""
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return [
+        F.count_if(~X.has_value(f) if f in text else F.col(f).isNull()).alias(prefix + f) for f in fields
+    ]
 
 
 def duplicate_count(df: DataFrame, key: str) -> DataFrame:

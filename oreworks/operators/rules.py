@@ -46,8 +46,13 @@ def null_guard(inputs: Sequence[str], condition: Column) -> Column:
 
 
 def completeness_rules(fields: Sequence[str]) -> list[Rule]:
+    """One rule per field.  Numbers and dates cannot be blank, so only text is trimmed."""
+
+    def filled(field: str) -> Column:
+        return F.col(field).isNotNull() if field in C.NATIVE_FIELDS else X.has_value(field)
+
     return [
-        Rule(f"{C.COMPLETENESS}.{f}", C.COMPLETENESS, f"{f} is filled in", (f,), X.has_value(f), guarded=False)
+        Rule(f"{C.COMPLETENESS}.{f}", C.COMPLETENESS, f"{f} is filled in", (f,), filled(f), guarded=False)
         for f in fields
     ]
 
