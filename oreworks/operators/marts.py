@@ -123,21 +123,23 @@ def revenue_by_payment(sales: DataFrame, d: Domains) -> DataFrame:
     return shape_by_payment(base_metrics(sales, ["payment_method"], d.cancelled))
 
 
-def category_by_segment(sales: DataFrame, customers: DataFrame, categories: DataFrame, d: Domains) -> DataFrame:
-    """Category x segment mart.
+def category_customers(sales: DataFrame, categories: DataFrame, cancelled: str) -> DataFrame:
+    """Sales added up per category and customer.
 
-    Sales are first added up per category and customer, so what meets the customer
-    table is one row per pair (never the sales of a hot customer), and distinct
-    customers become a count of pairs.  ``customers`` has one row per id.
+    What meets the customer table afterwards is one row per pair, never the sales of
+    a hot customer, and distinct customers become a count of pairs.
     """
-    named = lookups.with_category_name(sales, categories)
-    sold = X.billable(d.cancelled)
-    pairs = named.groupBy("category_name", "customer_id").agg(
+    sold = X.billable(cancelled)
+    return lookups.with_category_name(sales, categories).groupBy("category_name", "customer_id").agg(
         F.count("*").alias("n"),
         F.count_if(sold).alias("n_sold"),
         F.count_if(~sold).alias("n_cancelled"),
         F.sum(F.when(sold, X.money("total_amount"))).alias("amount"),
     )
+
+
+def shape_by_category(pairs: DataFrame, customers: DataFrame) -> DataFrame:
+    """Category x segment mart from category-customer pairs; ``customers`` has one row per id."""
     labelled = lookups.label_unmatched(lookups.with_segment(pairs, customers))
     paying = (F.col("n_sold") > 0) & F.col("customer_id").isNotNull()
     metrics = labelled.groupBy("category_name", "segment").agg(
@@ -151,6 +153,10 @@ def category_by_segment(sales: DataFrame, customers: DataFrame, categories: Data
     return _finish(shared, CATEGORY_COLUMNS).orderBy("category_name", F.desc("revenue"), "segment")
 
 
+def category_by_segment(sales: DataFrame, customers: DataFrame, categories: DataFrame, d: Domains) -> DataFrame:
+    return shape_by_category(category_customers(sales, categories, d.cancelled), customers)
+
+
 # ---------------------------------------------------------------------------
 # One pass for the marts that share their input
 # ---------------------------------------------------------------------------
@@ -186,28 +192,27 @@ def kpis(sales: DataFrame, state_mart: DataFrame, cancelled: str) -> DataFrame:
     those with a billable order.
     """
     sold = X.billable(cancelled)
-    totals = sales.agg(
-        _cents(F.sum(F.when(sold, X.money("total_amount")))).alias("revenue"),
-        F.count_if(sold).alias("orders_billable"),
+    per_customer = sales.groupBy("customer_id").agg(
+        F.count_if(sold).alias("n_sold"), F.sum(F.when(sold, X.money("total_amount"))).alias("amount")
     )
-    # distinct first, then count: a hot customer is one row per task
-    customers = (
-        sales.groupBy("customer_id").agg(F.max(sold).alias("paying"))
-        .agg(
-            F.count("customer_id").alias("active_customers"),
-            F.count_if(F.col("paying") & F.col("customer_id").isNotNull()).alias("paying_customers"),
-        )
+    return kpis_by_customer(per_customer, state_mart)
+
+
+def kpis_by_customer(per_customer: DataFrame, state_mart: DataFrame) -> DataFrame:
+    """KPIs from sales already added up per customer, so a hot customer is one row by now."""
+    totals = per_customer.agg(
+        _cents(F.sum("amount")).alias("revenue"),
+        F.coalesce(F.sum("n_sold"), F.lit(0)).alias("orders_billable"),
+        F.count("customer_id").alias("active_customers"),
+        F.count_if((F.col("n_sold") > 0) & F.col("customer_id").isNotNull()).alias("paying_customers"),
     )
-    lead = top_states(state_mart, 1).select(F.col("state").alias("top_state"), F.col("share_pct").alias("top_share_pct"))
-    # Three one-row frames side by side, put together as one aggregate.
-    tagged = [
-        frame.select(*[F.col(c) for c in frame.columns]) for frame in (ratios(totals), customers, lead)
-    ]
-    merged = tagged[0]
-    for frame in tagged[1:]:
-        merged = merged.unionByName(frame, allowMissingColumns=True)
-    out = merged.agg(*[F.max(c).alias(c) for c in merged.columns])
-    return out.withColumn("revenue", F.col("revenue").cast("double"))
+    lead = top_states(state_mart, 1).select(
+        F.col("state").alias("top_state"), F.col("share_pct").alias("top_share_pct")
+    )
+    # two one-row frames, merged into one row
+    both = ratios(totals).unionByName(lead, allowMissingColumns=True)
+    merged = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return merged.withColumn("revenue", F.col("revenue").cast("double"))
 
 
 def top_states(state_mart: DataFrame, k: int = 10) -> DataFrame:
