@@ -26,13 +26,15 @@ def checked_broadcast(df: DataFrame, scale: Scale) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, scale) else df
 
 
-def flag_known(sales: DataFrame, registry: DataFrame, key: str = "customer_id") -> DataFrame:
+def flag_known(sales: DataFrame, registry: DataFrame, key: str = "customer_id", small: bool = False) -> DataFrame:
     """Tag each row with whether its key is registered.
 
-    No hint here: Spark broadcasts the ids when their size allows it, else
-    shuffles and splits hot keys of the sales side at run time.
+    No hint unless the caller checked the size: Spark broadcasts the ids when it knows
+    them to be small, else shuffles and splits hot keys of the sales side at run time.
     """
     known = registry.select(key).distinct().withColumn(KNOWN, F.lit(True))
+    if small:
+        known = F.broadcast(known)
     return sales.join(known, key, "left").withColumn(KNOWN, F.coalesce(KNOWN, F.lit(False)))
 
 

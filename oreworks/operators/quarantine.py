@@ -3,15 +3,15 @@
 Two ways to the same verdicts:
 
 * ``judge`` is one lazy plan: flag customers, evaluate the rules, number repeats.
-* ``find_exceptions`` + ``judge_by_exceptions`` is for the big table.  Defects are
-  rare, so it first finds the few unknown customers and repeated rows from narrow
-  key columns, and then tags the wide rows by those two small lists.  The wide
-  rows themselves are not shuffled.
+* ``judge_by_exceptions`` is for the big table.  Defects are rare, so the few unknown
+  customers and repeated rows are found first, from narrow key columns, and the wide
+  rows are then tagged by those small lists.  The wide rows themselves are not
+  shuffled.  ``plans.silver`` puts the steps together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,12 +24,14 @@ from oreworks.operators.rules import FAILED, KNOWN, Rule, evaluate, failed_names
 
 ROW_ID = "_row_id"
 ORDER = ("_source_priority", "_source_file", "order_ts")
-# At most this many keys can be called hot; the sketch tracks enough counters
-# that no key holding a noticeable part of the rows is missed.
-HOT_KEYS = 64
-SKETCH_COUNTERS = 8192
+# Sketch of frequent keys: keys are dealt to lanes by hash, each lane tracks a few
+# counters and names a few keys.  So what tasks send on is small and arrives spread
+# over the lanes, and at most SKETCH_LANES x KEYS_PER_LANE keys can be called hot.
+SKETCH_LANES = 96
+KEYS_PER_LANE = 32
+COUNTERS_PER_LANE = 128
 # Rows that need no numbering are spread over this many lanes.
-LANES = 4096
+SPREAD_LANES = 1 << 20
 
 REPEAT = "_repeat"
 
@@ -47,15 +49,17 @@ def with_row_id(df: DataFrame) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int) -> DataFrame:
-    """Keys that hold at least ``min_rows`` rows: at most ``HOT_KEYS`` of them.
+    """Keys that hold at least ``min_rows`` rows, as far as a bounded sketch can tell.
 
-    A bounded sketch per task, no shuffle of keys.  It only steers how the work is
-    spread; results do not depend on what it finds.
+    It misses no key that holds a noticeable part of all rows, and names at most
+    3,072 keys.  It only steers how the work is spread; results do not depend on it.
     """
-    sketch = df.filter(F.col(key).isNotNull()).agg(
-        F.expr(f"approx_top_k(`{key}`, {HOT_KEYS}, {SKETCH_COUNTERS})").alias("top")
+    per_lane = (
+        df.filter(F.col(key).isNotNull())
+        .groupBy(F.pmod(F.xxhash64(key), F.lit(SKETCH_LANES)).alias("lane"))
+        .agg(F.expr(f"approx_top_k(`{key}`, {KEYS_PER_LANE}, {COUNTERS_PER_LANE})").alias("top"))
     )
-    return sketch.select(F.inline("top")).filter(F.col("count") >= min_rows).select(F.col("item").alias(key))
+    return per_lane.select(F.inline("top")).filter(F.col("count") >= min_rows).select(F.col("item").alias(key))
 
 
 def number_occurrences(
@@ -77,11 +81,11 @@ def number_occurrences(
         .groupBy(key)
         .agg(F.min(F.when(eligible, order))["id"].alias("_first_id"))
     )
-    # both broadcasts hold at most HOT_KEYS rows
+    # both broadcasts are bounded by the number of keys a sketch can name
     lined_up = (
         df.join(F.broadcast(firsts), key, "left")
         .withColumn("_lane_key", F.when(eligible & F.col("_first_id").isNull(), F.col(key)))
-        .withColumn("_lane", F.when(F.col("_lane_key").isNull(), F.pmod(F.xxhash64(ROW_ID), F.lit(LANES))))
+        .withColumn("_lane", F.when(F.col("_lane_key").isNull(), F.pmod(F.xxhash64(ROW_ID), F.lit(SPREAD_LANES))))
     )
     window = Window.partitionBy("_lane_key", "_lane").orderBy(*order_by, ROW_ID)
     occurrence = (
@@ -167,15 +171,25 @@ def sample_per_reason(
 # ---------------------------------------------------------------------------
 @dataclass(frozen=True)
 class Exceptions:
-    """Keys and rows out of line, each as a stored table."""
+    """How to tell unknown customers, and which rows repeat an earlier one."""
 
-    unknown_customers: DataFrame
+    tag_customers: Callable[[DataFrame], DataFrame]
     repeated_rows: DataFrame
 
 
-def tag_unknown(sales: DataFrame, unknown: DataFrame, key: str = "customer_id") -> DataFrame:
+def tag_by_unknown(unknown: DataFrame, key: str = "customer_id") -> Callable[[DataFrame], DataFrame]:
+    """Tagging by the list of keys without a registry entry."""
     listed = unknown.select(key).withColumn(KNOWN, F.lit(False))
-    return sales.join(listed, key, "left").withColumn(KNOWN, F.coalesce(KNOWN, F.lit(True)))
+
+    def tag(sales: DataFrame) -> DataFrame:
+        return sales.join(listed, key, "left").withColumn(KNOWN, F.coalesce(KNOWN, F.lit(True)))
+
+    return tag
+
+
+def tag_by_registry(registry: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Tagging by a registry that was found small enough to broadcast."""
+    return lambda sales: lookups.flag_known(sales, registry, small=True)
 
 
 def repeat_suspects(sales: DataFrame, key: str = "order_id") -> DataFrame:
@@ -191,7 +205,7 @@ def repeat_suspects(sales: DataFrame, key: str = "order_id") -> DataFrame:
 
 def repeated_rows(
     sales: DataFrame,
-    unknown: DataFrame,
+    tag_customers: Callable[[DataFrame], DataFrame],
     suspects: DataFrame,
     rules: Sequence[Rule],
     order_by: Sequence[str] = ORDER,
@@ -203,7 +217,7 @@ def repeated_rows(
     Only rows of suspect keys get as far as the rules.
     """
     few = sales.withColumn("_key_hash", F.xxhash64(key)).join(suspects, "_key_hash", "left_semi")
-    checked = evaluate(tag_unknown(few, unknown), rules)
+    checked = evaluate(tag_customers(few), rules)
     narrow = checked.select(*dict.fromkeys([key, *order_by]), ROW_ID, FAILED)
     hot = hot_keys(few, key, scale.hot_key_rows)
     numbered = number_occurrences(narrow, key, order_by, F.col(FAILED) == 0, hot)
@@ -213,8 +227,8 @@ def repeated_rows(
 def judge_by_exceptions(
     sales: DataFrame, exceptions: Exceptions, rules: Sequence[Rule]
 ) -> DataFrame:
-    """Same verdicts as ``judge``, from the two lists of exceptions."""
-    checked = evaluate(tag_unknown(sales, exceptions.unknown_customers), rules)
+    """Same verdicts as ``judge``, from the exceptions."""
+    checked = evaluate(exceptions.tag_customers(sales), rules)
     repeats = exceptions.repeated_rows.withColumn("_listed", F.lit(True))
     tagged = checked.join(repeats, ROW_ID, "left")
     return conclude(tagged, rules, F.col("_listed").isNotNull()).drop("_listed")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oreworks import contract as C
-from oreworks.operators import gates, lookups, marts, profile, quarantine
+from oreworks.operators import gates, lookups, marts, normalize, profile, quarantine
 from oreworks.operators.rules import completeness_rules, consistency_rule, domain_rules, failure_counts, integrity_rule, sales_rules, with_reasons
+from oreworks.sinks import tables
 from testprofile import oracle as O
 from testprofile import tables as P
 from testprofile.registry import query
@@ -161,9 +162,10 @@ def w6(spark, sf):
     "sum(total_amount::decimal(18,2))::double AS amount FROM judged GROUP BY 1"))
 def q9_by_exceptions(spark, sf):
     sales, rules = P.sales(spark, sf), sales_rules(D)
-    unknown = lookups.unknown_keys(sales, P.registry(spark, sf))
-    repeated = quarantine.repeated_rows(sales, unknown, quarantine.repeat_suspects(sales), rules, P.ORDER)
-    judged = quarantine.judge_by_exceptions(sales, quarantine.Exceptions(unknown, repeated), rules)
+    tag = quarantine.tag_by_unknown(lookups.unknown_keys(sales, P.registry(spark, sf)))
+    suspects = quarantine.repeat_suspects(P.table(spark, sf, "lineitem").select(P.order_id()))
+    repeated = quarantine.repeated_rows(sales, tag, suspects, rules, P.ORDER)
+    judged = quarantine.judge_by_exceptions(sales, quarantine.Exceptions(tag, repeated), rules)
     return judged.groupBy(F.array_join("_reasons", ",").alias("reasons")).agg(
         F.count("*").alias("rows"), F.sum(F.col("total_amount").cast("decimal(18,2)")).cast("double").alias("amount")
     )
@@ -190,7 +192,7 @@ FROM judged""")
 
 @query("a14_flow", FLOW_SQL)
 def a14(spark, sf):
-    judged = P.judged(spark, sf)
+    judged = _stored(spark, sf)
     return profile.layer_flow(
         P.sales(spark, sf), quarantine.valid_rows(judged), quarantine.quarantined_rows(judged)
     )
@@ -203,14 +205,20 @@ UNION ALL SELECT 'source', _source, count(*) FROM rejected GROUP BY _source"""))
 def l7(spark, sf):
     from oreworks.plans.run import alert_rows
 
-    return alert_rows(P.rejected(spark, sf))
+    return alert_rows(quarantine.quarantined_rows(_stored(spark, sf)))
 
 
 # --- gates -----------------------------------------------------------------------
-def _silver_gate(spark, sf, rows=None):
-    silver = P.silver(spark, sf) if rows is None else rows
+def _stored(spark, sf):
+    """Sales judged once and stored, as a gate finds them."""
+    return tables.stage(P.judged(spark, sf), "judged")
+
+
+def _silver_gate(spark, sf, clean=True):
+    judged = _stored(spark, sf)
+    silver = quarantine.valid_rows(judged) if clean else judged
     return gates.silver_gate(
-        P.sales(spark, sf), silver, P.rejected(spark, sf), P.registry(spark, sf), D, P.LIMITS
+        P.sales(spark, sf), silver, quarantine.quarantined_rows(judged), P.registry(spark, sf), D, P.LIMITS
     )
 
 
@@ -252,11 +260,11 @@ def g1_g7(spark, sf):
 @query("g1_g7_unclean_silver", O.with_judged(*_silver_gate_sql("judged")))
 def g1_g7_unclean(spark, sf):
     """The same gate when bad rows were let through: it has to fail."""
-    return _silver_gate(spark, sf, P.silver_sales(spark, sf))
+    return _silver_gate(spark, sf, clean=False)
 
 
 def _gold_gate(spark, sf):
-    silver = P.silver(spark, sf)
+    silver = normalize.enrich(quarantine.valid_rows(_stored(spark, sf)), D.products_per_category)
     return gates.gold_gate(
         silver,
         marts.revenue_by_state(silver, D),

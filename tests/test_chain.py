@@ -1,4 +1,5 @@
 import pathlib
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,22 @@ def test_lazy_way_equals_the_stored_result(spark, finished):
     assert rows(judged.filter(F.size("_reasons") > 0), "order_id", "_source", F.array_join("_reasons", ",")) == expect
 
 
+def test_small_bounds_change_the_way_not_the_result(spark, finished):
+    """With nothing allowed to be broadcast, the same rows are kept and rejected."""
+    from oreworks.config import Scale
+
+    settings, _ = finished
+    strict = replace(settings, scale=Scale(broadcast_rows=0, hot_key_rows=1))
+    customers = read_layer(spark, settings, "silver_customers").select("customer_id")
+    sales = silver.bronze_sales(spark, settings)
+    found = silver.find_exceptions(sales, customers, strict)
+    judged = quarantine.judge_by_exceptions(sales, found, sales_rules(settings.domains))
+    stored = read_layer(spark, settings, "quarantine")
+    names = F.array_join("_reasons", ",")
+    assert rows(quarantine.quarantined_rows(judged), "order_id", names) == rows(stored, "order_id", names)
+    assert quarantine.valid_rows(judged).count() == 43
+
+
 def test_rerun_changes_nothing_but_the_history(spark, finished):
     settings, _ = finished
     before = read_layer(spark, settings, "silver_sales").count()

@@ -38,7 +38,8 @@ def test_windows_of_marts_see_aggregated_rows_only(spark, sales):
 def test_rules_run_once_per_row(spark, sales, registry):
     """A filter on the verdict reads the computed mask and does not repeat the rules."""
     rows = quarantine.with_row_id(sales({}))
-    lists = quarantine.Exceptions(lookups.unknown_keys(rows, registry), rows.select("_row_id").filter("false"))
+    tag = quarantine.tag_by_unknown(lookups.unknown_keys(rows, registry))
+    lists = quarantine.Exceptions(tag, rows.select("_row_id").filter("false"))
     judged = quarantine.judge_by_exceptions(rows, lists, sales_rules(Domains()))
     for side in (quarantine.valid_rows(judged), quarantine.quarantined_rows(judged)):
         assert optimized(side).count("IN (credit_card") == 1
@@ -49,9 +50,9 @@ def test_big_way_moves_no_wide_row(spark, sales, registry, tmp_path):
     from pyspark.sql import functions as F
 
     rows = quarantine.with_row_id(sales({})).withColumn("_source_priority", F.lit(0))
-    unknown = F.broadcast(lookups.unknown_keys(rows, registry))
+    tag = quarantine.tag_by_unknown(F.broadcast(lookups.unknown_keys(rows, registry)))
     listed = F.broadcast(rows.select("_row_id").filter("false"))
-    judged = quarantine.judge_by_exceptions(rows, quarantine.Exceptions(unknown, listed), sales_rules(Domains()))
+    judged = quarantine.judge_by_exceptions(rows, quarantine.Exceptions(tag, listed), sales_rules(Domains()))
     wide = [
         line for line in plan(quarantine.valid_rows(judged)).splitlines()
         if "Exchange hashpartitioning" in line and "shipping_city" in line

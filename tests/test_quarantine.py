@@ -121,7 +121,7 @@ def brute_force(rows, columns):
 
 
 @pytest.mark.parametrize("hot_key_rows", [50, 10**9])
-@pytest.mark.parametrize("way", ["lazy", "exceptions"])
+@pytest.mark.parametrize("way", ["lazy", "registry", "unknown"])
 def test_hot_keys_and_both_ways_match_brute_force(spark, sale, registry, tmp_path, way, hot_key_rows):
     from conftest import SALE
     from oreworks.sources.readers import stored_rows
@@ -134,10 +134,13 @@ def test_hot_keys_and_both_ways_match_brute_force(spark, sale, registry, tmp_pat
     if way == "lazy":
         judged = quarantine.judge(stored, registry, rules, scale=scale)
     else:
-        unknown = lookups.unknown_keys(stored, registry)
+        if way == "registry":
+            tag = quarantine.tag_by_registry(registry)
+        else:
+            tag = quarantine.tag_by_unknown(lookups.unknown_keys(stored, registry))
         suspects = quarantine.repeat_suspects(stored)
-        repeated = quarantine.repeated_rows(stored, unknown, suspects, rules, scale=scale)
-        judged = quarantine.judge_by_exceptions(stored, quarantine.Exceptions(unknown, repeated), rules)
+        repeated = quarantine.repeated_rows(stored, tag, suspects, rules, scale=scale)
+        judged = quarantine.judge_by_exceptions(stored, quarantine.Exceptions(tag, repeated), rules)
     got = {
         (r["order_id"], tuple(r["_reasons"])): r["count"]
         for r in judged.groupBy("order_id", "_reasons").count().collect()
