@@ -30,10 +30,12 @@ ORDER = ("_source_priority", "_source_file", "order_ts")
 SKETCH_LANES = 96
 KEYS_PER_LANE = 32
 COUNTERS_PER_LANE = 128
+MAX_HOT_KEYS = SKETCH_LANES * KEYS_PER_LANE
 # Rows that need no numbering are spread over this many lanes.
 SPREAD_LANES = 1 << 20
 
 REPEAT = "_repeat"
+KEY_HASH = "_key_hash"
 
 _WORKING = (FAILED, REPEAT, "_occurrence", KNOWN, "_source_priority", ROW_ID)
 
@@ -68,16 +70,19 @@ def number_occurrences(
     order_by: Sequence[str],
     eligible: Column,
     hot: DataFrame,
+    hot_on: str | None = None,
 ) -> DataFrame:
     """``_occurrence`` of eligible rows within their key: 1 for the first, more for later ones.
 
+    ``hot`` lists the hot keys, or under ``hot_on`` something that identifies them.
+
     Ordinary keys are numbered by a window.  The few hot keys are not sent through
     it: their first row is found by an aggregate that collapses inside every task,
     and their later rows are all marked 2.  Other rows are spread evenly.
     """
     order = F.struct(*[F.col(c) for c in order_by], F.col(ROW_ID).alias("id"))
     firsts = (
-        df.join(F.broadcast(hot), key, "left_semi")
+        df.join(F.broadcast(hot), hot_on or key, "left_semi")
         .groupBy(key)
         .agg(F.min(F.when(eligible, order))["id"].alias("_first_id"))
     )
@@ -193,14 +198,20 @@ def tag_by_registry(registry: DataFrame) -> Callable[[DataFrame], DataFrame]:
 
 
 def repeat_suspects(sales: DataFrame, key: str = "order_id") -> DataFrame:
-    """Hashes of keys seen more than once, whether or not their rows are good.
+    """Hashes of keys seen more than once and how often, whether or not their rows are good.
 
     Reads the key column only and moves eight bytes per key; counts add up inside
     every task.  Which of these keys really repeat is settled exactly afterwards, so
     a key too many (or two keys with one hash) does no harm.
     """
-    hashed = sales.filter(F.col(key).isNotNull()).select(F.xxhash64(key).alias("_key_hash"))
-    return hashed.groupBy("_key_hash").agg(F.count("*").alias("n")).filter("n > 1").select("_key_hash")
+    hashed = sales.filter(F.col(key).isNotNull()).select(F.xxhash64(key).alias(KEY_HASH))
+    return hashed.groupBy(KEY_HASH).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def hot_suspects(suspects: DataFrame, min_rows: int) -> DataFrame:
+    """The most frequent suspects that hold ``min_rows`` rows or more, bounded in number."""
+    frequent = suspects.filter(F.col("n") >= min_rows).orderBy(F.desc("n")).limit(MAX_HOT_KEYS)
+    return frequent.select(KEY_HASH)
 
 
 def repeated_rows(
@@ -211,16 +222,21 @@ def repeated_rows(
     order_by: Sequence[str] = ORDER,
     key: str = "order_id",
     scale: Scale = Scale(),
+    small: bool = False,
 ) -> DataFrame:
     """Identities of good rows that come second or later within their key.
 
-    Only rows of suspect keys get as far as the rules.
+    Only rows of suspect keys get as far as the rules.  ``small`` says the suspects
+    were found small enough to broadcast.
     """
-    few = sales.withColumn("_key_hash", F.xxhash64(key)).join(suspects, "_key_hash", "left_semi")
+    listed = suspects.select(KEY_HASH)
+    few = sales.withColumn(KEY_HASH, F.xxhash64(key)).join(
+        F.broadcast(listed) if small else listed, KEY_HASH, "left_semi"
+    )
     checked = evaluate(tag_customers(few), rules)
-    narrow = checked.select(*dict.fromkeys([key, *order_by]), ROW_ID, FAILED)
-    hot = hot_keys(few, key, scale.hot_key_rows)
-    numbered = number_occurrences(narrow, key, order_by, F.col(FAILED) == 0, hot)
+    narrow = checked.select(*dict.fromkeys([key, *order_by]), KEY_HASH, ROW_ID, FAILED)
+    hot = hot_suspects(suspects, scale.hot_key_rows)
+    numbered = number_occurrences(narrow, key, order_by, F.col(FAILED) == 0, hot, KEY_HASH)
     return numbered.filter(F.col("_occurrence") > 1).select(ROW_ID)
 
 

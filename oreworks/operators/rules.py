@@ -140,7 +140,8 @@ def failed_names(rules: Sequence[Rule], mask: str | Column = FAILED) -> Column:
     """Names behind the bits of a mask, in rule order."""
     mask = F.col(mask) if isinstance(mask, str) else mask
     names = [F.when(mask.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(r.name)) for i, r in enumerate(rules)]
-    return F.array_compact(F.array(F.lit(None).cast("string"), *names))
+    found = F.array_compact(F.array(F.lit(None).cast("string"), *names))
+    return F.when(mask == 0, F.array().cast("array<string>")).otherwise(found)
 
 
 def evaluate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
