@@ -46,9 +46,14 @@ def empty_counts(df: DataFrame, fields: Sequence[str], prefix: str = "") -> list
     ]
 
 
-def duplicate_count(df: DataFrame, key: str) -> DataFrame:
-    """Rows, distinct keys and rows beyond the first of their key."""
-    return df.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("distinct_keys")).withColumn(
+def duplicate_count(df: DataFrame, key: str, long_text: bool = False) -> DataFrame:
+    """Rows, distinct keys and rows beyond the first of their key.
+
+    A long text is compared by its SHA-256 digest, so whole texts decide but only
+    their digests are shuffled.
+    """
+    compared = F.sha2(F.col(key), 256) if long_text else F.col(key)
+    return df.agg(F.count("*").alias("rows"), F.count_distinct(compared).alias("distinct_keys")).withColumn(
         "duplicates", F.col("rows") - F.col("distinct_keys")
     )
 

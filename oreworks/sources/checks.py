@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreworks.config import Settings, SourceSpec
+from oreworks.operators.normalize import unite
 
 
 class SchemaDriftError(Exception):
@@ -26,10 +27,25 @@ def require_columns(df: DataFrame, spec: SourceSpec) -> DataFrame:
     return df
 
 
-def column_report(spark: SparkSession, frames: Mapping[str, DataFrame], specs: Iterable[SourceSpec]) -> DataFrame:
-    """(source, column, present) for every column a contract asks for; reads no data."""
-    rows = [(s.name, c, c in frames[s.name].columns) for s in specs for c in s.required]
-    return spark.createDataFrame(rows, "source string, column string, present boolean")
+def column_report(frames: Mapping[str, DataFrame], specs: Iterable[SourceSpec]) -> DataFrame:
+    """(source, column, present, filled) for every column a contract asks for.
+
+    ``filled`` counts the rows with a value: a column that is there but empty in
+    every row has drifted just as well.
+    """
+    return unite(_columns_of(frames[spec.name], spec) for spec in specs)
+
+
+def _columns_of(df: DataFrame, spec: SourceSpec) -> DataFrame:
+    def filled(column: str):
+        return F.count(column) if column in df.columns else F.lit(0).cast("bigint")
+
+    counted = df.agg(F.count("*").alias("_rows"), *[filled(c).alias(c) for c in spec.required])
+    entries = [
+        F.struct(F.lit(c).alias("column"), F.lit(c in df.columns).alias("present"), F.col(c).alias("filled"))
+        for c in spec.required
+    ]
+    return counted.select(F.lit(spec.name).alias("source"), F.inline(F.array(*entries)))
 
 
 def file_inventory(spark: SparkSession, root: str, folder: str, pattern: str) -> DataFrame:
@@ -64,7 +80,7 @@ def sources_ready(spark: SparkSession, settings: Settings) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     belongs = F.lit(None).cast("string")
     for spec in settings.sources:
-        like = f"%/{spec.name}/{spec.pattern.replace('*', '%')}"
-        belongs = F.when(F.col("path").like(like), F.lit(spec.name)).otherwise(belongs)
+        name = spec.pattern.replace(".", r"\.").replace("*", "[^/]*")
+        belongs = F.when(F.col("path").rlike(f"/{spec.name}/{name}$"), F.lit(spec.name)).otherwise(belongs)
     inventory = files.select(belongs.alias("source"), "length").filter(F.col("source").isNotNull())
     return readiness(inventory, expected)

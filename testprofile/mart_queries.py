@@ -268,4 +268,4 @@ def a12(spark, sf):
 
 @query("a12_document_dups", DUPLICATES.format(k="text", t="documents"))
 def a12_documents(spark, sf):
-    return profile.duplicate_count(P.table(spark, sf, "documents"), "text")
+    return profile.duplicate_count(P.table(spark, sf, "documents"), "text", long_text=True)

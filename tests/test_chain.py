@@ -184,7 +184,7 @@ def test_drift_stops_before_anything_is_written(spark, tmp_path):
         bronze.run_bronze(spark, settings)
     assert not pathlib.Path(settings.folder("bronze")).exists()
     csv = settings.sources[0]
-    report = column_report(spark, {csv.name: read_source(spark, csv, settings)}, [csv])
+    report = column_report({csv.name: read_source(spark, csv, settings)}, [csv])
     assert rows(report.filter("not present"), "column") == [("situacao",)]
 
 
