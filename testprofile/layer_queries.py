@@ -69,7 +69,7 @@ def s4(spark, sf):
 
 @query("s5_nested_json", """
 SELECT printf('CAT_%02d', ceil((p_partkey + 1) / 500)::int) AS category_id,
-  'SUB_' || (p_partkey + 1) AS subcategory_id, p_name AS subcategory_name FROM part""")
+  'SUB_' || (p_partkey + 1) AS subcategory_id, min(p_name) AS subcategory_name FROM part GROUP BY p_partkey""")
 def s5(spark, sf):
     path = _scratch(spark, "categories")
     R.write_documents(P.nested_categories(spark, sf), path)
@@ -284,8 +284,8 @@ def p6(spark, sf):
 
 @query("p7_flatten_categories", """
 SELECT printf('CAT_%02d', c) AS category_id, 'Category ' || printf('%02d', c) AS category_name,
-  count(*)::int AS subcategory_count
-FROM (SELECT ceil((p_partkey + 1) / 500)::int AS c FROM part) GROUP BY c""")
+  count(DISTINCT p_partkey)::int AS subcategory_count
+FROM (SELECT p_partkey, ceil((p_partkey + 1) / 500)::int AS c FROM part) GROUP BY c""")
 def p7(spark, sf):
     return normalize.flatten_categories(P.nested_categories(spark, sf))
 
@@ -346,18 +346,20 @@ def l1(spark, sf):
 
 
 @query("l1_incremental_bronze", O.with_sales(
-    "SELECT status, count(*)::bigint AS rows FROM sales WHERE _source <> 'source_2' GROUP BY status"))
+    "SELECT status, run_id, count(*)::bigint AS rows FROM (SELECT status, CASE _source WHEN 'source_0' THEN 'first' "
+    "WHEN 'source_1' THEN 'second' ELSE 'third' END AS run_id FROM sales) GROUP BY ALL"))
 def l1_incremental(spark, sf):
-    """Files of a second delivery are added to those of the first; none is read twice."""
+    """Three deliveries into one folder; every run picks up its own and none is read twice."""
     root = _scratch(spark, "arrivals")
     settings = Settings(root, run_id="first")
     spec = replace(CSV, schema=TEXT)
     path = settings.folder("raw", spec.name)
-    for part, run_id in ((0, "first"), (1, "second")):
+    for part, run_id in ((0, "first"), (1, "second"), (2, "third")):
         rows = R.sales_text(spark, sf, part).withColumnsRenamed({new: old for old, new in C.CSV_RENAMES.items()})
         rows.write.mode("append").option("header", "true").option("sep", ";").option("encoding", "ISO-8859-1").csv(path)
         arrivals.append_new_files(spark, spec, replace(settings, run_id=run_id))
-    return spark.read.parquet(settings.bronze_folder(spec)).groupBy(F.col("situacao").alias("status")).agg(
+    stored = spark.read.parquet(settings.bronze_folder(spec))
+    return stored.groupBy(F.col("situacao").alias("status"), F.col("_batch_id").alias("run_id")).agg(
         F.count("*").alias("rows")
     )
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +21,10 @@ DOMAINS = replace(
     cancelled=P.DOMAINS.cancelled.lower(),
     payments=tuple(p.lower() for p in P.DOMAINS.payments),
 )
+# A total order of the fields a source sends, so that results can be compared.
+KEEP_FIRST_BY = (
+    "_source_priority", "order_ts", "product_id", "total_amount", "quantity", "status", "customer_id",
+)
 LIMITS = Limits(quarantine_rate_max=0.9, silver_rows_min=100)
 
 
@@ -63,21 +66,18 @@ def write_raw(spark: SparkSession, sf: str, root: str) -> None:
     write_documents(P.nested_categories(spark, sf), f"{root}/raw/{C.CATEGORIES}")
 
 
+_DONE: dict[tuple[str, str], Settings] = {}
+
+
 def finished(spark: SparkSession, sf: str) -> Settings:
-    """Settings of a completed run over the tables of ``sf``; done once per session."""
-    return _finished(spark.sparkContext.applicationId, sf)
-
-
-@lru_cache(maxsize=None)
-def _finished(application: str, sf: str) -> Settings:
-    spark = SparkSession.getActiveSession()
-    root = scratch_path(spark, "lake")
-    write_raw(spark, sf, root)
-    settings = Settings(
-        root, run_id="profile", data_ref="2000-12-31", domains=DOMAINS, limits=LIMITS,
-        keep_first_by=(
-            "_source_priority", "order_ts", "product_id", "total_amount", "quantity", "status", "customer_id",
-        ),
-    )
-    run(spark, settings)
-    return settings
+    """Settings of a completed run over the tables of ``sf``; done once per application."""
+    done = (spark.sparkContext.applicationId, sf)
+    if done not in _DONE:
+        root = scratch_path(spark, "lake")
+        write_raw(spark, sf, root)
+        settings = Settings(
+            root, run_id="profile", data_ref="2000-12-31", domains=DOMAINS, limits=LIMITS, keep_first_by=KEEP_FIRST_BY
+        )
+        run(spark, settings)
+        _DONE[done] = settings
+    return _DONE[done]

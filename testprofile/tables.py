@@ -141,7 +141,9 @@ def nested_categories(spark: SparkSession, sf: str, per_document: int = 50) -> D
         F.concat(F.lit("SUB_"), F.col("p_partkey") + 1).alias("subcategory_id"),
         F.col("p_name").alias("subcategory_name"),
     )
-    coded = table(spark, sf, "part").withColumn(
+    # one row per product first, so that no list grows with copies of a product
+    products = normalize.one_per_key(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
+    coded = products.withColumn(
         "category_id", X.category_of(F.concat(F.lit("PROD_"), F.col("p_partkey") + 1), per_category)
     )
     listed = coded.groupBy("category_id").agg(
