@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oreworks import contract as C
 from oreworks.config import Domains
 from oreworks.functions import columns as X
 from oreworks.operators import lookups

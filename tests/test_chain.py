@@ -8,7 +8,7 @@ from oreworks import contract as C
 from oreworks.config import Settings
 from oreworks.operators import gates, quarantine
 from oreworks.operators.rules import sales_rules
-from oreworks.plans import bronze, gate, gold, run, silver
+from oreworks.plans import bronze, gate, run, silver
 from oreworks.sinks import metrics
 from oreworks.sources.checks import SchemaDriftError, column_report, sources_ready
 from oreworks.sources.readers import read_layer, read_source
