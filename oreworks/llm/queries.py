@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oreworks.llm import language
+from oreworks.llm import language, secrets
 from oreworks.llm.near_duplicates import near_duplicates
 from oreworks.llm.common import held_out, table
 
@@ -37,3 +37,16 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 5-word shingles have a Jaccard similarity of 0.75 or more."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find(docs, secrets.learn(docs))
+    kinds = F.split("base", ",")
+    count = lambda kind: F.size(F.filter(kinds, lambda span: span.startswith(f"{kind}:"))).cast("long")
+    return found.select(
+        "doc_id", *(count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
+    )
