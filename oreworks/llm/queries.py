@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from oreworks.llm import language, secrets
 from oreworks.llm.near_duplicates import near_duplicates
+from oreworks.llm.packing import pack_sequences
 from oreworks.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +51,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
     )
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens in sequences of at most 1024."""
+    pieces = pack_sequences(table(spark, sf_dir, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
