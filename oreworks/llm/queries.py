@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from oreworks.llm import language, secrets
 from oreworks.llm.near_duplicates import near_duplicates
 from oreworks.llm.packing import pack_sequences
+from oreworks.llm.mixing import mix
+from oreworks.llm.top_k import top_k
 from oreworks.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +60,53 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of at most 1024."""
     pieces = pack_sequences(table(spark, sf_dir, "documents"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, replicated so that every source has the same share of the characters."""
+    return mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_mixing"] = """
+WITH RECURSIVE docs AS (
+    SELECT *, CAST(('0x' || substr(md5('17:' || CASE WHEN doc_id IS NULL THEN '' ELSE CAST(doc_id AS VARCHAR) || ':' END
+                                      || md5(coalesce(text, ''))), 1, 13)) AS BIGINT) / 4503599627370496.0 AS place
+    FROM documents),
+sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents GROUP BY source HAVING size > 0),
+rates AS (
+    SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM sizes) * (SELECT sum(size) FROM sizes)::DOUBLE / size AS rate
+    FROM sizes),
+poisson AS (
+    SELECT source, rate, 0 AS k, -rate AS term, exp(-rate) AS upto FROM rates
+    UNION ALL
+    SELECT source, rate, k + 1, term + ln(rate) - ln((k + 1)::DOUBLE), upto + exp(term + ln(rate) - ln((k + 1)::DOUBLE))
+    FROM poisson WHERE k + 1 <= ceil(rate + 12 * sqrt(rate) + 24)),
+counts AS (
+    SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.place,
+           (SELECT count(*) FROM poisson p WHERE p.source IS NOT DISTINCT FROM d.source AND round(p.upto, 12) <= d.place) AS n
+    FROM docs d JOIN rates r ON r.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(n)) AS INTEGER) AS copy FROM counts
+"""
+
+
+@query
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every vector whose id is divisible by 100 with all other vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+ORACLES["op10_top_k"] = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+products AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM products)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
