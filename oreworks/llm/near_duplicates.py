@@ -10,7 +10,7 @@ The steps, and what each moves:
 1. Documents are read once, in blocks. A block sends its distinct shingles, sorted and packed, to the range of hashes they
    fall in (a shingle in many documents of a block goes once), where those that occur elsewhere too are found. Only these
    come back: a shingle of one document can't match anything.
-2. Documents with one set of shingles are one node, represented by the smallest id.
+2. Documents with one set of shingles are one node; one of them keeps its shingles.
 3. A signature's nodes are compared with the least edited of them (a star, not all pairs), and components are formed.
 4. Signatures whose other nodes are not yet in one component are left. Their clusters compare the nodes outside the
    cluster's largest component with all nodes, in blocks of bounded size, inside tasks; only found links leave a task.
@@ -24,11 +24,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oreworks.llm.arrays import pack, pack_sorted, unpack, unpack_sorted
 from oreworks.llm.common import connected_components, stored
 from oreworks.llm.shingles import WORDS, WordHashes, shingles
 
@@ -37,47 +37,28 @@ from oreworks.llm.shingles import WORDS, WordHashes, shingles
 class Settings:
     """percent: Jaccard similarity of a link, in hundredths. words: of a shingle.
 
-    block_shingles: shingles that a task gathers before it sends them. range_shingles: about as many meet in one range.
+    block_shingles: shingles that a task gathers before it sends them. range_shingles, range_sets: about as many meet in
+    one range.
     rare: documents up to which a shingle is of the rare class.
     side: nodes on either side of a block of comparisons.
     """
 
     percent: int = 75
     words: int = WORDS
-    block_shingles: int = 1 << 21
+    block_shingles: int = 1 << 20
     range_shingles: int = 1 << 20
+    range_sets: int = 1 << 17
     rare: int = 64
     side: int = 1024
 
 
-# Packed arrays: the byte planes of a column compress far better than its values.
-
-
-def _pack(values: np.ndarray) -> bytes:
-    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes() if len(values) else b""
-    return zstandard.compress(planes, 1)
-
-
-def _unpack(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(planes.reshape(size, len(planes) // size).T).reshape(-1).view(kind)
-
-
-def _pack_sorted(values: np.ndarray) -> bytes:
-    return _pack(np.diff(values, prepend=values.dtype.type(0)))
-
-
-def _unpack_sorted(data: bytes, kind: type) -> np.ndarray:
-    return np.cumsum(_unpack(data, kind), dtype=kind)
-
-
-def _block_rows(block: int, rows: list[tuple], ranges: int) -> pd.DataFrame:
-    """A block's messages: its documents to itself, its distinct shingles to their ranges."""
-    sets = [row[2] for row in rows]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    every = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+def _block_rows(block: int, rows: list[tuple], ranges: int, classes: int) -> pd.DataFrame:
+    """A block's messages: its documents to itself, its distinct shingles and sets to the ranges that compare them."""
+    digests = [xxhash.xxh3_128_digest(row[2].tobytes()) for row in rows]
+    place = {digest: k for k, digest in reversed(list(enumerate(digests)))}
+    own = sorted(place.values())  # of equal sets in a block, the first speaks for all
+    every = np.concatenate([rows[k][2] for k in own])
+    owner = np.repeat(np.array(own, np.uint32), [len(rows[k][2]) for k in own])
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
     first = np.ones(len(every), bool)
@@ -86,15 +67,23 @@ def _block_rows(block: int, rows: list[tuple], ranges: int) -> pd.DataFrame:
     counts = np.diff(np.append(np.flatnonzero(first), len(every))).astype(np.uint32)
     edges = [(k << 64) // ranges for k in range(1, ranges)]
     cuts = np.concatenate(([0], np.searchsorted(distinct, np.array(edges, np.uint64)), [len(distinct)])).astype(np.int64)
+    none = (None,) * 6
     out = [
-        (k, block, _pack_sorted(distinct[a:b]), _pack(counts[a:b]), None, None, None, None, None)
+        (k, block, pack_sorted(distinct[a:b]), pack(counts[a:b]), *none[:5])
         for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))
         if b > a
     ]
-    digests = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
+    meet: dict[int, list[int]] = {}
+    for k in own:
+        meet.setdefault(ranges + int.from_bytes(digests[k][:8], "little") % classes, []).append(k)
+    out += [
+        (to, block, pack(np.array(ks, np.int64)), b"".join(digests[k] for k in ks), *none[:5]) for to, ks in meet.items()
+    ]
     ids, keys = (np.array([row[k] for row in rows], np.int64) for k in (0, 1))
+    sizes = np.array([len(row[2]) for row in rows], np.int64)
     out.append((
-        -1 - block, block, _pack(owner), _pack(np.packbits(first)), _pack(cuts), _pack(ids), _pack(keys), _pack(sizes), digests
+        -1 - block, block, pack(owner), pack(np.packbits(first)), pack(cuts), pack(ids), pack(keys), pack(sizes),
+        b"".join(digests),
     ))
     return pd.DataFrame(out, columns=["place", "block", "a", "b", "c", "d", "e", "f", "g"])
 
@@ -102,7 +91,7 @@ def _block_rows(block: int, rows: list[tuple], ranges: int) -> pd.DataFrame:
 _MESSAGE = "place long, block long, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 
 
-def _blocks(settings: Settings, ranges: int):
+def _blocks(settings: Settings, ranges: int, classes: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, rows, held = WordHashes(), [], 0
         block = TaskContext.get().partitionId() << 32
@@ -112,21 +101,30 @@ def _blocks(settings: Settings, ranges: int):
                 rows.append((doc_id, key, found))
                 held += len(found) + 16
                 if held >= settings.block_shingles:
-                    yield _block_rows(block, rows, ranges)
+                    yield _block_rows(block, rows, ranges, classes)
                     block, rows, held = block + 1, [], 0
         if rows:
-            yield _block_rows(block, rows, ranges)
+            yield _block_rows(block, rows, ranges, classes)
+
+    return run
+
+
+def _answers(ranges: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        place = group["place"].iloc[0]
+        if place < 0:
+            return group
+        out = _repeated(group) if place < ranges else _first_of_class(group)
+        columns = ["place", "block", "a", "b", "c", "d", "e", "f", "g"]
+        return pd.DataFrame([row + (None,) * (9 - len(row)) for row in out], columns=columns)
 
     return run
 
 
-def _repeated(group: pd.DataFrame) -> pd.DataFrame:
+def _repeated(group: pd.DataFrame) -> list[tuple]:
     """Of one range: each block's shingles that occur in more than one document, with the number of documents."""
-    if group["place"].iloc[0] < 0:
-        return group
-    parts = [_unpack_sorted(data, np.uint64) for data in group["a"]]
-    counts = np.concatenate([_unpack(data, np.uint32) for data in group["b"]]).astype(np.int64)
-    sizes = [len(p) for p in parts]
+    parts = [unpack_sorted(data, np.uint64) for data in group["a"]]
+    counts = np.concatenate([unpack(data, np.uint32) for data in group["b"]]).astype(np.int64)
     every = np.concatenate(parts)
     order = np.argsort(every, kind="stable")
     ranked = every[order]
@@ -136,15 +134,30 @@ def _repeated(group: pd.DataFrame) -> pd.DataFrame:
     frequency = np.empty(len(every), np.int64)
     frequency[order] = totals[np.cumsum(first) - 1]
     out, start = [], 0
-    for place, block, part, size in zip(group["place"], group["block"], parts, sizes):
-        own = frequency[start : start + size]
+    for place, block, part in zip(group["place"], group["block"], parts):
+        own = frequency[start : start + len(part)]
+        start += len(part)
         at = np.flatnonzero(own > 1)
-        start += size
         if len(at):
             shown = np.minimum(own[at], np.iinfo(np.int32).max).astype(np.int32)
-            out.append((place, block, _pack_sorted(at.astype(np.int64)), _pack_sorted(part[at]), _pack(shown)))
-    wide = pd.DataFrame(out, columns=["place", "block", "a", "b", "c"])
-    return wide.assign(d=None, e=None, f=None, g=None)
+            out.append((place, block, pack_sorted(at.astype(np.int64)), pack_sorted(part[at]), pack(shown)))
+    return out
+
+
+def _first_of_class(group: pd.DataFrame) -> list[tuple]:
+    """Of one range of digests: each block's sets that no earlier block has."""
+    group = group.sort_values("block")
+    digests = np.frombuffer(b"".join(group["b"]), "S16")
+    fresh = np.zeros(len(digests), bool)
+    fresh[np.unique(digests, return_index=True)[1]] = True
+    out, start = [], 0
+    for place, block, data in zip(group["place"], group["block"], group["a"]):
+        at = unpack(data, np.int64)
+        mine = at[fresh[start : start + len(at)]]
+        start += len(at)
+        if len(mine):
+            out.append((place, block, pack(mine)))
+    return out
 
 
 def _pairs_of(tokens: np.ndarray, groups: int, space: int) -> np.ndarray:
@@ -194,20 +207,23 @@ def signatures(tokens: np.ndarray, frequency: np.ndarray, size: int, settings: S
 _NODE = "doc_id long, row_key long, n_shingles long, node string, alone long, repeated array<long>, signatures array<long>"
 
 
-def _assemble(settings: Settings):
+def _assemble(settings: Settings, ranges: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         own = group[group["place"] < 0].iloc[0]
-        owner = _unpack(own["a"], np.uint32)
-        first = np.unpackbits(_unpack(own["b"], np.uint8), count=len(owner)).astype(bool)
-        cuts, ids, keys, sizes = (_unpack(own[c], np.int64) for c in "cdef")
+        owner = unpack(own["a"], np.uint32)
+        first = np.unpackbits(unpack(own["b"], np.uint8), count=len(owner)).astype(bool)
+        cuts, ids, keys, sizes = (unpack(own[c], np.int64) for c in "cdef")
         digests = own["g"]
         frequency, token = np.zeros(int(first.sum()), np.int64), np.zeros(int(first.sum()), np.uint64)
+        leads = np.zeros(len(ids), bool)
         for place, a, b, c in zip(group["place"], group["a"], group["b"], group["c"]):
-            if place >= 0:
-                at = cuts[place] + _unpack_sorted(a, np.int64)
-                token[at], frequency[at] = _unpack_sorted(b, np.uint64), _unpack(c, np.int32)
+            if place >= ranges:
+                leads[unpack(a, np.int64)] = True
+            elif place >= 0:
+                at = cuts[place] + unpack_sorted(a, np.int64)
+                token[at], frequency[at] = unpack_sorted(b, np.uint64), unpack(c, np.int32)
         which = np.cumsum(first) - 1
-        known = frequency[which] > 1
+        known = (frequency[which] > 1) & leads[owner]
         owner, which = owner[known], which[known]
         order = np.lexsort((token[which], frequency[which], owner))
         owner, tokens, counts = owner[order], token[which][order], frequency[which][order]
@@ -237,16 +253,18 @@ def shingle_sets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """`doc_id, row_key, n_shingles, node, alone, repeated, signatures` for each row of `docs` (`doc_id, text`).
 
     row_key: hash of id and text. node: digest of the set, NULL for an empty one. alone: shingles that no other row has.
-    repeated: the others, from rare to frequent; like the signatures empty if no other set can link.
+    repeated: the others, from rare to frequent. They and the signatures are given for one row of each node, and only if
+    another set may link.
     `docs` has to give the same rows for a partition each time it is read (a stored table does).
     """
     # pandas has no NULL among integers: a missing id travels as 0, and the key's last bit tells.
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", row_key().alias("row_key"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    ranges = max(16, chars // 6 // settings.range_shingles)
-    sent = rows.mapInPandas(_blocks(settings, ranges), _MESSAGE)
-    answered = sent.groupBy("place").applyInPandas(_repeated, _MESSAGE)
-    made = answered.groupBy("block").applyInPandas(_assemble(settings), _NODE)
+    chars, count = rows.agg(F.sum(F.length("text")), F.count("*")).first()
+    ranges = max(16, (chars or 0) // 6 // settings.range_shingles)
+    classes = max(4, count // settings.range_sets)
+    sent = rows.mapInPandas(_blocks(settings, ranges, classes), _MESSAGE)
+    answered = sent.groupBy("place").applyInPandas(_answers(ranges), _MESSAGE)
+    made = answered.groupBy("block").applyInPandas(_assemble(settings, ranges), _NODE)
     return made.withColumn("doc_id", F.when(F.col("row_key").bitwiseAND(F.lit(1)) == 0, F.col("doc_id")))
 
 
@@ -330,13 +348,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     """
     sets = stored(shingle_sets(docs, settings))
     able = sets.where(F.size("signatures") > 0)
-    # One row for each node: its first document's. The arrays of equal nodes are equal.
-    first = able.groupBy("node").agg(F.min("row_key").alias("row_key"))
-    nodes = stored(
-        able.join(first, ["node", "row_key"], "left_semi")
-        .dropDuplicates(["node"])
-        .select("node", "n_shingles", "alone", "repeated", "signatures")
-    )
+    nodes = able.select("node", "n_shingles", "alone", "repeated", "signatures")
     signs = nodes.select(
         "node", "n_shingles", (F.col("alone") / F.col("n_shingles")).alias("edited"), F.explode("signatures").alias("sign")
     )
