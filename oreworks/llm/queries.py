@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from oreworks.llm import language, secrets
+from oreworks.llm.mixing import mix
 from oreworks.llm.near_duplicates import near_duplicates
 from oreworks.llm.packing import pack_sequences
-from oreworks.llm.mixing import mix
 from oreworks.llm.top_k import top_k
 from oreworks.llm.common import held_out, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
 
 
