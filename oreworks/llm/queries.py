@@ -12,6 +12,7 @@ from oreworks.llm import language, secrets
 from oreworks.llm.mixing import mix
 from oreworks.llm.near_duplicates import near_duplicates
 from oreworks.llm.packing import pack_sequences
+from oreworks.llm.simhash import compare_with_edits
 from oreworks.llm.top_k import top_k
 from oreworks.llm.common import held_out, table
 
@@ -111,3 +112,9 @@ ranked AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM products)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how alike they are."""
+    return compare_with_edits(table(spark, sf_dir, "documents"))
