@@ -12,6 +12,7 @@ from oreworks.llm import language, secrets
 from oreworks.llm.mixing import mix
 from oreworks.llm.near_duplicates import near_duplicates
 from oreworks.llm.packing import pack_sequences
+from oreworks.llm.quality import quality
 from oreworks.llm.simhash import compare_with_edits
 from oreworks.llm.top_k import top_k
 from oreworks.llm.common import held_out, table
@@ -118,3 +119,13 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and how alike they are."""
     return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality(docs, labels, ~held_out(F.col("doc_id")))
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
