@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oreworks.llm import language, secrets
+from oreworks.llm import language, secrets, urls
 from oreworks.llm.mixing import mix
 from oreworks.llm.near_duplicates import near_duplicates
 from oreworks.llm.packing import pack_sequences
@@ -129,3 +129,68 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+_ORDERS = range(urls.ORDER + 1)
+ORACLES["op5_urls"] = f"""
+WITH parts AS (
+    SELECT page_id, url, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+    FROM pages),
+hosts AS (
+    SELECT *, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host,
+           regexp_extract(substr(coalesce(rest, ''), length(regexp_extract(coalesce(rest, ''), '^[^/?#]*')) + 1), '^[^?#]*') AS path
+    FROM parts),
+ruled AS (
+    SELECT *, CASE
+        WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+        WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+        WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule,
+        '^^^' || regexp_replace(translate(coalesce(url, ''), '{urls.UPPER}{urls.DIGITS}', '{urls.LOWER}0000000000'),
+                                '[^a-z0:/._?=&#\\-]', '*', 'g') || '$' AS text
+    FROM hosts),
+judged AS (
+    SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS decided
+    FROM ruled),
+texts AS (
+    SELECT text, count(*) FILTER (WHERE decided = 'allow') AS accepted, count(*) FILTER (WHERE decided = 'block') AS rejected
+    FROM judged GROUP BY text),
+places AS (SELECT *, unnest(range(1, length(text) - 2)) AS place FROM texts),
+grams AS (
+    SELECT substr(text, place, 4) AS gram, sum(accepted)::DOUBLE AS accepted, sum(rejected)::DOUBLE AS rejected
+    FROM places GROUP BY gram),
+{"".join(f"""
+seen{k} AS (SELECT substr(gram, {4 - k}, {k + 1}) AS tail, sum(accepted) AS a, sum(rejected) AS r FROM grams GROUP BY tail),
+all{k} AS (SELECT substr(gram, {4 - k}, {k}) AS context, sum(accepted) AS a, sum(rejected) AS r FROM grams GROUP BY context),"""
+for k in _ORDERS)}
+model0 AS (
+    SELECT gram, (s.a + 2.0::DOUBLE * (1.0::DOUBLE / 41)) / (t.a + 2.0::DOUBLE) AS pa,
+           (s.r + 2.0::DOUBLE * (1.0::DOUBLE / 41)) / (t.r + 2.0::DOUBLE) AS pr
+    FROM grams JOIN seen0 s ON s.tail = substr(gram, 4, 1) JOIN all0 t ON t.context = ''),
+{",".join(f"""
+model{k} AS (
+    SELECT m.gram, (s.a + 2.0::DOUBLE * pa) / (t.a + 2.0::DOUBLE) AS pa, (s.r + 2.0::DOUBLE * pr) / (t.r + 2.0::DOUBLE) AS pr
+    FROM model{k - 1} m JOIN seen{k} s ON s.tail = substr(m.gram, {4 - k}, {k + 1})
+    JOIN all{k} t ON t.context = substr(m.gram, {4 - k}, {k}))""" for k in _ORDERS if k)},
+ratios AS (SELECT gram, CAST(round((ln(pa) - ln(pr)) * 1e6) AS BIGINT) AS ratio FROM model3),
+scored AS (
+    SELECT p.text, any_value(p.accepted) AS accepted, any_value(p.rejected) AS rejected,
+           CAST(floor(sum(ratio)::DOUBLE / count(*)) AS BIGINT) AS score
+    FROM places p JOIN ratios r ON r.gram = substr(p.text, p.place, 4) GROUP BY p.text),
+moments AS (
+    SELECT sum(accepted)::DOUBLE AS n1, sum(accepted * score)::DOUBLE / n1 AS m1,
+           sqrt(greatest(sum(accepted * score * score)::DOUBLE / n1 - m1 * m1, 1)) AS d1,
+           sum(rejected)::DOUBLE AS n0, sum(rejected * score)::DOUBLE / n0 AS m0,
+           sqrt(greatest(sum(rejected * score * score)::DOUBLE / n0 - m0 * m0, 1)) AS d0
+    FROM scored)
+SELECT page_id, host, path, rule, score,
+       coalesce(decided, CASE WHEN score >= (SELECT CASE WHEN n1 > 0 AND n0 > 0 THEN (m1 * d0 + m0 * d1) / (d1 + d0) ELSE 0 END
+                                             FROM moments) THEN 'allow' ELSE 'block' END) AS verdict
+FROM judged JOIN scored USING (text)
+"""
