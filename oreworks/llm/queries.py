@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oreworks.llm import language, secrets, urls
+from oreworks.llm import language, licenses, secrets, urls
 from oreworks.llm.mixing import mix
 from oreworks.llm.near_duplicates import near_duplicates
 from oreworks.llm.packing import pack_sequences
@@ -194,3 +194,37 @@ SELECT page_id, host, path, rule, score,
                                              FROM moments) THEN 'allow' ELSE 'block' END) AS verdict
 FROM judged JOIN scored USING (text)
 """
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences among the texts of all documents and their lines."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _values(entries) -> str:
+    return ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in entries)
+
+
+def _lines(text: str) -> str:
+    words = f"regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    for spelling, usual in licenses.SPELLINGS:
+        words = f"regexp_replace({words}, '\\b{spelling}\\b', '{usual}', 'g')"
+    return f"list_filter(list_transform(string_split({words}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+_WHOLE = f"md5(array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '{licenses.COPYRIGHT_LINE}')), ' '))"
+ORACLES["op6_licenses"] = f"""
+WITH texts AS (SELECT * FROM (VALUES {_values(licenses.LICENSES)}) t(license, text)),
+stated AS (SELECT * FROM (VALUES {_values(licenses.NOTICES)}) t(license, text)),
+texts_by AS (SELECT {_WHOLE} AS digest, min(license) AS license FROM (SELECT license, {_lines("text")} AS lines FROM texts) GROUP BY 1),
+stated_by AS (SELECT {_WHOLE} AS digest, min(license) AS notice FROM (SELECT license, {_lines("text")} AS lines FROM stated) GROUP BY 1),
+docs AS (SELECT row_number() OVER () AS n, doc_id, {_lines("coalesce(text, '')")} AS lines FROM documents),
+whole AS (SELECT n, doc_id, {_WHOLE} AS digest FROM docs),
+lines AS (SELECT n, md5(unnest(lines)) AS digest FROM docs),
+found AS (
+    SELECT n, count(*) AS n_notices, array_to_string(list_sort(list(DISTINCT notice)), ',') AS notices
+    FROM lines JOIN stated_by USING (digest) GROUP BY n)
+SELECT doc_id, license, coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices
+FROM whole LEFT JOIN texts_by USING (digest) LEFT JOIN found USING (n)
+"""
