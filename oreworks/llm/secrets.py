@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -198,13 +199,17 @@ def _usable(value: str) -> bool:
     return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
 
 
+def _touches(m: re.Match, spans: list[Span]) -> bool:
+    return any(start < m.end() and m.start() < end for _, start, end in spans)
+
+
 def format_spans(text: str, base: list[Span], formats: Formats) -> list[Span]:
     """Runs that no base span touches and whose format is likely."""
     if not formats.automata:
         return []
     out = []
     for m in RUN.finditer(text):
-        if _usable(m[0]) and not any(s[1] < m.end() and m.start() < s[2] for s in base) and formats.matches(m[0]):
+        if _usable(m[0]) and not _touches(m, base) and formats.matches(m[0]):
             out.append(("format", m.start(), m.end()))
     return out
 
@@ -212,7 +217,7 @@ def format_spans(text: str, base: list[Span], formats: Formats) -> list[Span]:
 def learn(docs: DataFrame, settings: Settings = Settings()) -> Formats:
     """Formats of the credentials that the fixed patterns label in all of `docs` (`text`).
 
-    The usual characters are counted over all runs of all texts. Examples are distinct values drawn by hash at a rate set
+    The usual characters are counted over all runs of all texts that no such pattern touches. Examples are distinct values drawn by hash at a rate set
     by their count, about twice `examples` of a kind: one half is inferred from, the other sets the threshold.
     """
 
@@ -222,11 +227,13 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Formats:
             for text in batch["text"]:
                 if text is None:
                     continue
-                for kind, start, end in base_spans(text):
+                base = base_spans(text)
+                for kind, start, end in base:
                     m = ASSIGN.match(text, start) if kind == "assign" else None
                     seen.add((kind, m[2] if m else text[start:end]))
                 for m in RUN.finditer(text):
-                    usual.update(m[0])
+                    if not _touches(m, base):
+                        usual.update(m[0])
             yield pd.DataFrame(
                 [(kind, value, 1) for kind, value in seen] + [("char", char, n) for char, n in usual.items()],
                 columns=["kind", "value", "n"],
@@ -242,7 +249,7 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Formats:
         kind, rate = row["kind"], min(1.0, 2.0 * settings.examples / row["count"])
         place = F.pmod(F.xxhash64("value"), F.lit(1 << 30)) / float(1 << 30)
         drawn = marks.where((F.col("kind") == kind) & (place < rate)).select("value").collect()
-        values = sorted(r["value"] for r in drawn)
+        values = sorted((r["value"] for r in drawn), key=lambda v: (zlib.crc32(v.encode()), v))  # apart from their spelling
         fitted, held = values[::2], values[1::2] or values
         automaton = Automaton(fitted, settings.alpha)
         automaton.trim()
