@@ -50,7 +50,7 @@ def canonical_lines(text: Column) -> Column:
     words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
     for spelling, usual in SPELLINGS:
         words = F.regexp_replace(words, rf"\b{spelling}\b", usual)
-    return F.filter(F.transform(F.split(words, "\n"), F.trim), lambda line: line != "")
+    return F.filter(F.transform(F.split(words, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def canonical_text(lines: Column) -> Column:
