@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oreworks.llm.common import SMALL_ROWS
+from oreworks.llm.common import SMALL_ROWS, stored
 
 #: Parts in which a hash is read as a number between 0 and 1.
 _PARTS = 1 << 52
@@ -51,11 +51,11 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None) -> DataFr
         table = docs.sparkSession.createDataFrame(list(weights.items()), "source string, weight double")
         wanted = sizes.join(table, "source", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     wanted = wanted.where("size > 0")
-    totals = wanted.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    # The one row of totals goes to each source by a key that all have.
-    shares = wanted.withColumn("one", F.lit(1)).join(F.broadcast(totals.withColumn("one", F.lit(1))), "one").drop("one")
-    rate = F.col("weight") / F.col("all_weight") * F.col("all_size") / F.col("size")
-    return shares.withColumn("rate", F.coalesce(rate, F.lit(0.0))).select(
+    wanted = stored(wanted)
+    totals = wanted.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
+    whole, weight = F.lit(float(totals["size"] or 0)), F.lit(float(totals["weight"] or 0))
+    rate = F.when(weight > 0, F.col("weight") / weight * whole / F.col("size")).otherwise(0.0)
+    return wanted.withColumn("rate", rate).select(
         "source", "rate", _cumulative(F.col("rate")).alias("cumulative")
     )
 
