@@ -6,6 +6,7 @@ import os
 from dataclasses import dataclass, field, replace
 from decimal import Decimal
 
+from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from oreworks import contract as C
@@ -47,11 +48,10 @@ class Limits:
 
 @dataclass(frozen=True)
 class Scale:
-    """Bounds that decide between a broadcast and a shuffle, and what counts as a hot key."""
+    """Bounds that decide between a broadcast and a shuffle; results are the same."""
 
     broadcast_rows: int = 2_000_000
     broadcast_bytes: int = 128 * 1024 * 1024
-    hot_key_rows: int = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,9 @@ class Settings:
     scale: Scale = field(default_factory=Scale)
     sources: tuple[SourceSpec, ...] = field(default_factory=default_sources)
     # Which of several valid rows with one key counts as the first.
-    keep_first_by: tuple[str, ...] = ("_source_priority", "_source_file", "order_ts")
+    keep_first_by: tuple[str, ...] = ("_ingestion_ts", "_source_priority", "_source_file", "order_ts")
+    # Days and months are those of this zone; None keeps the session's.
+    time_zone: str | None = None
 
     def folder(self, table: str, *parts: str) -> str:
         return "/".join([self.root.rstrip("/"), C.FOLDERS[table], *parts])
@@ -114,3 +116,9 @@ class Settings:
 
     def with_limits(self, **changes) -> "Settings":
         return replace(self, limits=replace(self.limits, **changes))
+
+
+def pin_time_zone(spark: SparkSession, settings: Settings) -> None:
+    """Make the session's days those of the settings; plans do so when they start."""
+    if settings.time_zone:
+        spark.conf.set("spark.sql.session.timeZone", settings.time_zone)

@@ -136,6 +136,7 @@ FOLDERS = {
     "gold_payment": "gold/faturamento_por_pagamento",
     "gold_category": "gold/faturamento_categoria_segmento",
     "history": "quality/historico",
+    "checks": "quality/verificacoes",
     "metrics": "quality/metricas",
 }
 

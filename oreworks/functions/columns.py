@@ -11,7 +11,7 @@ from oreworks import contract as C
 
 # Money is compared and summed as a decimal: exact, and independent of the order
 # in which partitions are added up.  Six places keep prices finer than a cent.
-MONEY = "decimal(18,6)"
+MONEY = "decimal(38,6)"
 
 
 def money(column: str | Column) -> Column:
@@ -43,12 +43,12 @@ def year_month(column: str | Column) -> Column:
 
 
 def product_number(column: str | Column) -> Column:
-    return F.regexp_extract(_col(column), C.PRODUCT_NUMBER_PATTERN, 1).try_cast("int")
+    return F.regexp_extract(_col(column), C.PRODUCT_NUMBER_PATTERN, 1).try_cast("bigint")
 
 
 def category_of(product: str | Column, per_category: int) -> Column:
     """Category code of a product number; NULL when the product has no number."""
-    bucket = F.ceil(product_number(product) / F.lit(per_category)).cast("int")
+    bucket = F.ceil(product_number(product) / F.lit(per_category)).cast("bigint")
     digits = bucket.cast("string")
     return F.concat(F.lit(C.CATEGORY_PREFIX), F.when(bucket < 10, F.concat(F.lit("0"), digits)).otherwise(digits))
 

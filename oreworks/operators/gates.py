@@ -208,6 +208,25 @@ def failed_checks(checks: DataFrame) -> DataFrame:
     return checks.filter(F.col("status") == FAIL)
 
 
+#: Stored checks; run and layer are folders.
+CHECK_LAYOUT = (
+    "position int, executed_at timestamp, data_ref string, `check` string, dimension string, status string, value string, "
+    "expected string, blocking boolean"
+)
+
+
+def stored_checks(checks: DataFrame, layer: str, run_id: str, data_ref: str) -> DataFrame:
+    """Checks in full, in their order, as a failure report reads them later."""
+    return checks.select(
+        F.monotonically_increasing_id().cast("int").alias("position"),
+        F.current_timestamp().alias("executed_at"),
+        F.lit(data_ref).alias("data_ref"),
+        F.lit(run_id).alias("run_id"),
+        F.lit(layer).alias("layer"),
+        *("check", "dimension", "status", "value", "expected", "blocking"),
+    )
+
+
 def history_rows(checks: DataFrame, layer: str, run_id: str, data_ref: str) -> DataFrame:
     """Checks as rows of the append-only quality history."""
     return checks.select(

@@ -100,7 +100,20 @@ def one_per_key(df: DataFrame, key: str, order_by: Sequence[str] | None = None)
 
 
 def customers_dimension(df: DataFrame) -> DataFrame:
-    return one_per_key(with_key(minimize_customers(df), "customer_id"), "customer_id")
+    """One row per customer: the most complete, then the latest, registration and arrival.
+
+    What is still equal is settled by the remaining columns.
+    """
+    rows = with_key(minimize_customers(df), "customer_id")
+    facts = ("customer_city", "customer_state", "segment", "registration_date")
+    missing = sum((F.col(c).isNull().cast("int") for c in facts), F.lit(0))
+    ranked = rows.withColumns({
+        "_missing": missing,
+        "_age": F.coalesce(-F.unix_date("registration_date"), F.lit(2**31 - 1)),
+        "_arrival": -F.unix_micros("_ingestion_ts") if "_ingestion_ts" in rows.columns else F.lit(0),
+    })
+    order = ("_missing", "_age", "_arrival")
+    return one_per_key(ranked, "customer_id", order).drop(*order)
 
 
 def flatten_categories(df: DataFrame, items: str = C.CATEGORIES) -> DataFrame:

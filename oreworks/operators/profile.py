@@ -25,12 +25,14 @@ def rows_by_source(df: DataFrame) -> DataFrame:
     return df.groupBy("_source").agg(F.count("*").alias("rows"))
 
 
-def source_stats(bronze: DataFrame) -> DataFrame:
-    """Rows and distinct physical files per source."""
+def source_stats(bronze: DataFrame, expected: Sequence[str] = ()) -> DataFrame:
+    """Rows and distinct physical files per source; an expected source without rows has 0 of both."""
     per_file = bronze.groupBy("_source", "_source_file").agg(F.count("*").alias("n"))
-    return per_file.groupBy("_source").agg(
-        F.sum("n").alias("rows"), F.count("_source_file").alias("files")
-    )
+    stats = per_file.groupBy("_source").agg(F.sum("n").alias("rows"), F.count("_source_file").alias("files"))
+    if not expected:
+        return stats
+    names = bronze.sparkSession.createDataFrame([(name,) for name in expected], "_source string")
+    return names.join(stats, "_source", "full").fillna(0, ["rows", "files"])
 
 
 def null_profile(df: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Two ways to the same verdicts:
 
-* ``judge`` is one lazy plan: flag customers, evaluate the rules, number repeats.
+* ``judge`` is one lazy plan: flag customers, evaluate the rules, flag repeats.
 * ``judge_by_exceptions`` is for the big table.  Defects are rare, so the few unknown
   customers and repeated rows are found first, from narrow key columns, and the wide
   rows are then tagged by those small lists.  The wide rows themselves are not
@@ -18,26 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oreworks import contract as C
-from oreworks.config import Scale
 from oreworks.operators import lookups
-from oreworks.operators.rules import FAILED, KNOWN, Rule, evaluate, failed_names
+from oreworks.operators.rules import FAILED, KNOWN, Rule, evaluate, failed_names, mask_columns
 
 ROW_ID = "_row_id"
 ORDER = ("_source_priority", "_source_file", "order_ts")
-# Sketch of frequent keys: keys are dealt to lanes by hash, each lane tracks a few
-# counters and names a few keys.  So what tasks send on is small and arrives spread
-# over the lanes, and at most SKETCH_LANES x KEYS_PER_LANE keys can be called hot.
-SKETCH_LANES = 96
-KEYS_PER_LANE = 32
-COUNTERS_PER_LANE = 128
-MAX_HOT_KEYS = SKETCH_LANES * KEYS_PER_LANE
-# Rows that need no numbering are spread over this many lanes.
-SPREAD_LANES = 1 << 20
-
 REPEAT = "_repeat"
 KEY_HASH = "_key_hash"
 
-_WORKING = (FAILED, REPEAT, "_occurrence", KNOWN, "_source_priority", ROW_ID)
+_WORKING = (REPEAT, KNOWN, "_source_priority", ROW_ID)
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
@@ -50,55 +39,24 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return df if ROW_ID in df.columns else df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int) -> DataFrame:
-    """Keys that hold at least ``min_rows`` rows, as far as a bounded sketch can tell.
-
-    It misses no key that holds a noticeable part of all rows, and names at most
-    3,072 keys.  It only steers how the work is spread; results do not depend on it.
-    """
-    per_lane = (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(F.pmod(F.xxhash64(key), F.lit(SKETCH_LANES)).alias("lane"))
-        .agg(F.expr(f"approx_top_k(`{key}`, {KEYS_PER_LANE}, {COUNTERS_PER_LANE})").alias("top"))
-    )
-    return per_lane.select(F.inline("top")).filter(F.col("count") >= min_rows).select(F.col("item").alias(key))
-
-
-def number_occurrences(
-    df: DataFrame,
-    key: str,
-    order_by: Sequence[str],
-    eligible: Column,
-    hot: DataFrame,
-    hot_on: str | None = None,
-) -> DataFrame:
-    """``_occurrence`` of eligible rows within their key: 1 for the first, more for later ones.
-
-    ``hot`` lists the hot keys, or under ``hot_on`` something that identifies them.
+def flag_repeats(df: DataFrame, key: str, order_by: Sequence[str], eligible: Column) -> DataFrame:
+    """``_repeat``: whether an eligible row comes after another eligible row of its key.
 
-    Ordinary keys are numbered by a window.  The few hot keys are not sent through
-    it: their first row is found by an aggregate that collapses inside every task,
-    and their later rows are all marked 2.  Other rows are spread evenly.
+    One rule for all keys.  The first row of a key is an aggregate that collapses
+    inside every task, and rows are compared with it one by one, so a hot key is
+    never gathered; the adaptive skew join splits its rows.  Rows without a key
+    repeat nothing.
     """
     order = F.struct(*[F.col(c) for c in order_by], F.col(ROW_ID).alias("id"))
     firsts = (
-        df.join(F.broadcast(hot), hot_on or key, "left_semi")
+        df.filter(eligible & F.col(key).isNotNull())
         .groupBy(key)
-        .agg(F.min(F.when(eligible, order))["id"].alias("_first_id"))
-    )
-    # both broadcasts are bounded by the number of keys a sketch can name
-    lined_up = (
-        df.join(F.broadcast(firsts), key, "left")
-        .withColumn("_lane_key", F.when(eligible & F.col("_first_id").isNull(), F.col(key)))
-        .withColumn("_lane", F.when(F.col("_lane_key").isNull(), F.pmod(F.xxhash64(ROW_ID), F.lit(SPREAD_LANES))))
+        .agg(F.min(order)["id"].alias("_first_id"), F.count("*").alias("_copies"))
+        .filter("_copies > 1")
+        .drop("_copies")
     )
-    window = Window.partitionBy("_lane_key", "_lane").orderBy(*order_by, ROW_ID)
-    occurrence = (
-        F.when(~eligible, F.lit(None))
-        .when(F.col("_first_id").isNotNull(), F.when(F.col("_first_id") == F.col(ROW_ID), 1).otherwise(2))
-        .otherwise(F.row_number().over(window))
-    )
-    return lined_up.withColumn("_occurrence", occurrence.cast("int")).drop("_first_id", "_lane_key", "_lane")
+    later = eligible & F.col("_first_id").isNotNull() & (F.col("_first_id") != F.col(ROW_ID))
+    return df.join(firsts, key, "left").withColumn(REPEAT, F.coalesce(later, F.lit(False))).drop("_first_id")
 
 
 def conclude(df: DataFrame, rules: Sequence[Rule], repeat: Column) -> DataFrame:
@@ -113,8 +71,6 @@ def judge(
     rules: Sequence[Rule],
     order_by: Sequence[str] = ORDER,
     key: str = "order_id",
-    scale: Scale = Scale(),
-    hot: DataFrame | None = None,
 ) -> DataFrame:
     """All rows with their final ``_reasons``; an empty list means valid.
 
@@ -125,10 +81,8 @@ def judge(
     if "_source_priority" in order_by and "_source_priority" not in rows.columns:
         rows = rows.withColumn("_source_priority", F.lit(0))
     checked = evaluate(lookups.flag_known(rows, registry), rules)
-    if hot is None:
-        hot = hot_keys(sales, key, scale.hot_key_rows)
-    numbered = number_occurrences(checked, key, order_by, F.col(FAILED) == 0, hot)
-    return conclude(numbered, rules, F.coalesce(F.col("_occurrence") > 1, F.lit(False)))
+    flagged = flag_repeats(checked, key, order_by, F.col(FAILED) == 0)
+    return conclude(flagged, rules, F.col(REPEAT))
 
 
 def is_valid() -> Column:
@@ -137,11 +91,11 @@ def is_valid() -> Column:
 
 
 def valid_rows(judged: DataFrame) -> DataFrame:
-    return judged.filter(is_valid()).drop("_reasons", *_WORKING)
+    return judged.filter(is_valid()).drop("_reasons", *_WORKING, *mask_columns(judged))
 
 
 def quarantined_rows(judged: DataFrame) -> DataFrame:
-    return annotate(judged.filter(~is_valid())).drop(*_WORKING)
+    return annotate(judged.filter(~is_valid())).drop(*_WORKING, *mask_columns(judged))
 
 
 def annotate(quarantine: DataFrame) -> DataFrame:
@@ -208,12 +162,6 @@ def repeat_suspects(sales: DataFrame, key: str = "order_id") -> DataFrame:
     return hashed.groupBy(KEY_HASH).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def hot_suspects(suspects: DataFrame, min_rows: int) -> DataFrame:
-    """The most frequent suspects that hold ``min_rows`` rows or more, bounded in number."""
-    frequent = suspects.filter(F.col("n") >= min_rows).orderBy(F.desc("n")).limit(MAX_HOT_KEYS)
-    return frequent.select(KEY_HASH)
-
-
 def repeated_rows(
     sales: DataFrame,
     tag_customers: Callable[[DataFrame], DataFrame],
@@ -221,7 +169,6 @@ def repeated_rows(
     rules: Sequence[Rule],
     order_by: Sequence[str] = ORDER,
     key: str = "order_id",
-    scale: Scale = Scale(),
     small: bool = False,
 ) -> DataFrame:
     """Identities of good rows that come second or later within their key.
@@ -234,10 +181,8 @@ def repeated_rows(
         F.broadcast(listed) if small else listed, KEY_HASH, "left_semi"
     )
     checked = evaluate(tag_customers(few), rules)
-    narrow = checked.select(*dict.fromkeys([key, *order_by]), KEY_HASH, ROW_ID, FAILED)
-    hot = hot_suspects(suspects, scale.hot_key_rows)
-    numbered = number_occurrences(narrow, key, order_by, F.col(FAILED) == 0, hot, KEY_HASH)
-    return numbered.filter(F.col("_occurrence") > 1).select(ROW_ID)
+    narrow = checked.filter(F.col(FAILED) == 0).select(*dict.fromkeys([key, *order_by]), ROW_ID)
+    return flag_repeats(narrow, key, order_by, F.lit(True)).filter(REPEAT).select(ROW_ID)
 
 
 def judge_by_exceptions(

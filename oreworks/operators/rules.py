@@ -18,7 +18,7 @@ from oreworks.functions import columns as X
 
 KNOWN = "_customer_known"
 FAILED = "_failed"
-MAX_RULES = 63
+RULES_PER_MASK = 63
 
 
 @dataclass(frozen=True)
@@ -99,10 +99,11 @@ def total_matches(tolerance: Decimal) -> Column:
     gap = F.abs(total - product)
     slack = (F.abs(quantity) + 2) * 1e-6 + (F.abs(total) + F.abs(product)) * 1e-12
     moderate = (F.abs(total) < 1e11) & (F.abs(price) < 1e11)
-    exact = F.abs(
-        X.money_or_null(total) - X.money_or_null(price) * quantity.try_cast("decimal(10,0)")
-    ) <= F.lit(tolerance)
+    exact_product = F.try_multiply(X.money_or_null(price), quantity.try_cast("decimal(10,0)"))
+    exact = F.abs(F.try_subtract(X.money_or_null(total), exact_product)) <= F.lit(tolerance)
     limit = F.lit(float(tolerance))
+    # Amounts beyond any decimal are compared as they are.
+    exact = F.coalesce(exact, gap <= limit)
     return F.when(moderate & (gap < limit - slack), F.lit(True)).when(
         moderate & (gap > limit + slack), F.lit(False)
     ).otherwise(exact)
@@ -130,28 +131,41 @@ def failed_mask(rules: Sequence[Rule]) -> Column:
     A number is far cheaper per row than a list of names, and is all that the many
     good rows need.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules fit one evaluation, got {len(rules)}")
     bits = [F.when(r.passes, F.lit(0)).otherwise(F.lit(1 << i)).cast("bigint") for i, r in enumerate(rules)]
     return reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("bigint"))
 
 
-def failed_names(rules: Sequence[Rule], mask: str | Column = FAILED) -> Column:
-    """Names behind the bits of a mask, in rule order."""
-    mask = F.col(mask) if isinstance(mask, str) else mask
-    names = [F.when(mask.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(r.name)) for i, r in enumerate(rules)]
+def _masks(rules: Sequence[Rule]) -> list[tuple[str, Sequence[Rule]]]:
+    """Mask columns and their rules: one column for up to 63 rules, else one more for each 63."""
+    parts = [rules[i : i + RULES_PER_MASK] for i in range(0, len(rules), RULES_PER_MASK)] or [rules]
+    return [(FAILED, rules)] if len(parts) == 1 else [(f"{FAILED}_{k}", part) for k, part in enumerate(parts)]
+
+
+def mask_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == FAILED or c.startswith(f"{FAILED}_")]
+
+
+def failed_names(rules: Sequence[Rule]) -> Column:
+    """Names behind the bits of the masks, in rule order."""
+    names = [
+        F.when(F.col(mask).bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(r.name))
+        for mask, part in _masks(rules) for i, r in enumerate(part)
+    ]
     found = F.array_compact(F.array(F.lit(None).cast("string"), *names))
-    return F.when(mask == 0, F.array().cast("array<string>")).otherwise(found)
+    return F.when(F.col(FAILED) == 0, F.array().cast("array<string>")).otherwise(found)
 
 
 def evaluate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Add the mask of failed rules.
+    """Add the masks of failed rules; ``_failed`` is 0 for a row that passes all.
 
     The observed counts go to whoever listens to the query.  They also keep the
     rules where they are: Spark moves no filter below an observation, so a filter on
     the mask reads the computed column instead of running all rules a second time.
     """
-    judged = df.withColumn(FAILED, failed_mask(rules))
+    masks = _masks(rules)
+    judged = df.withColumns({name: failed_mask(part) for name, part in masks})
+    if len(masks) > 1:
+        judged = judged.withColumn(FAILED, reduce(lambda a, b: a.bitwiseOR(b), [F.col(name) for name, _ in masks]))
     return judged.observe(
         f"rules-{uuid.uuid4().hex}", F.count("*").alias("rows"), F.count_if(F.col(FAILED) != 0).alias("failed")
     )
@@ -159,7 +173,7 @@ def evaluate(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def with_reasons(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``_reasons``: names of all failed rules, in rule order; empty for a good row."""
-    return evaluate(df, rules).withColumn("_reasons", failed_names(rules)).drop(FAILED)
+    return evaluate(df, rules).withColumn("_reasons", failed_names(rules)).transform(lambda d: d.drop(*mask_columns(d)))
 
 
 def failure_counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:

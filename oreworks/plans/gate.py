@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 
-from oreworks.config import Settings
+from oreworks.config import Settings, pin_time_zone
 from oreworks.operators import gates
 from oreworks.plans.gold import MARTS
 from oreworks.plans.silver import bronze_counts
@@ -31,9 +33,20 @@ def evaluate(spark: SparkSession, settings: Settings, layer: str) -> DataFrame:
     raise ValueError(f"no gate for layer {layer!r}")
 
 
+def read_checks(spark: SparkSession, settings: Settings, layer: str) -> DataFrame:
+    """The stored checks of one run and layer, with what they expected and whether they block."""
+    place = f"{settings.folder('checks')}/run_id={quote(settings.run_id, safe='')}/layer={layer}"
+    return spark.read.schema(gates.CHECK_LAYOUT).parquet(place).orderBy("position").drop("position", "data_ref", "executed_at")
+
+
 def run_gate(spark: SparkSession, settings: Settings, layer: str) -> DataFrame:
     """Store the checks and the verdict, then stop the run if a blocking check failed."""
-    checks = tables.stage(evaluate(spark, settings, layer), f"{layer}-checks")
+    pin_time_zone(spark, settings)
+    stored = gates.stored_checks(evaluate(spark, settings, layer), layer, settings.run_id, settings.data_ref)
+    # A run's checks are few rows, in a folder of their own; the same run's next ones replace them.
+    place = f"{settings.folder('checks')}/run_id={quote(settings.run_id, safe='')}/layer={layer}"
+    tables.overwrite_small(stored.drop("run_id", "layer"), place)
+    checks = read_checks(spark, settings, layer)
     outcome = gates.verdict(checks)
     stage = f"gate_{layer}"
     metrics.save_metrics(metrics.metric_rows(outcome, stage, settings.run_id, settings.data_ref), settings)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oreworks.config import Settings
+from oreworks.config import Settings, pin_time_zone
 from oreworks.operators import profile
 from oreworks.operators.normalize import unite
 from oreworks.plans.bronze import run_bronze
@@ -26,6 +26,7 @@ def run(spark: SparkSession, settings: Settings) -> DataFrame:
 
     Gold is not built when the Silver gate fails: the gate raises first.
     """
+    pin_time_zone(spark, settings)
     waiting = [r["source"] for r in sources_ready(spark, settings).filter(~F.col("ready")).collect()]
     if waiting:
         raise SourcesNotReady(f"no files yet for: {sorted(waiting)}")
@@ -38,11 +39,13 @@ def run(spark: SparkSession, settings: Settings) -> DataFrame:
 
 
 def summary(spark: SparkSession, settings: Settings) -> DataFrame:
-    """One row about the run: flow, gate verdicts and KPIs, all from its metrics."""
-    rows = metrics.read_metrics(spark, settings).filter(F.col("key").isNull())
+    """One row about the run: flow, gate verdicts, KPIs and rows of each mart, all from its metrics."""
+    every = metrics.read_metrics(spark, settings)
+    mart = F.when((F.col("stage") == "gold") & (F.col("metric") == "mart_rows"), F.concat_ws("=", "key", "value"))
+    rows = every.filter(F.col("key").isNull() | mart.isNotNull())
 
     def pick(stage: str, metric: str, as_type: str = "string"):
-        wanted = (F.col("stage") == stage) & (F.col("metric") == metric)
+        wanted = (F.col("stage") == stage) & (F.col("metric") == metric) & F.col("key").isNull()
         return F.max(F.when(wanted, F.col("value"))).cast(as_type)
 
     flow = [pick("silver", m, "bigint").alias(m) for m in ("bronze", "silver", "quarantine")]
@@ -59,7 +62,8 @@ def summary(spark: SparkSession, settings: Settings) -> DataFrame:
             ("active_customers", "bigint"), ("top_state", "string"), ("top_share_pct", "double"),
         )
     ]
-    return rows.agg(*flow, pick("silver", "conserved", "boolean").alias("conserved"), *verdicts, *kpis)
+    marts = F.array_join(F.array_sort(F.collect_list(mart)), ",").alias("marts")
+    return rows.agg(*flow, pick("silver", "conserved", "boolean").alias("conserved"), *verdicts, *kpis, marts)
 
 
 def quarantine_alert(spark: SparkSession, settings: Settings) -> DataFrame:

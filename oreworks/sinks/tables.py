@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import types as T
 
 from oreworks import contract as C
 
@@ -17,13 +20,53 @@ def publish_names(df: DataFrame) -> DataFrame:
 
 def in_layout(df: DataFrame, table: str) -> DataFrame:
     """A sales table under its names on disk, with the columns of its layout in order."""
-    names = [field.strip().split(" ")[0] for field in C.STORED_LAYOUTS[table].split(", ")]
-    return publish_names(df).select(*names)
+    return publish_names(df).select(*T.StructType.fromDDL(C.STORED_LAYOUTS[table]).names)
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it wants it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, where = _files(spark, path)
+    files.delete(where, True)
+
+
+def write_aside(writer: DataFrameWriter, spark: SparkSession, path: str) -> Callable[[], None]:
+    """Write beside the table; the returned call puts the new rows in the old ones' place.
+
+    Until then the stored table is untouched, so a write that fails loses nothing and
+    a table may be computed from itself.
+    """
+    path = path.rstrip("/")
+    new, old = (f"{path}__{name}_{uuid.uuid4().hex}" for name in ("new", "old"))
+    try:
+        writer.parquet(new)
+    except BaseException:
+        remove(spark, new)
+        raise
+
+    def swap() -> None:
+        files, target = _files(spark, path)
+        fresh, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (new, old))
+        there = files.exists(target)
+        if there and not files.rename(target, aside):
+            raise OSError(f"{path} can't be moved aside")
+        if not files.rename(fresh, target):
+            if there:
+                files.rename(aside, target)
+            raise OSError(f"{new} can't be moved to {path}")
+        if there:
+            files.delete(aside, True)
+
+    return swap
 
 
 def overwrite(df: DataFrame, path: str) -> None:
-    """Replace the table; a rerun never adds rows twice."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace the table; a rerun never adds rows twice, a failed one leaves the old rows."""
+    write_aside(df.write, df.sparkSession, path)()
 
 
 def overwrite_by_partition(df: DataFrame, path: str, by: str, mode: str = "static") -> None:
@@ -32,13 +75,11 @@ def overwrite_by_partition(df: DataFrame, path: str, by: str, mode: str = "stati
     The rebalance gathers each partition into few, evenly sized files; one that
     holds a large part of the rows is split over many tasks.
     """
-    (
-        df.hint("rebalance", by)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", mode)
-        .partitionBy(by)
-        .parquet(path)
-    )
+    writer = df.hint("rebalance", by).write.partitionBy(by)
+    if mode == "static":
+        write_aside(writer, df.sparkSession, path)()
+    else:
+        writer.mode("overwrite").option("partitionOverwriteMode", mode).parquet(path)
 
 
 def overwrite_balanced(df: DataFrame, path: str) -> None:
@@ -57,8 +98,10 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is set."""
+    """The shared folder of the cluster; without one, only a local master may use its own disk."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return shared or tempfile.mkdtemp(prefix="oreworks-")
 
 
@@ -66,12 +109,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/oreworks/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate result to the shared folder and go on from the stored copy.
+def stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """Write an intermediate result to a shared folder and go on from the stored copy.
 
     Survives the loss of executors, and its size is known to whoever joins it.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = f"{root}/{name}-{uuid.uuid4().hex}" if root else scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging(spark: SparkSession, root: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``stage`` into a folder under the lake's root, which goes when the plan is done."""
+    folder = f"{root.rstrip('/')}/_stage/{uuid.uuid4().hex}"
+    try:
+        yield lambda df, name: stage(df, name, folder)
+    finally:
+        remove(spark, folder)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +78,12 @@ def sources_ready(spark: SparkSession, settings: Settings) -> DataFrame:
     root = settings.folder("raw")
     names = [s.name for s in settings.sources]
     expected = spark.createDataFrame([(n,) for n in names], "source string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = spark.createDataFrame([], "path string, length bigint")  # no folder, so no file
     belongs = F.lit(None).cast("string")
     for spec in settings.sources:
         name = spec.pattern.replace(".", r"\.").replace("*", "[^/]*")

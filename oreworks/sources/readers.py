@@ -71,7 +71,7 @@ def stored_rows(spark: SparkSession, path: str) -> DataFrame:
     The identity does not change when a task runs again or other columns are read.
     """
     identity = F.struct(
-        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
     )
     return spark.read.parquet(path).select("*", identity.alias(ROW_ID))
 
@@ -100,7 +100,8 @@ def read_layer(
 
 
 def _json(spark: SparkSession, path: str, spec: SourceSpec) -> DataFrame:
-    reader = spark.read.options(**spec.options)
+    # A document that does not parse stops the read instead of vanishing.
+    reader = spark.read.options(**{"mode": "FAILFAST", **spec.options})
     if spec.schema is not None:
         reader = reader.schema(spec.schema)
     return reader.json(path, multiLine=True)

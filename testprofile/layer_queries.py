@@ -53,18 +53,15 @@ def s2(spark, sf):
     return readers.read_records_json(spark, f"{path}/*.json", JSON).drop("_source_file")
 
 
-@query("s3_parquet_sales",
-       "SELECT l_orderkey, l_linenumber, l_returnflag, true AS from_file FROM lineitem")
+@query("s3_parquet_sales", "SELECT *, true AS from_file FROM lineitem")
 def s3(spark, sf):
     df = readers.read_parquet(spark, f"{sf}/lineitem.parquet", PARQUET)
-    return df.select(
-        "l_orderkey", "l_linenumber", "l_returnflag", F.col("_source_file").endswith("lineitem.parquet").alias("from_file")
-    )
+    return df.withColumn("from_file", F.col("_source_file").endswith("lineitem.parquet")).drop("_source_file")
 
 
-@query("s4_parquet_customers", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+@query("s4_parquet_customers", "SELECT * FROM customer")
 def s4(spark, sf):
-    return readers.read_parquet(spark, f"{sf}/customer.parquet", CUSTOMERS).select("c_custkey", "c_name", "c_mktsegment")
+    return readers.read_parquet(spark, f"{sf}/customer.parquet", CUSTOMERS).drop("_source_file")
 
 
 @query("s5_nested_json", """
@@ -100,7 +97,27 @@ def s6(spark, sf):
 RUN_ORDER = "order_ts, product_id, total_amount, quantity, status, customer_id"
 
 
-@query("s7_layer_reread", O.with_judged(
+@query("s7_layer_reread", O.with_judged("""
+SELECT 'silver' AS layer, year_month AS key, count(*)::bigint AS rows FROM valid GROUP BY 2
+UNION ALL SELECT 'quarantine', reasons[1], count(*) FROM rejected GROUP BY 2
+UNION ALL SELECT 'customers', c_mktsegment_key, count(*) FROM (
+  SELECT upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS c_mktsegment_key FROM customer WHERE c_acctbal >= 0) GROUP BY 2
+UNION ALL SELECT 'categories', 'all', count(DISTINCT ceil((p_partkey + 1) / 500)) FROM part""", order=RUN_ORDER))
+def s7_layers(spark, sf):
+    """Every row of every Silver layer."""
+    settings = R.finished(spark, sf)
+    keys = {
+        "silver": ("silver_sales", F.col("year_month")), "quarantine": ("quarantine", F.col("_main_reason")),
+        "customers": ("silver_customers", F.col("segment")), "categories": ("silver_categories", F.lit("all")),
+    }
+    return normalize.unite(
+        readers.read_layer(spark, settings, layer).groupBy(key.alias("key")).agg(F.count("*").alias("rows"))
+        .select(F.lit(name).alias("layer"), "key", "rows")
+        for name, (layer, key) in keys.items()
+    )
+
+
+@query("s7_month_range", O.with_judged(
     "SELECT year_month, category_id, count(*)::bigint AS rows FROM valid "
     "WHERE year_month BETWEEN '1996-02' AND '1996-05' GROUP BY ALL", order=RUN_ORDER))
 def s7(spark, sf):
@@ -340,9 +357,16 @@ def a13(spark, sf):
 BRONZE_SQL = PER_SOURCE.replace("AS source", "AS _source")
 
 
-@query("l1_bronze", f"SELECT _source, rows, _source NOT IN ('clientes', 'categorias') AS is_sales FROM ({BRONZE_SQL})")
+@query("l1_bronze", f"SELECT _source, rows, true AS all_files, _source NOT IN ('clientes', 'categorias') AS is_sales FROM ({BRONZE_SQL})")
 def l1(spark, sf):
-    return bronze.bronze_stats(spark, R.finished(spark, sf)).drop("files")
+    """Rows per source, and whether they came from all raw files that hold any."""
+    settings = R.finished(spark, sf)
+    raw = normalize.unite(
+        df.select(F.lit(name).alias("_source"), "_source_file").distinct()
+        for name, df in bronze.prepare(spark, settings).items()
+    ).groupBy("_source").agg(F.count("*").alias("raw_files"))
+    stats = bronze.bronze_stats(spark, settings).join(raw, "_source")
+    return stats.select("_source", "rows", (F.col("files") == F.col("raw_files")).alias("all_files"), "is_sales")
 
 
 @query("l1_incremental_bronze", O.with_sales(
@@ -383,6 +407,21 @@ def l3(spark, sf):
     return readers.read_layer(spark, R.finished(spark, sf), "gold_state").withColumnRenamed("uf", "state")
 
 
+@query("l3_gold_month", O.with_judged(O.MONTH_SELECT, O.metrics("year_month", "valid"), order=RUN_ORDER))
+def l3_month(spark, sf):
+    return readers.read_layer(spark, R.finished(spark, sf), "gold_month")
+
+
+@query("l3_gold_payment", O.with_judged(O.PAYMENT_SELECT, O.metrics("payment_method", "valid"), order=RUN_ORDER))
+def l3_payment(spark, sf):
+    return readers.read_layer(spark, R.finished(spark, sf), "gold_payment")
+
+
+@query("l3_gold_category", O.with_judged(O.CATEGORY_SELECT, *O.category_parts("valid"), order=RUN_ORDER))
+def l3_category(spark, sf):
+    return readers.read_layer(spark, R.finished(spark, sf), "gold_category")
+
+
 @query("l4_gate_run", O.with_judged("""
 SELECT 'silver' AS layer, CASE WHEN count(*) = count(DISTINCT order_id) THEN 7 ELSE 6 END::bigint AS passed, 7::bigint AS checks FROM valid
 UNION ALL SELECT 'gold', 7 + (count(DISTINCT shipping_state) = 24)::int, 8 FROM valid"""))
@@ -410,10 +449,12 @@ _RUN_PARTS = (O.metrics("shipping_state", "valid"), f"mart AS ({O.STATE_SELECT})
 
 @query("l5_gated_chain", O.with_judged(RUN_KPI.format(extra=""), *_RUN_PARTS, order=RUN_ORDER))
 def l5(spark, sf):
-    return run.summary(spark, R.finished(spark, sf)).drop("silver_gate", "gold_gate")
+    return run.summary(spark, R.finished(spark, sf)).drop("silver_gate", "gold_gate", "marts")
 
 
 @query("l6_summary", O.with_judged(
-    RUN_KPI.format(extra=", 'PASSED (7/7)' AS silver_gate, 'PASSED (8/8)' AS gold_gate"), *_RUN_PARTS, order=RUN_ORDER))
+    RUN_KPI.format(extra=", 'PASSED (7/7)' AS silver_gate, 'PASSED (8/8)' AS gold_gate, "
+                   "'gold_category,gold_month,gold_payment,gold_state' AS marts"), *_RUN_PARTS, order=RUN_ORDER))
 def l6(spark, sf):
-    return run.summary(spark, R.finished(spark, sf))
+    marts = F.array_join(F.transform(F.split("marts", ","), lambda m: F.substring_index(m, "=", 1)), ",")
+    return run.summary(spark, R.finished(spark, sf)).withColumn("marts", marts)

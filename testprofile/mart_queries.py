@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from oreworks.operators import lookups, marts, profile
 from oreworks.operators.normalize import unite
+from oreworks.sinks import tables
 from oreworks.sinks.tables import publish_names
 from testprofile import oracle as O
 from testprofile import tables as P
@@ -137,14 +137,30 @@ def w5(spark, sf):
 
 # --- sorts, limits, set operations -------------------------------------------
 @query("t1_sorted_marts", O.with_sales(f"""
-SELECT category_name, segment, revenue,
-  row_number() OVER (ORDER BY category_name, revenue DESC, segment)::int AS position
-FROM ({O.CATEGORY_SELECT})""", *O.category_parts()))
+SELECT 'state' AS mart, state AS key, row_number() OVER (ORDER BY revenue_rank, state)::bigint AS position
+FROM ({O.STATE_SELECT.replace("metrics", "by_state")})
+UNION ALL SELECT 'month', year_month, row_number() OVER (ORDER BY year_month) FROM ({O.MONTH_SELECT.replace("metrics", "by_month")})
+UNION ALL SELECT 'payment', payment, row_number() OVER (ORDER BY revenue DESC, payment)
+FROM ({O.PAYMENT_SELECT.replace("metrics", "by_payment")})
+UNION ALL SELECT 'category', category_name || '/' || segment, row_number() OVER (ORDER BY category_name, revenue DESC, segment)
+FROM ({O.CATEGORY_SELECT.replace("metrics", "by_category")})""",
+    *(O.metrics(k, source).replace("metrics AS", f"{name} AS", 1) for k, source, name in (
+        ("shipping_state", "sales", "by_state"), ("year_month", "sales", "by_month"), ("payment_method", "sales", "by_payment"))),
+    *O.category_parts()[:3], O.category_parts()[3].replace("metrics AS", "by_category AS", 1)))
 def t1(spark, sf):
-    window = Window.orderBy("category_name", F.desc("revenue"), "segment")
-    return _category_mart(spark, sf).select(
-        "category_name", "segment", "revenue", F.row_number().over(window).alias("position")
-    )
+    """The place of each row in the stored file of its mart."""
+    marts_by_key = {
+        "state": (a3(spark, sf), F.col("state")), "month": (a4(spark, sf), F.col("year_month")),
+        "payment": (a5(spark, sf), F.col("payment")),
+        "category": (_category_mart(spark, sf), F.concat_ws("/", "category_name", "segment")),
+    }
+    placed = []
+    for name, (mart, key) in marts_by_key.items():
+        path = tables.scratch_path(spark, f"sorted-{name}")
+        tables.overwrite_small(mart, path)
+        row = (F.col("_metadata.row_index") + 1).alias("position")
+        placed.append(spark.read.parquet(path).select(F.lit(name).alias("mart"), key.alias("key"), row))
+    return unite(placed)
 
 
 @query("t2_top_state", O.with_sales(

@@ -149,12 +149,12 @@ def q12(spark, sf):
 
 
 @query("w6_keep_first", O.with_sales(f"""
-SELECT order_id, l_partkey, l_suppkey, total_amount, (CASE WHEN n > 1 THEN 2 ELSE 1 END)::int AS place
+SELECT order_id, l_partkey, l_suppkey, total_amount, n > 1 AS later_copy
 FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY {O.ORDER}) AS n FROM sales)"""))
 def w6(spark, sf):
-    hot = quarantine.hot_keys(P.table(spark, sf, "lineitem").select(P.order_id()), "order_id", P.SCALE.hot_key_rows)
-    numbered = quarantine.number_occurrences(P.sales(spark, sf), "order_id", P.ORDER, F.lit(True), hot)
-    return numbered.select(*ROW, F.least("_occurrence", F.lit(2)).alias("place"))
+    rows = quarantine.with_row_id(P.sales(spark, sf))
+    flagged = quarantine.flag_repeats(rows, "order_id", P.ORDER, F.lit(True))
+    return flagged.select(*ROW, F.col(quarantine.REPEAT).alias("later_copy"))
 
 
 @query("q9_by_exceptions", O.with_judged(
@@ -162,9 +162,13 @@ def w6(spark, sf):
     "sum(total_amount::decimal(18,2))::double AS amount FROM judged GROUP BY 1"))
 def q9_by_exceptions(spark, sf):
     sales, rules = P.sales(spark, sf), sales_rules(D)
-    tag = quarantine.tag_by_unknown(lookups.unknown_keys(sales, P.registry(spark, sf)))
-    suspects = quarantine.repeat_suspects(P.table(spark, sf, "lineitem").select(P.order_id()))
-    repeated = quarantine.repeated_rows(sales, tag, suspects, rules, P.ORDER)
+    unknown = tables.stage(lookups.unknown_keys(sales, P.registry(spark, sf)), "unknown")
+    tag = quarantine.tag_by_unknown(lookups.checked_broadcast(unknown, P.SCALE))
+    suspects = tables.stage(quarantine.repeat_suspects(P.table(spark, sf, "lineitem").select(P.order_id())), "suspects")
+    repeated = quarantine.repeated_rows(
+        sales, tag, suspects, rules, P.ORDER, small=lookups.fits_broadcast(suspects, P.SCALE)
+    )
+    repeated = lookups.checked_broadcast(tables.stage(repeated, "repeated"), P.SCALE)
     judged = quarantine.judge_by_exceptions(sales, quarantine.Exceptions(tag, repeated), rules)
     return judged.groupBy(F.array_join("_reasons", ",").alias("reasons")).agg(
         F.count("*").alias("rows"), F.sum(F.col("total_amount").cast("decimal(18,2)")).cast("double").alias("amount")

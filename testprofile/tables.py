@@ -167,10 +167,7 @@ def categories(spark: SparkSession, sf: str) -> DataFrame:
 
 def judged(spark: SparkSession, sf: str) -> DataFrame:
     """Sales with their final reasons."""
-    hot = quarantine.hot_keys(table(spark, sf, "lineitem").select(order_id()), "order_id", SCALE.hot_key_rows)
-    return quarantine.judge(
-        sales(spark, sf), registry(spark, sf), sales_rules(DOMAINS), order_by=ORDER, hot=hot
-    )
+    return quarantine.judge(sales(spark, sf), registry(spark, sf), sales_rules(DOMAINS), order_by=ORDER)
 
 
 def valid(spark: SparkSession, sf: str) -> DataFrame:

@@ -32,15 +32,15 @@ def spark(tmp_path_factory):
 @pytest.fixture
 def sale():
     """Factory of one good sale; keywords override fields."""
-    day = dt.datetime(2023, 5, 10)
-
-    def make(order_id="A", **changes):
-        row = {
-            "order_id": order_id, "customer_id": "C1", "product_id": "PROD_0001", "quantity": 2,
-            "unit_price": 10.0, "total_amount": 20.0, "order_date": day.date(), "payment_method": "pix",
-            "shipping_city": "Santos", "shipping_state": "SP", "status": "delivered",
-            "_source": "vendas_csv", "_source_file": "f.csv", "_ingestion_ts": day, "order_ts": day,
-        }
+    arrived = dt.datetime(2023, 9, 2, 6, 30)
+
+    def make(order_id="N-1", **changes):
+        row = dict(
+            order_id=order_id, customer_id="K77", product_id="PROD_1204", quantity=3, unit_price=7.5, total_amount=22.5,
+            order_date=dt.date(2023, 8, 31), payment_method="boleto", shipping_city="Olinda", shipping_state="PE",
+            status="shipped", _source="vendas_parquet", _source_file="p-04.parquet", _ingestion_ts=arrived,
+            order_ts=dt.datetime(2023, 8, 31, 22, 5),
+        )
         row.update(changes)
         return tuple(row.values())
 
@@ -59,4 +59,4 @@ def sales(spark, sale):
 
 @pytest.fixture
 def registry(spark):
-    return spark.createDataFrame([("C1",)], "customer_id string")
+    return spark.createDataFrame([("K77",)], "customer_id string")

@@ -119,7 +119,7 @@ def test_small_bounds_change_the_way_not_the_result(spark, finished):
     from oreworks.config import Scale
 
     settings, _ = finished
-    strict = replace(settings, scale=Scale(broadcast_rows=0, hot_key_rows=1))
+    strict = replace(settings, scale=Scale(broadcast_rows=0))
     customers = read_layer(spark, settings, "silver_customers").select("customer_id")
     sales = silver.bronze_sales(spark, settings)
     found = silver.find_exceptions(sales, customers, strict)
