@@ -412,12 +412,15 @@ def l3_month(spark, sf):
     return readers.read_layer(spark, R.finished(spark, sf), "gold_month")
 
 
-@query("l3_gold_payment", O.with_judged(O.PAYMENT_SELECT, O.metrics("payment_method", "valid"), order=RUN_ORDER))
+@query("l3_gold_payment", O.with_judged(
+    f"SELECT * REPLACE (lower(payment) AS payment) FROM ({O.PAYMENT_SELECT})", O.metrics("payment_method", "valid"), order=RUN_ORDER))
 def l3_payment(spark, sf):
     return readers.read_layer(spark, R.finished(spark, sf), "gold_payment")
 
 
-@query("l3_gold_category", O.with_judged(O.CATEGORY_SELECT, *O.category_parts("valid"), order=RUN_ORDER))
+@query("l3_gold_category", O.with_judged(
+    f"SELECT * REPLACE (upper(left(segment, 1)) || lower(substr(segment, 2)) AS segment) FROM ({O.CATEGORY_SELECT})",
+    *O.category_parts("valid"), order=RUN_ORDER))
 def l3_category(spark, sf):
     return readers.read_layer(spark, R.finished(spark, sf), "gold_category")
 
