@@ -44,7 +44,7 @@ def measures(cancelled: str) -> list[Column]:
 
 
 def _cents(total: Column) -> Column:
-    return F.round(F.coalesce(total, F.lit(0)), 2).cast("decimal(30,2)")
+    return F.round(F.coalesce(total, F.lit(0)), 2).cast("decimal(38,2)")
 
 
 def base_metrics(sales: DataFrame, keys: Sequence[str], cancelled: str) -> DataFrame:
@@ -167,10 +167,22 @@ def rollup(sales: DataFrame, cancelled: str) -> DataFrame:
 
     ``_level`` tells the grouping sets apart (3, 5, 6 and 7: the bits of the keys
     that are summed over).  ``active_customers`` also counts customers whose orders
-    were all cancelled.
+    were all cancelled.  Sales are added up per keys and customer before the grouping
+    sets repeat every row once for each of them.
     """
-    return sales.groupingSets([[F.col(k)] for k in ROLLUP_KEYS] + [[]], *[F.col(k) for k in ROLLUP_KEYS]).agg(
-        F.grouping_id().alias("_level"), *measures(cancelled)
+    sold = X.billable(cancelled)
+    summed = sales.groupBy(*ROLLUP_KEYS, "customer_id").agg(
+        F.count("*").alias("n"), F.count_if(sold).alias("n_sold"), F.count_if(~sold).alias("n_cancelled"),
+        F.sum(F.when(sold, X.money("total_amount"))).alias("amount"), F.sum(F.when(sold, F.col("quantity"))).alias("items"),
+    )
+    return summed.groupingSets([[F.col(k)] for k in ROLLUP_KEYS] + [[]], *[F.col(k) for k in ROLLUP_KEYS]).agg(
+        F.grouping_id().alias("_level"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("orders_total"),
+        F.coalesce(F.sum("n_sold"), F.lit(0)).alias("orders_billable"),
+        F.coalesce(F.sum("n_cancelled"), F.lit(0)).alias("orders_cancelled"),
+        _cents(F.sum("amount")).alias("revenue"),
+        F.count_distinct(F.when(F.col("n_sold") > 0, F.col("customer_id"))).alias("unique_customers"),
+        F.coalesce(F.sum("items"), F.lit(0)).cast("bigint").alias("items_sold"),
     )
 
 
