@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
 from oreworks.llm.common import stored
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that is reused keeps it otherwise, next to what later stages need."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc has it
+        trim(0)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Byte planes compress far better than values do."""
     planes = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes() if len(values) else b""

@@ -12,6 +12,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oreworks.llm.arrays import release
+from oreworks.llm.common import small_batches
+
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -109,6 +112,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings
     learned. A text is rejected if its margin is narrow; its `lang_pred` still is the best language. Equal texts get
     equal results. Columns of those four names are replaced.
     """
+    small_batches(docs.sparkSession)
     added = ("lang_pred", "lang_score", "lang_margin", "lang_rejected")
     kept = [c for c in docs.columns if c.lower() not in added]
     schema = ", ".join(
@@ -121,5 +125,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], settings: Settings
         for batch in batches:
             found = [judge(text, compressors, settings) for text in batch["text"]]
             yield batch.assign(**{name: [row[i] for row in found] for i, name in enumerate(added)})
+        del compressors
+        release()
 
     return docs.select(*(f"`{c}`" for c in kept)).mapInPandas(run, schema)

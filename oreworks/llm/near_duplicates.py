@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oreworks.llm.arrays import pack, pack_sorted, unpack, unpack_sorted
-from oreworks.llm.common import connected_components, stored
+from oreworks.llm.arrays import pack, pack_sorted, release, unpack, unpack_sorted
+from oreworks.llm.common import connected_components, small_batches, stored
 from oreworks.llm.shingles import WORDS, WordHashes, shingles
 
 
@@ -45,7 +45,7 @@ class Settings:
 
     percent: int = 75
     words: int = WORDS
-    block_shingles: int = 1 << 20
+    block_shingles: int = 1 << 19
     range_shingles: int = 1 << 20
     range_sets: int = 1 << 17
     rare: int = 64
@@ -103,14 +103,18 @@ def _blocks(settings: Settings, ranges: int, classes: int):
                 if held >= settings.block_shingles:
                     yield _block_rows(block, rows, ranges, classes)
                     block, rows, held = block + 1, [], 0
+                    release()
         if rows:
             yield _block_rows(block, rows, ranges, classes)
+        del rows, hashes
+        release()
 
     return run
 
 
 def _answers(ranges: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        release()
         place = group["place"].iloc[0]
         if place < 0:
             return group
@@ -209,6 +213,7 @@ _NODE = "doc_id long, row_key long, n_shingles long, node string, alone long, re
 
 def _assemble(settings: Settings, ranges: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        release()
         own = group[group["place"] < 0].iloc[0]
         owner = unpack(own["a"], np.uint32)
         first = np.unpackbits(unpack(own["b"], np.uint8), count=len(owner)).astype(bool)
@@ -257,6 +262,7 @@ def shingle_sets(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     another set may link.
     `docs` has to give the same rows for a partition each time it is read (a stored table does).
     """
+    small_batches(docs.sparkSession)
     # pandas has no NULL among integers: a missing id travels as 0, and the key's last bit tells.
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", row_key().alias("row_key"))
     chars, count = rows.agg(F.sum(F.length("text")), F.count("*")).first()

@@ -19,8 +19,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreworks.llm.arrays import pack, total, unpack
-from oreworks.llm.common import stored
+from oreworks.llm.arrays import pack, release, total, unpack
+from oreworks.llm.common import small_batches, stored
 
 
 @dataclass(frozen=True)
@@ -65,6 +65,8 @@ def _tokenize(settings: Settings):
             yield batch[["shard", "doc_id", "no_id"]].assign(ids=out, counts=None)
         counts = pack(np.append(found, [units, length]))
         yield pd.DataFrame({"shard": [0], "doc_id": [0], "no_id": [False], "ids": [None], "counts": [counts]})
+        del words
+        release()
 
     return run
 
@@ -162,6 +164,7 @@ _PIECE = "doc_id long, no_id boolean, start long, length long, doc_tokens long,
 
 def _pack_shard(idf: np.ndarray, mean: float, settings: Settings):
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        release()
         group = group.sort_values(["doc_id", "no_id", "ids"], kind="stable")
         documents = [unpack(data, np.uint32) for data in group["ids"]]
         ids, missing = group["doc_id"].tolist(), group["no_id"].tolist()
@@ -191,6 +194,7 @@ def pack_sequences(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     ids of documents may be NULL; each row is packed. No sequence needs padding but one shorter than a window in a shard,
     and that one is cut into sequences whose lengths are powers of two.
     """
+    small_batches(docs.sparkSession)
     count = docs.count()
     shards = max(1, -(-count // settings.shard_rows))
     rows = docs.select(

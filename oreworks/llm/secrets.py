@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreworks.llm.common import stored
+from oreworks.llm.arrays import release
+from oreworks.llm.common import small_batches, stored
 
 # The patterns and least lengths of the base kinds, in their listed order.
 ASSIGN = re.compile(
@@ -239,6 +240,7 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Formats:
                 columns=["kind", "value", "n"],
             )
 
+    small_batches(docs.sparkSession)
     marks = docs.select("text").mapInPandas(scan, "kind string, value string, n long")
     # Summed by value first: a credential in a third of all documents is one row for each task.
     marks = stored(marks.groupBy("kind", "value").agg(F.sum("n").alias("n")))
@@ -274,6 +276,7 @@ def find(docs: DataFrame, formats: Formats, id_column: str = "doc_id") -> DataFr
                 id_column: batch[id_column], "base": [x[0] for x in found], "spans": [x[1] for x in found],
             })
 
+    small_batches(docs.sparkSession)
     # As text, for pandas would turn a column of integers with NULLs into doubles.
     rows = docs.select(F.col(id_column).cast("string").alias(id_column), "text")
     made = rows.mapInPandas(run, f"`{id_column}` string, base string, spans string")
@@ -286,7 +289,9 @@ def redact(docs: DataFrame, formats: Formats, mark: str = "[secret]") -> DataFra
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda text: None if text is None else masked(text, formats, mark))
+        release()
 
+    small_batches(docs.sparkSession)
     masking = F.pandas_udf(run, "string")
     return docs.withColumn("text", masking(F.col("text")))
 

@@ -14,7 +14,7 @@ _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 class WordHashes(dict):
     """Hash of a word, remembered up to `limit` words; then it starts anew."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 50_000):
         super().__init__()
         self.limit = limit
 
