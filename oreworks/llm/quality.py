@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oreworks.llm.arrays import pack, total
-from oreworks.llm.common import stored
+from oreworks.llm.common import small_batches, stored
 
 #: A word, or a run of one mark; case is part of a word.
 TOKEN = re.compile(r"[^\W_]+|([^\w\s]|_)\1*")
@@ -108,6 +108,7 @@ def _contexts(settings: Settings):
 
 def word_vectors(docs: DataFrame, settings: Settings = Settings()) -> np.ndarray:
     """Vectors by bucket, from all texts of `docs` (`text`); rare words weigh more, and their length is at most 1."""
+    small_batches(docs.sparkSession)
     parts = docs.select("text").mapInPandas(_contexts(settings), "sums binary")
     found = total(parts, settings.buckets * (settings.width + 1)).astype(np.float64)
     sums, counts = found[: -settings.buckets].reshape(settings.buckets, -1), found[-settings.buckets :]
@@ -226,10 +227,14 @@ def labelled(labels: DataFrame) -> DataFrame:
 def learn(vectors: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Network:
     """A network from `vectors` (`doc_id, vector`) and `labels` (`doc_id, quality`), both without held-out rows.
 
-    Of the labelled rows those with the smallest hashes are drawn, `examples` of them at most; a fifth calibrates.
+    Labelled rows are drawn by hash at a rate set by their count, about `examples` of them at most; a fifth calibrates.
     """
-    known = vectors.join(labelled(labels), "doc_id").select("vector", "y", F.xxhash64("doc_id", "vector").alias("at"))
-    rows = known.orderBy("at").limit(settings.examples).collect()
+    taught = labelled(labels)
+    rate = min(1.0, settings.examples / max(1, taught.count()))
+    at = F.xxhash64("doc_id", "vector")
+    known = vectors.join(taught, "doc_id").select("vector", "y", at.alias("at"))
+    rows = known.where(F.pmod("at", F.lit(1 << 30)) < int(rate * (1 << 30))).collect()
+    rows.sort(key=lambda r: (r["at"], r["y"]))
     width = features(settings.width)
     x = np.array([r["vector"] for r in rows], np.float64).reshape(-1, width)
     y, aside = np.array([r["y"] for r in rows], np.float64), np.arange(len(rows)) % 5 == 4
