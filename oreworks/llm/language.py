@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oreworks.llm.arrays import release
@@ -45,32 +45,52 @@ def canonical(text: str) -> bytes:
 
 
 def learn(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
-    """Dictionary content by language, from `text, lang`. Rows with a NULL in either teach nothing.
+    """Dictionary content by language, from `text, lang`. Rows with a NULL in either teach nothing; copies of a text count once.
 
-    Texts are drawn by hash at a rate set by the language's count, so no language is gathered whole anywhere; what
-    reaches the driver is bounded by `dictionary_bytes` for each language (a few times as many characters are drawn).
+    Texts are drawn by hash at a rate set by the characters of the language's distinct texts, so no language is gathered
+    whole anywhere. While a dictionary is not full, more of its texts are drawn, then longer pieces of them, until all of
+    its distinct texts are used whole. What reaches the driver is bounded by `dictionary_bytes` for each language (a few
+    times as many letters are drawn).
     """
     rows = labelled.where("lang IS NOT NULL AND length(text) > 0").select("text", "lang")
-    counts = rows.groupBy("lang").agg(F.sum(F.least(F.length("text"), F.lit(settings.piece_chars))).alias("chars"))
-    rates = {r["lang"]: min(1.0, 2.0 * settings.dictionary_bytes / r["chars"]) for r in counts.collect()}
-    if not rates:
-        return {}
+    # A text that has many copies would fill a dictionary alone, and lower the rate of all others.
+    texts = rows.groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.max(F.length("text")).alias("chars"))
+    counts = texts.groupBy("lang").agg(
+        F.sum(F.least("chars", F.lit(settings.piece_chars))).alias("drawable"), F.max("chars").alias("longest")
+    ).collect()
+    longest = {r["lang"]: r["longest"] for r in counts}
+    missing = {r["lang"]: (min(1.0, 2.0 * settings.dictionary_bytes / r["drawable"]), settings.piece_chars) for r in counts}
+    found: dict[str, bytes] = {}
+    while missing:
+        found |= _draw(rows, missing)
+        missing = {
+            lang: (min(1.0, 4 * rate), piece if rate < 1 else 4 * piece)
+            for lang, (rate, piece) in missing.items()
+            if len(found.get(lang, b"")) < settings.dictionary_bytes and (rate < 1 or piece < longest[lang])
+        }
+    return {lang: content[: settings.dictionary_bytes] for lang, content in sorted(found.items())}
+
+
+def _draw(rows: DataFrame, wanted: dict[str, tuple[float, int]]) -> dict[str, bytes]:
+    """Pieces of distinct texts by language, in order of their hashes, at a rate and of a length for each language."""
+
+    def of(place: int) -> Column:
+        pairs = (F.lit(x) for lang, values in wanted.items() for x in (lang, values[place]))
+        return F.create_map(*pairs)[F.col("lang")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = batch.assign(piece=batch["piece"].map(canonical))
+            yield made[made["piece"].map(len) > 0]
+
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map(*(F.lit(x) for pair in rates.items() for x in pair))[F.col("lang")]
-    start = 1 + F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - settings.piece_chars, F.lit(1)))
-    # A text that has many copies would fill a dictionary alone: each text counts once.
-    sample = (
-        rows.where(drawn < rate)
-        .select("lang", drawn.alias("at"), F.substring("text", start.cast("int"), F.lit(settings.piece_chars)).alias("piece"))
-        .distinct()
-    )
-    pieces: dict[str, list[tuple[float, str]]] = {}
-    for row in sample.collect():
-        pieces.setdefault(row["lang"], []).append((row["at"], row["piece"]))
-    return {
-        lang: b" ".join(canonical(piece) for _, piece in sorted(found))[: settings.dictionary_bytes]
-        for lang, found in sorted(pieces.items())
-    }
+    start = 1 + F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - of(1), F.lit(1)))
+    piece = F.substring("text", start.cast("int"), of(1).cast("int"))
+    sample = rows.where(drawn < of(0)).select("lang", drawn.alias("at"), piece.alias("piece")).distinct()
+    pieces: dict[str, list[tuple[float, bytes]]] = {}
+    for row in sample.mapInPandas(run, "lang string, at double, piece binary").collect():
+        pieces.setdefault(row["lang"], []).append((row["at"], bytes(row["piece"])))
+    return {lang: b" ".join(piece for _, piece in sorted(drawn)) for lang, drawn in pieces.items()}
 
 
 class Compressors:

@@ -57,6 +57,15 @@ def test_language_rejects_texts_without_letters_and_with_no_margin(spark, odd, n
     assert language.learn(none.select("text", "lang")) == {} and language.identify(none, dictionaries).isEmpty()
 
 
+def test_dictionaries_are_full_in_spite_of_copies_and_of_long_texts(documents):
+    rng = random.Random(3)
+    texts = {"xx": [prose(rng, "en", 30) for _ in range(60)], "yy": [prose(rng, "de", 3000)], "zz": ["7 " * 60 + "ab"]}
+    rows = [(t, lang) for lang, some in texts.items() for t in some] + [(texts["xx"][0], "xx")] * 3000
+    docs = documents([t for t, _ in rows], lang=[lang for _, lang in rows])
+    found = language.learn(docs, language.Settings(dictionary_bytes=2000, piece_chars=100))
+    assert len(found["xx"]) == len(found["yy"]) == 2000 and found["zz"] == b"ab"
+
+
 def test_language_stage_keeps_clean_documents(spark, multilingual):
     assert corpus_pipeline.known_language(spark, multilingual, "").count() >= 238
 
