@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import tiktoken
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +50,32 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+class Repeats:
+    """Places of rows by their hash. A row that repeats within a task gets another place each time.
+
+    A row that is the only one of its kind has its hash as its place, wherever it is read. What is remembered of a task is
+    bounded; then it starts anew, so that few of a row's copies share a place.
+    """
+
+    def __init__(self, limit: int = 200_000):
+        self.seen, self.limit, self.drawn = set(), limit, 0
+
+    def place(self, row: int, task: int) -> int:
+        if row not in self.seen:
+            if len(self.seen) >= self.limit:
+                self.seen.clear()
+            self.seen.add(row)
+            return row
+        self.drawn += 1
+        return xxhash.xxh3_64_intdigest(f"{row}:{task}:{self.drawn}".encode()) - (1 << 63)
+
+
 def _tokenize(settings: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = encoder(settings.vocabulary)
+        words, repeats = encoder(settings.vocabulary), Repeats()
         found, units, length = np.zeros(settings.size, np.int64), 0, 0
         for batch in batches:
+            place = [repeats.place(row, task) for row, task in zip(batch["place"], batch["task"])]
             out = []
             for text in batch["text"]:
                 ids = np.array(words.encode_ordinary(text or "") + [settings.end], np.uint32)
@@ -62,9 +84,9 @@ def _tokenize(settings: Settings):
                     found[np.unique(unit)] += 1
                     units, length = units + 1, length + len(unit)
                 out.append(pack(ids))
-            yield batch[["shard", "doc_id", "no_id"]].assign(ids=out, counts=None)
+            yield batch[["doc_id", "no_id"]].assign(place=place, ids=out, counts=None)
         counts = pack(np.append(found, [units, length]))
-        yield pd.DataFrame({"shard": [0], "doc_id": [0], "no_id": [False], "ids": [None], "counts": [counts]})
+        yield pd.DataFrame({"doc_id": [0], "no_id": [False], "place": [0], "ids": [None], "counts": [counts]})
         del words
         release()
 
@@ -191,20 +213,20 @@ def pack_sequences(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     """Pieces of `docs` (`doc_id, text`): `doc_id, start, length, doc_tokens, sequence_id, offset, ids`.
 
     ids are little-endian unsigned 32-bit token ids. A NULL text is empty and still has its closing id. Rows may repeat,
-    ids of documents may be NULL; each row is packed. No sequence needs padding but one shorter than a window in a shard,
+    ids of documents may be NULL; each row is packed, and rows that repeat are dealt over all shards. No sequence needs padding but one shorter than a window in a shard,
     and that one is cut into sequences whose lengths are powers of two.
     """
     small_batches(docs.sparkSession)
-    count = docs.count()
-    shards = max(1, -(-count // settings.shard_rows))
     rows = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"),
-        F.col("doc_id").isNull().alias("no_id"), "text",
+        F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text",
+        F.xxhash64("doc_id", "text").alias("place"), F.spark_partition_id().alias("task"),
     )
-    made = stored(rows.mapInPandas(_tokenize(settings), "shard long, doc_id long, no_id boolean, ids binary, counts binary"))
+    made = stored(rows.mapInPandas(_tokenize(settings), "doc_id long, no_id boolean, place long, ids binary, counts binary"))
     counts = total(made.select("counts"), settings.size + 2)
     found, units, length = counts[:-2].astype(np.float64), counts[-2], counts[-1]
     idf = np.log1p((units - found + 0.5) / (found + 0.5))
-    documents = made.where("ids IS NOT NULL").select("shard", "doc_id", "no_id", "ids")
+    documents = made.where("ids IS NOT NULL")
+    shards = max(1, -(-documents.count() // settings.shard_rows))
+    documents = documents.select(F.pmod("place", F.lit(shards)).alias("shard"), "doc_id", "no_id", "ids")
     pieces = documents.groupBy("shard").applyInPandas(_pack_shard(idf, length / max(1, units), settings), _PIECE)
     return pieces.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")

@@ -3,6 +3,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -189,6 +190,13 @@ def test_packing_odd_rows(odd, none):
     assert pack_sequences(none).collect() == []
 
 
+def test_packing_spreads_rows_that_repeat(documents):
+    docs = documents([(None, "one text in many copies")] * 2000).repartition(2)
+    pieces = pack_sequences(docs, Packing(window=64, shard_rows=100)).collect()
+    shards = Counter(r["sequence_id"] >> 32 for r in pieces if r["start"] == 0)
+    assert sum(shards.values()) == 2000 and len(shards) == 20 and max(shards.values()) < 200
+
+
 def test_powers_of_two():
     pieces = list(powers([(0, 0, 5), (1, 3, 2), (2, 0, 6)], 13))
     assert [sum(n for _, _, n in p) for p in pieces] == [8, 4, 1]
