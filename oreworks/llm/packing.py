@@ -1,7 +1,8 @@
 """Packing: documents become token sequences of one length, filled with lexically similar neighbours.
 
 A document that is longer than a window fills windows by itself; what remains of it is a unit. Units are dealt into shards
-by hash. Within a shard an inverted index with BM25 weights, whose statistics cover all units of all shards, returns the
+by a min-hash of their tokens in which rare tokens weigh more, so that units with the same tokens tend to meet at any size
+of the corpus; a min-hash with more units than a shard has is split by row. Within a shard an inverted index with BM25 weights, whose statistics cover all units of all shards, returns the
 unused units that are nearest to a seed; they fill the seed's window greedily, and the last one is cut to fit.
 """
 
@@ -29,7 +30,8 @@ class Settings:
     """vocabulary: ranks of a byte-level BPE; its ids are those of the tokenizers file with the same vocabulary.
 
     window: tokens of a sequence. end: id that closes a document. shard_rows: documents of a shard, about.
-    query_terms: the seed's weightiest tokens that are looked up. tries: neighbours tried for a window.
+    query_terms: the seed's weightiest tokens that are looked up first. tries: neighbours tried first for a window. Where
+    all of them fit and leave room, the next ones follow, then those that share any token.
     k1, b: BM25's constants.
     """
 
@@ -50,6 +52,9 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_TOKENS = "doc_id long, no_id boolean, place long, key long, ids binary, counts binary"
+
+
 class Repeats:
     """Places of rows by their hash. A row that repeats within a task gets another place each time.
 
@@ -70,23 +75,35 @@ class Repeats:
         return xxhash.xxh3_64_intdigest(f"{row}:{task}:{self.drawn}".encode()) - (1 << 63)
 
 
+def order(settings: Settings) -> np.ndarray:
+    """Numbers of the vocabulary's tokens; a unit's token with the smallest one is its min-hash.
+
+    They are drawn from a fixed seed so that two units agree with about the chance of their weighted Jaccard similarity. A
+    token weighs as much as its rank, for ranks of a byte-level BPE grow as tokens become rare.
+    """
+    numbers = np.random.default_rng(7).exponential(size=settings.size) / np.arange(1, settings.size + 1)
+    numbers[settings.end] = np.inf
+    return numbers
+
+
 def _tokenize(settings: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, repeats = encoder(settings.vocabulary), Repeats()
+        words, repeats, numbers = encoder(settings.vocabulary), Repeats(), order(settings)
         found, units, length = np.zeros(settings.size, np.int64), 0, 0
         for batch in batches:
             place = [repeats.place(row, task) for row, task in zip(batch["place"], batch["task"])]
-            out = []
+            out, keys = [], []
             for text in batch["text"]:
                 ids = np.array(words.encode_ordinary(text or "") + [settings.end], np.uint32)
                 unit = ids[len(ids) // settings.window * settings.window :]
+                keys.append(int(unit[np.argmin(numbers[unit])]) if len(unit) else settings.end)
                 if len(unit):
                     found[np.unique(unit)] += 1
                     units, length = units + 1, length + len(unit)
                 out.append(pack(ids))
-            yield batch[["doc_id", "no_id"]].assign(place=place, ids=out, counts=None)
+            yield batch[["doc_id", "no_id"]].assign(place=place, key=keys, ids=out, counts=None)
         counts = pack(np.append(found, [units, length]))
-        yield pd.DataFrame({"doc_id": [0], "no_id": [False], "place": [0], "ids": [None], "counts": [counts]})
+        yield pd.DataFrame({"doc_id": [0], "no_id": [False], "place": [0], "key": [0], "ids": [None], "counts": [counts]})
         del words
         release()
 
@@ -107,18 +124,33 @@ class Index:
         self.starts = np.searchsorted(self.terms, np.arange(settings.size + 1))
         by_owner = np.lexsort((-self.weight, self.owner))
         edges = np.searchsorted(self.owner[by_owner], np.arange(len(units) + 1))
-        self.queries = [self.terms[by_owner[a : min(b, a + settings.query_terms)]] for a, b in zip(edges, edges[1:])]
-        self.tries = settings.tries
+        self.queries = [self.terms[by_owner[a:b]] for a, b in zip(edges, edges[1:])]
+        self.tries, self.first = settings.tries, settings.query_terms
 
-    def nearest(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused units that share terms with the seed, best first; ties in order of their place."""
-        lists = [slice(self.starts[t], self.starts[t + 1]) for t in self.queries[seed]]
+    def scores(self, terms: np.ndarray, unused: np.ndarray) -> np.ndarray:
+        lists = [slice(self.starts[t], self.starts[t + 1]) for t in terms]
         owners = np.concatenate([self.owner[s] for s in lists])
-        scores = np.bincount(owners, np.concatenate([self.weight[s] for s in lists]), len(unused)) * unused
+        return np.bincount(owners, np.concatenate([self.weight[s] for s in lists]), len(unused)) * unused
+
+    def nearest(self, seed: int, unused: np.ndarray) -> Iterator[np.ndarray]:
+        """Unused units that share terms with the seed, best first; ties in order of their place.
+
+        The best few, then all others that share one of the weightiest terms, then those that share any other term.
+        """
+        terms = self.queries[seed]
+        scores = self.scores(terms[: self.first], unused)
         found = np.flatnonzero(scores > 0)
         if len(found) > self.tries:
-            found = found[np.argpartition(-scores[found], self.tries)[: self.tries]]
-        return found[np.lexsort((found, -scores[found]))]
+            parted = np.argpartition(-scores[found], self.tries)
+            best, rest = found[parted[: self.tries]], found[parted[self.tries :]]
+            yield best[np.lexsort((best, -scores[best]))]
+            yield rest[np.lexsort((rest, -scores[rest]))]
+        else:
+            yield found[np.lexsort((found, -scores[found]))]
+        if len(terms) > self.first:
+            scores = self.scores(terms, unused)
+            found = np.flatnonzero(scores > 0)
+            yield found[np.lexsort((found, -scores[found]))]
 
 
 def fill(units: list[np.ndarray], index: Index, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -146,13 +178,17 @@ def fill(units: list[np.ndarray], index: Index, window: int) -> Iterator[list[tu
         sequence = [take(seed, window)]
         room = window - sequence[0][2]
         cut = None
-        for k in index.nearest(seed, unused) if room else ():
-            if left[k] <= room:
-                sequence.append(take(k, room))
-                room -= sequence[-1][2]
-            elif cut is None:
-                cut = k
-            if not room:
+        for found in index.nearest(seed, unused) if room else ():
+            for k in found:
+                if left[k] <= room:
+                    sequence.append(take(k, room))
+                    room -= sequence[-1][2]
+                elif cut is None:
+                    cut = k
+                if not room:
+                    break
+            # One that is to be cut fills all the room.
+            if not room or cut is not None:
                 break
         while room and (k := cut if cut is not None else next_seed()) is not None:
             sequence.append(take(k, room))
@@ -209,6 +245,23 @@ def _pack_shard(idf: np.ndarray, mean: float, settings: Settings):
     return run
 
 
+def deal(documents: DataFrame, settings: Settings) -> DataFrame:
+    """`documents` with `shard` in the place of `key` and `place`: in order of key, then place, about `shard_rows` each.
+
+    Counts of the keys reach the driver, at most one for each token of the vocabulary; rows are placed by them alone.
+    """
+    counts = sorted((r["key"], r["count"]) for r in documents.groupBy("key").count().collect())
+    rows = sum(n for _, n in counts)
+    shards = max(1, -(-rows // settings.shard_rows))
+    starts = np.cumsum([0] + [n for _, n in counts]).tolist()
+    spans = documents.sparkSession.createDataFrame(
+        [(key, start, n) for (key, n), start in zip(counts, starts)], "key long, first long, n long"
+    )
+    at = F.col("first") + F.pmod("place", F.lit(1 << 30)) / float(1 << 30) * F.col("n")
+    shard = F.least(F.floor(at * (shards / max(1, rows))), F.lit(shards - 1)).cast("long")
+    return documents.join(F.broadcast(spans), "key").withColumn("shard", shard).drop("key", "place", "first", "n")
+
+
 def pack_sequences(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Pieces of `docs` (`doc_id, text`): `doc_id, start, length, doc_tokens, sequence_id, offset, ids`.
 
@@ -221,12 +274,10 @@ def pack_sequences(docs: DataFrame, settings: Settings = Settings()) -> DataFram
         F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text",
         F.xxhash64("doc_id", "text").alias("place"), F.spark_partition_id().alias("task"),
     )
-    made = stored(rows.mapInPandas(_tokenize(settings), "doc_id long, no_id boolean, place long, ids binary, counts binary"))
+    made = stored(rows.mapInPandas(_tokenize(settings), _TOKENS))
     counts = total(made.select("counts"), settings.size + 2)
     found, units, length = counts[:-2].astype(np.float64), counts[-2], counts[-1]
     idf = np.log1p((units - found + 0.5) / (found + 0.5))
-    documents = made.where("ids IS NOT NULL")
-    shards = max(1, -(-documents.count() // settings.shard_rows))
-    documents = documents.select(F.pmod("place", F.lit(shards)).alias("shard"), "doc_id", "no_id", "ids")
+    documents = deal(made.where("ids IS NOT NULL").drop("counts"), settings)
     pieces = documents.groupBy("shard").applyInPandas(_pack_shard(idf, length / max(1, units), settings), _PIECE)
     return pieces.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")

@@ -17,7 +17,7 @@ from oreworks.llm import language, licenses, quality, secrets, urls
 from oreworks.llm.common import held_out
 from oreworks.llm.mixing import mix, rates
 from oreworks.llm.packing import Settings as Packing
-from oreworks.llm.packing import pack_sequences, powers
+from oreworks.llm.packing import Index, encoder, fill, pack_sequences, powers
 
 LANGUAGES = {
     "en": "the of and to in is that for with was this are they from which",
@@ -137,6 +137,10 @@ def test_secrets_stage_masks_and_keeps_every_document(spark, documents, odd, non
     assert corpus_pipeline.without_secrets(spark, none, "").isEmpty()
 
 
+#: Words that are one token each, also without the blank.
+WORDS = sorted({w.decode() for w in encoder(Packing().vocabulary).token_byte_values() if re.fullmatch(rb"[a-z]{5,9}", w)})
+
+
 def check_packing(docs, settings):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokenizer.encode_special_tokens = True
@@ -197,6 +201,27 @@ def test_packing_spreads_rows_that_repeat(documents):
     assert sum(shards.values()) == 2000 and len(shards) == 20 and max(shards.values()) < 200
 
 
+def test_packing_lets_neighbours_meet_in_many_shards(documents):
+    rng = random.Random(12)
+    topics = [rng.sample(WORDS, 12) for _ in range(100)]
+    texts = [" ".join(rng.sample(topics[k % 100], 11)) for k in range(2000)]
+    pieces = pack_sequences(documents(texts), Packing(window=128, shard_rows=50)).collect()
+    sequences = {}
+    for p in pieces:
+        sequences.setdefault(p["sequence_id"], []).append(p["doc_id"] % 100)
+    purity = [max(Counter(s).values()) / len(s) for s in sequences.values() if len(s) > 3]
+    assert np.mean(purity) > 0.6  # by a hash of the row, a shard has about one document of every second topic
+
+
+def test_neighbours_go_on_after_the_first_few():
+    units = [np.array([1, 2, 3] + [9] * 20)] + [np.array([1 + k % 3, 50 + k]) for k in range(10)] + [np.array([9, 70, 71])] * 30
+    index = Index(units, np.ones(100), 5.0, Packing(size=100, tries=4, query_terms=3))
+    found = np.concatenate(list(index.nearest(0, np.array([False] + [True] * 40))))
+    assert set(found) == set(range(1, 41))
+    sequence = next(fill(units, index, 43))
+    assert len(sequence) > 5 and {k for k, _, _ in sequence[1:5]} <= set(range(1, 41))
+
+
 def test_powers_of_two():
     pieces = list(powers([(0, 0, 5), (1, 3, 2), (2, 0, 6)], 13))
     assert [sum(n for _, _, n in p) for p in pieces] == [8, 4, 1]
