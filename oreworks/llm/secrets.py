@@ -3,7 +3,8 @@
 The grammar of each kind of credential is inferred from labelled examples: their prefix tree's states are merged where the
 counts of what follows are statistically compatible (a Hoeffding bound, tried recursively), which leaves a small
 probabilistic automaton. Every other run of credential characters is scored by its likelihood under the automata against
-the usual characters of such runs.
+the usual characters of such runs: of those with letters only, with digits only, or with both, and
+of those in capitals.
 """
 
 from __future__ import annotations
@@ -31,8 +32,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "format")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-SYMBOLS = 66
+# Characters and least length of a labelled value.
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+PART = re.compile(r"[A-Za-z0-9+/_-]{6,}")
+SYMBOLS = 67
+#: Distinct runs that a task remembers.
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -180,51 +185,86 @@ class Automaton:
         return total + math.log((state.ends + 0.5 / SYMBOLS) / (state.total + 0.5))
 
 
+def shape(value: str) -> str:
+    """Letters alone are mostly words and digits alone are mostly numbers: each is compared with its own kind.
+
+    So are capitals, which are rare in other words.
+    """
+    letters = ("capitals" if value.isupper() else "letters") if any(c.isalpha() for c in value) else ""
+    return letters + ("digits" if any(c.isdigit() for c in value) else "")
+
+
 @dataclass
 class Formats:
-    """Automata and thresholds by kind, and the usual characters (log shares) of runs."""
+    """Automata and thresholds by kind, and the usual characters (log shares) of runs by their shape."""
 
     automata: dict[str, tuple[Automaton, float]]
-    usual: dict[str, float]
+    usual: dict[str, dict[str, float]]
 
     def relative(self, automaton: Automaton, value: str) -> float:
-        rest = -math.log(SYMBOLS) - 5.0
-        return (automaton.log_likelihood(value) - sum(self.usual.get(c, rest) for c in value)) / max(1, len(value))
+        rest, usual = -math.log(SYMBOLS) - 5.0, self.usual.get(shape(value), {})
+        return (automaton.log_likelihood(value) - sum(usual.get(c, rest) for c in value)) / max(1, len(value))
 
     def matches(self, value: str) -> bool:
-        return any(self.relative(automaton, value) >= least for automaton, least in self.automata.values())
+        return bool(shape(value)) and any(self.relative(automaton, value) >= least for automaton, least in self.automata.values())
+
+
+class Matches(dict):
+    """Places in a run whose format is likely: the whole run, else its parts between dots and equal signs."""
 
+    def __init__(self, formats: Formats):
+        super().__init__()
+        self.formats = formats
 
-def _usable(value: str) -> bool:
-    """Letters alone are words and digits alone are numbers: neither shows a credential's format."""
-    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    def __missing__(self, run: str) -> list[tuple[int, int]]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        whole = run.rstrip(".")  # the end of a sentence
+        ends = [len(run)] + [len(whole)] * (LEAST["assign"] <= len(whole) < len(run))
+        found = [(0, end) for end in ends if self.formats.matches(run[:end])][:1]
+        if not found and ("." in whole or "=" in whole):
+            found = [m.span() for m in PART.finditer(run) if self.formats.matches(m[0])]
+        self[run] = found
+        return found
 
 
-def _touches(m: re.Match, spans: list[Span]) -> bool:
-    return any(start < m.end() and m.start() < end for _, start, end in spans)
+def _touching(m: re.Match, spans: list[Span]) -> list[Span]:
+    return [span for span in spans if span[1] < m.end() and m.start() < span[2]]
 
 
-def format_spans(text: str, base: list[Span], formats: Formats) -> list[Span]:
-    """Runs that no base span touches and whose format is likely."""
+def format_spans(text: str, base: list[Span], formats: Formats, known: Matches | None = None) -> list[Span]:
+    """Runs, or parts of them, whose format is likely. Of a run that base spans cover in part, it is the whole or a rest."""
     if not formats.automata:
         return []
-    out = []
+    out, known = [], Matches(formats) if known is None else known
     for m in RUN.finditer(text):
-        if _usable(m[0]) and not _touches(m, base) and formats.matches(m[0]):
-            out.append(("format", m.start(), m.end()))
+        start, end = m.span()
+        touching = _touching(m, base) if base else ()
+        if not touching:
+            out += [("format", start + a, start + b) for a, b in known[m[0]]]
+            continue
+        rests, at = [], start
+        for _, a, b in touching:
+            rests.append((at, a))
+            at = max(at, b)
+        rests = [(a, b) for a, b in [*rests, (at, end)] if a < b]
+        if rests and formats.matches(m[0]):
+            out.append(("format", start, end))
+        else:
+            out += [("format", a + x, a + y) for a, b in rests if b - a >= LEAST["assign"] for x, y in known[text[a:b]]]
     return out
 
 
 def learn(docs: DataFrame, settings: Settings = Settings()) -> Formats:
     """Formats of the credentials that the fixed patterns label in all of `docs` (`text`).
 
-    The usual characters are counted over all runs of all texts that no such pattern touches. Examples are distinct values drawn by hash at a rate set
+    The usual characters are counted by shape over all runs of all texts that no such pattern touches. Examples are distinct values drawn by hash at a rate set
     by their count, about twice `examples` of a kind: one half is inferred from, the other sets the threshold.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen, usual = set(), Counter()
+            seen, runs = set(), Counter()
             for text in batch["text"]:
                 if text is None:
                     continue
@@ -232,11 +272,14 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Formats:
                 for kind, start, end in base:
                     m = ASSIGN.match(text, start) if kind == "assign" else None
                     seen.add((kind, m[2] if m else text[start:end]))
-                for m in RUN.finditer(text):
-                    if not _touches(m, base):
-                        usual.update(m[0])
+                runs.update(m[0] for m in RUN.finditer(text) if not (base and _touching(m, base)))
+            usual = Counter()
+            for run, n in runs.items():
+                kind = f"char {shape(run)}"
+                for char in run:
+                    usual[kind, char] += n
             yield pd.DataFrame(
-                [(kind, value, 1) for kind, value in seen] + [("char", char, n) for char, n in usual.items()],
+                [(kind, value, 1) for kind, value in seen] + [(kind, char, n) for (kind, char), n in usual.items()],
                 columns=["kind", "value", "n"],
             )
 
@@ -244,10 +287,14 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Formats:
     marks = docs.select("text").mapInPandas(scan, "kind string, value string, n long")
     # Summed by value first: a credential in a third of all documents is one row for each task.
     marks = stored(marks.groupBy("kind", "value").agg(F.sum("n").alias("n")))
-    usual = {r["value"]: r["n"] for r in marks.where("kind = 'char'").collect()}
-    total = sum(usual.values()) + SYMBOLS
-    formats = Formats({}, {char: math.log((n + 1) / total) for char, n in usual.items()})
-    for row in marks.where("kind <> 'char'").groupBy("kind").count().orderBy("kind").collect():
+    usual: dict[str, dict[str, int]] = {}
+    for r in marks.where("kind LIKE 'char %'").collect():
+        usual.setdefault(r["kind"].removeprefix("char "), {})[r["value"]] = r["n"]
+    formats = Formats({}, {
+        kind: {char: math.log((n + 1) / (sum(counts.values()) + SYMBOLS)) for char, n in counts.items()}
+        for kind, counts in usual.items()
+    })
+    for row in marks.where("kind NOT LIKE 'char %'").groupBy("kind").count().orderBy("kind").collect():
         kind, rate = row["kind"], min(1.0, 2.0 * settings.examples / row["count"])
         place = F.pmod(F.xxhash64("value"), F.lit(1 << 30)) / float(1 << 30)
         drawn = marks.where((F.col("kind") == kind) & (place < rate)).select("value").collect()
@@ -267,11 +314,12 @@ def find(docs: DataFrame, formats: Formats, id_column: str = "doc_id") -> DataFr
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Matches(formats)
         for batch in batches:
             found = []
             for text in batch["text"]:
                 base = base_spans(text or "")
-                found.append((joined(base), joined(in_order(base + format_spans(text or "", base, formats)))))
+                found.append((joined(base), joined(in_order(base + format_spans(text or "", base, formats, known)))))
             yield pd.DataFrame({
                 id_column: batch[id_column], "base": [x[0] for x in found], "spans": [x[1] for x in found],
             })
@@ -287,8 +335,9 @@ def redact(docs: DataFrame, formats: Formats, mark: str = "[secret]") -> DataFra
     """`docs` with each found span of `text` replaced by `mark` (overlapping spans by one), all else as it was."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Matches(formats)
         for texts in batches:
-            yield texts.map(lambda text: None if text is None else masked(text, formats, mark))
+            yield texts.map(lambda text: None if text is None else masked(text, formats, mark, known))
         release()
 
     small_batches(docs.sparkSession)
@@ -296,10 +345,10 @@ def redact(docs: DataFrame, formats: Formats, mark: str = "[secret]") -> DataFra
     return docs.withColumn("text", masking(F.col("text")))
 
 
-def masked(text: str, formats: Formats, mark: str) -> str:
+def masked(text: str, formats: Formats, mark: str, known: Matches | None = None) -> str:
     base = base_spans(text)
     out, done = [], 0
-    for _, start, end in in_order(base + format_spans(text, base, formats)):
+    for _, start, end in in_order(base + format_spans(text, base, formats, known)):
         if start >= done:
             out += [text[done:start], mark]
         done = max(done, end)

@@ -118,6 +118,24 @@ def test_inferred_formats_find_what_no_pattern_does(documents):
     assert secrets.find(documents(clean), formats).where("spans <> ''").isEmpty()
 
 
+def test_short_dotted_and_partly_covered_credentials(documents):
+    rng = random.Random(14)
+    draw = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    makes = {
+        "short": lambda: "zq" + draw("0123456789", 2) + "-" + draw("XYZ", 4), "dotted": lambda: f"qv.{draw('JKQ', 6)}.{draw('789', 5)}",
+        "letters": lambda: "xqzj" + draw("xqzj", 8), "digits": lambda: "00000" + draw("01", 9),
+    }
+    clean = [" ".join(words(rng, 40)) + f" {rng.randrange(10**9)} 2024-05-{k % 28 + 1}. The end." for k in range(200)]
+    labelled = [f"{clean[k]} password={make()} x" for k in range(200) for make in makes.values()]
+    formats = secrets.learn(documents(labelled + clean))
+    for name, make in makes.items():
+        found = [secrets.masked(f"some text {make()}. more", formats, "#") for _ in range(50)]
+        assert sum(text.rstrip().count("#") == 1 and len(text) <= 17 for text in found) >= 40, (name, found[:3])
+    assert sum(secrets.masked(text, formats, "#") == text for text in clean) >= 198
+    covered = "zq12-XYZX" + "-" + "ab12" * 6
+    assert [s for s in secrets.masked(f"see {covered} now", formats, "#").split() if "zq12" in s] == []
+
+
 def test_automaton_merges_compatible_states_only():
     rng = random.Random(4)
     loop = secrets.Automaton(["".join(rng.choice("01") for _ in range(12)) for _ in range(200)], 0.05)
