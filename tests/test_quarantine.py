@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from oreworks.config import Domains
 from oreworks.operators import lookups, quarantine
 from oreworks.operators.rules import sales_rules
+from sales_layout import SALE
 
 
 def verdicts(rows, registry, **options):
@@ -158,7 +159,6 @@ def brute_force(rows, columns):
 
 @pytest.mark.parametrize("way", ["lazy", "registry", "unknown"])
 def test_hot_keys_and_both_ways_match_brute_force(spark, sale, registry, tmp_path, way):
-    from conftest import SALE
     from oreworks.sources.readers import stored_rows
 
     rows = messy_rows(sale)
