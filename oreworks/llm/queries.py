@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from oreworks.llm import language, licenses, secrets, urls
+from oreworks.llm import conversations, language, licenses, resampling, secrets, urls
 from oreworks.llm.mixing import mix
 from oreworks.llm.near_duplicates import near_duplicates
 from oreworks.llm.packing import pack_sequences
 from oreworks.llm.quality import quality
 from oreworks.llm.simhash import compare_with_edits
+from oreworks.llm.token_counts import count_tokens
 from oreworks.llm.top_k import top_k
 from oreworks.llm.common import held_out, table
 
@@ -228,3 +229,69 @@ found AS (
 SELECT doc_id, license, coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices
 FROM whole LEFT JOIN texts_by USING (digest) LEFT JOIN found USING (n)
 """
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document."""
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation, after damage."""
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the long enough documents, drawn towards the benchmark's texts; all documents are returned."""
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resampling.resample(docs, target).drop("n_words")
+
+
+# CRC-32 bit by bit, then a byte at a time over the hexadecimal digits of a feature.
+ORACLES["op13_resampling"] = """
+WITH RECURSIVE bits AS (
+    SELECT b AS byte, b::UBIGINT AS crc, 0 AS done FROM range(256) t(b)
+    UNION ALL
+    SELECT byte, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384::UBIGINT) ELSE crc >> 1 END, done + 1
+    FROM bits WHERE done < 8),
+crcs AS (SELECT list(crc ORDER BY byte) AS crcs FROM bits WHERE done = 8),
+words AS (
+    SELECT row_number() OVER () AS n, doc_id, NULL AS item_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    UNION ALL
+    SELECT NULL, NULL, item_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+features AS (
+    SELECT n, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM words),
+different AS (SELECT DISTINCT feature FROM features),
+hashed AS (
+    SELECT feature, xor(list_reduce(
+        list_transform(range(0, strlen(feature)), lambda i: CAST('0x' || substr(hex(encode(feature)), 2 * i + 1, 2) AS UBIGINT)),
+        lambda crc, byte: xor(crc >> 8, crcs[CAST(xor(crc, byte) & 255 AS BIGINT) + 1]), 4294967295::UBIGINT),
+        4294967295::UBIGINT) % 10000 AS bucket
+    FROM different, crcs),
+counted AS (
+    SELECT bucket, count(n) AS s, count(*) - count(n) AS t FROM features JOIN hashed USING (feature) GROUP BY bucket),
+gains AS (
+    SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000.0::DOUBLE)
+                                        / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000.0::DOUBLE)))) AS BIGINT) AS gain
+    FROM counted),
+weights AS (
+    SELECT n, count(*) AS n_features, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight
+    FROM features JOIN hashed USING (feature) JOIN gains USING (bucket) WHERE n IS NOT NULL GROUP BY n),
+scored AS (
+    SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)
+                                                                 AS BIGINT) + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+    FROM words LEFT JOIN weights USING (n) WHERE n IS NOT NULL),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place,
+           count(*) FILTER (WHERE n_words >= 20) OVER () AS long
+    FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * long // 100 THEN place END AS rank FROM placed
+"""
