@@ -107,6 +107,10 @@ class Settings:
     def folder(self, table: str, *parts: str) -> str:
         return "/".join([self.root.rstrip("/"), C.FOLDERS[table], *parts])
 
+    def relative(self, folder: str) -> str:
+        """A folder of the lake as its published tables name it."""
+        return folder.removeprefix(self.root.rstrip("/") + "/")
+
     @property
     def sales_sources(self) -> tuple[SourceSpec, ...]:
         return tuple(s for s in self.sources if s.is_sales)
@@ -114,6 +118,10 @@ class Settings:
     def bronze_folder(self, source: SourceSpec) -> str:
         return self.folder("bronze_sales" if source.is_sales else "bronze", source.name)
 
+    def bronze_table(self, source: SourceSpec) -> str:
+        """The source's name among the published tables."""
+        return f"bronze/{source.name}"
+
     def with_limits(self, **changes) -> "Settings":
         return replace(self, limits=replace(self.limits, **changes))
 

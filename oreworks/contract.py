@@ -177,6 +177,27 @@ PUBLISHED_COLUMNS = {
     "value": "valor",
 }
 
+# ---------------------------------------------------------------------------
+# Columns of the marts in their published order, under this library's names
+# ---------------------------------------------------------------------------
+STATE_COLUMNS = (
+    "revenue_rank", "state", "region", "revenue", "share_pct", "orders_billable", "orders_cancelled",
+    "orders_total", "cancel_rate_pct", "avg_ticket", "unique_customers", "items_sold",
+)
+MONTH_COLUMNS = (
+    "year_month", "revenue", "previous_revenue", "growth_pct", "running_revenue", "year_share_pct",
+    "orders_billable", "orders_cancelled", "orders_total", "cancel_rate_pct", "avg_ticket",
+    "unique_customers", "items_sold",
+)
+PAYMENT_COLUMNS = (
+    "payment", "revenue", "share_pct", "orders_billable", "orders_cancelled", "orders_total",
+    "cancel_rate_pct", "avg_ticket", "unique_customers",
+)
+CATEGORY_COLUMNS = (
+    "category_name", "segment", "revenue", "category_share_pct", "orders_billable", "orders_cancelled",
+    "cancel_rate_pct", "avg_ticket", "unique_customers",
+)
+
 # ---------------------------------------------------------------------------
 # Layout of the stored sales tables, under the names on disk
 # ---------------------------------------------------------------------------

@@ -7,29 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oreworks import contract as C
 from oreworks.config import Domains
 from oreworks.functions import columns as X
 from oreworks.operators import lookups
 
-STATE_COLUMNS = (
-    "revenue_rank", "state", "region", "revenue", "share_pct", "orders_billable", "orders_cancelled",
-    "orders_total", "cancel_rate_pct", "avg_ticket", "unique_customers", "items_sold",
-)
-MONTH_COLUMNS = (
-    "year_month", "revenue", "previous_revenue", "growth_pct", "running_revenue", "year_share_pct",
-    "orders_billable", "orders_cancelled", "orders_total", "cancel_rate_pct", "avg_ticket",
-    "unique_customers", "items_sold",
-)
-PAYMENT_COLUMNS = (
-    "payment", "revenue", "share_pct", "orders_billable", "orders_cancelled", "orders_total",
-    "cancel_rate_pct", "avg_ticket", "unique_customers",
-)
-CATEGORY_COLUMNS = (
-    "category_name", "segment", "revenue", "category_share_pct", "orders_billable", "orders_cancelled",
-    "cancel_rate_pct", "avg_ticket", "unique_customers",
-)
-
-
 def measures(cancelled: str) -> list[Column]:
     """Order counts, revenue, distinct paying customers and items of a group of sales."""
     sold = X.billable(cancelled)
@@ -82,7 +64,7 @@ def shape_by_state(metrics: DataFrame, regions: Mapping[str, Sequence[str]]) ->
             "revenue_rank": F.dense_rank().over(Window.orderBy(F.desc("revenue"))),
         }
     )
-    return _finish(ranked.withColumnRenamed("shipping_state", "state"), STATE_COLUMNS).orderBy("revenue_rank", "state")
+    return _finish(ranked.withColumnRenamed("shipping_state", "state"), C.STATE_COLUMNS).orderBy("revenue_rank", "state")
 
 
 def shape_by_month(metrics: DataFrame) -> DataFrame:
@@ -101,13 +83,13 @@ def shape_by_month(metrics: DataFrame) -> DataFrame:
             **share("year_share_pct"),
         }
     )
-    return _finish(trended, MONTH_COLUMNS).orderBy("year_month")
+    return _finish(trended, C.MONTH_COLUMNS).orderBy("year_month")
 
 
 def shape_by_payment(metrics: DataFrame) -> DataFrame:
     """Payment mart from metrics keyed by ``payment_method``."""
     shared = ratios(metrics).withColumns(share("share_pct")).withColumnRenamed("payment_method", "payment")
-    return _finish(shared, PAYMENT_COLUMNS).orderBy(F.desc("revenue"), "payment")
+    return _finish(shared, C.PAYMENT_COLUMNS).orderBy(F.desc("revenue"), "payment")
 
 
 def revenue_by_state(sales: DataFrame, d: Domains) -> DataFrame:
@@ -128,13 +110,13 @@ def category_customers(sales: DataFrame, categories: DataFrame, cancelled: str)
     What meets the customer table afterwards is one row per pair, never the sales of
     a hot customer, and distinct customers become a count of pairs.
     """
-    sold = X.billable(cancelled)
-    return lookups.with_category_name(sales, categories).groupBy("category_name", "customer_id").agg(
-        F.count("*").alias("n"),
-        F.count_if(sold).alias("n_sold"),
-        F.count_if(~sold).alias("n_cancelled"),
-        F.sum(F.when(sold, X.money("total_amount"))).alias("amount"),
-    )
+    return summed(lookups.with_category_name(sales, categories), ("category_name", "customer_id"), cancelled)
+
+
+def name_pairs(pairs: DataFrame, categories: DataFrame) -> DataFrame:
+    """Sums per ``category_id`` and customer under the category's name; parts of one pair are added up."""
+    named = lookups.with_category_name(pairs, categories)
+    return named.groupBy("category_name", "customer_id").agg(*[F.sum(c).alias(c) for c in _SUMS])
 
 
 def shape_by_category(pairs: DataFrame, customers: DataFrame) -> DataFrame:
@@ -149,7 +131,7 @@ def shape_by_category(pairs: DataFrame, customers: DataFrame) -> DataFrame:
         F.count_if(paying).alias("unique_customers"),
     )
     shared = ratios(metrics).withColumns(share("category_share_pct", "category_name"))
-    return _finish(shared, CATEGORY_COLUMNS).orderBy("category_name", F.desc("revenue"), "segment")
+    return _finish(shared, C.CATEGORY_COLUMNS).orderBy("category_name", F.desc("revenue"), "segment")
 
 
 def category_by_segment(sales: DataFrame, customers: DataFrame, categories: DataFrame, d: Domains) -> DataFrame:
@@ -160,28 +142,51 @@ def category_by_segment(sales: DataFrame, customers: DataFrame, categories: Data
 # One pass for the marts that share their input
 # ---------------------------------------------------------------------------
 ROLLUP_KEYS = ("shipping_state", "year_month", "payment_method")
+_SUMS = ("n", "n_sold", "n_cancelled", "amount", "items")
 
 
-def rollup(sales: DataFrame, cancelled: str) -> DataFrame:
-    """Metrics by state, by month, by payment and in total, from one scan of the sales.
-
-    ``_level`` tells the grouping sets apart (3, 5, 6 and 7: the bits of the keys
-    that are summed over).  ``active_customers`` also counts customers whose orders
-    were all cancelled.  Sales are added up per keys and customer before the grouping
-    sets repeat every row once for each of them.
-    """
+def summed(sales: DataFrame, keys: Sequence[str], cancelled: str) -> DataFrame:
+    """Sales added up per keys, exactly; such sums add up further."""
     sold = X.billable(cancelled)
-    summed = sales.groupBy(*ROLLUP_KEYS, "customer_id").agg(
+    return sales.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count_if(sold).alias("n_sold"), F.count_if(~sold).alias("n_cancelled"),
         F.sum(F.when(sold, X.money("total_amount"))).alias("amount"), F.sum(F.when(sold, F.col("quantity"))).alias("items"),
     )
-    return summed.groupingSets([[F.col(k)] for k in ROLLUP_KEYS] + [[]], *[F.col(k) for k in ROLLUP_KEYS]).agg(
-        F.grouping_id().alias("_level"),
+
+
+def paying(sales: DataFrame, keys: Sequence[str], cancelled: str) -> DataFrame:
+    """Keys and customer of every billable order."""
+    return sales.filter(X.billable(cancelled) & F.col("customer_id").isNotNull()).select(*keys, "customer_id")
+
+
+def rollup(sales: DataFrame, cancelled: str) -> DataFrame:
+    """Metrics by state, by month, by payment and in total."""
+    return rollup_of(summed(sales, ROLLUP_KEYS, cancelled), paying(sales, ROLLUP_KEYS, cancelled))
+
+
+def rollup_of(sums: DataFrame, buyers: DataFrame) -> DataFrame:
+    """Metrics of all grouping sets from sums and paying customers, which may repeat, per state, month and payment.
+
+    ``_level`` tells the grouping sets apart (3, 5, 6 and 7: the bits of the keys that are
+    summed over).  Sums are few rows, whatever the number of sales: they collapse in every
+    task, and only they are repeated for each set.  Customers are counted apart, from
+    distinct pairs.
+    """
+    sets = [[F.col(k)] for k in ROLLUP_KEYS] + [[]]
+    keys = [F.col(k) for k in ROLLUP_KEYS]
+    totals = sums.groupBy(*ROLLUP_KEYS).agg(*[F.sum(c).alias(c) for c in _SUMS]).groupingSets(sets, *keys).agg(
+        F.grouping_id().alias("_level"), *[F.sum(c).alias(c) for c in _SUMS], F.lit(0).cast("bigint").alias("customers")
+    )
+    counted = buyers.groupingSets(sets, *keys).agg(
+        F.grouping_id().alias("_level"), F.count_distinct("customer_id").alias("customers")
+    )
+    both = totals.unionByName(counted, allowMissingColumns=True)
+    return both.groupBy("_level", *ROLLUP_KEYS).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("orders_total"),
         F.coalesce(F.sum("n_sold"), F.lit(0)).alias("orders_billable"),
         F.coalesce(F.sum("n_cancelled"), F.lit(0)).alias("orders_cancelled"),
         _cents(F.sum("amount")).alias("revenue"),
-        F.count_distinct(F.when(F.col("n_sold") > 0, F.col("customer_id"))).alias("unique_customers"),
+        F.sum("customers").alias("unique_customers"),
         F.coalesce(F.sum("items"), F.lit(0)).cast("bigint").alias("items_sold"),
     )
 

@@ -36,7 +36,7 @@ def evaluate(spark: SparkSession, settings: Settings, layer: str) -> DataFrame:
 def read_checks(spark: SparkSession, settings: Settings, layer: str) -> DataFrame:
     """The stored checks of one run and layer, with what they expected and whether they block."""
     place = f"{settings.folder('checks')}/run_id={quote(settings.run_id, safe='')}/layer={layer}"
-    return spark.read.schema(gates.CHECK_LAYOUT).parquet(place).orderBy("position").drop("position", "data_ref", "executed_at")
+    return tables.read(spark, place, gates.CHECK_LAYOUT).orderBy("position").drop("position", "data_ref", "executed_at")
 
 
 def run_gate(spark: SparkSession, settings: Settings, layer: str) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from oreworks import contract as C
+from oreworks.sinks.published import publication, published, remove, scan
 
 
 def publish_names(df: DataFrame) -> DataFrame:
@@ -23,50 +24,14 @@ def in_layout(df: DataFrame, table: str) -> DataFrame:
     return publish_names(df).select(*T.StructType.fromDDL(C.STORED_LAYOUTS[table]).names)
 
 
-def _files(spark: SparkSession, path: str):
-    """The file system of a path, and the path as it wants it."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+def overwrite(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """Replace the table; a rerun never adds rows twice, a failed one leaves the old rows.
 
-
-def remove(spark: SparkSession, path: str) -> None:
-    files, where = _files(spark, path)
-    files.delete(where, True)
-
-
-def write_aside(writer: DataFrameWriter, spark: SparkSession, path: str) -> Callable[[], None]:
-    """Write beside the table; the returned call puts the new rows in the old ones' place.
-
-    Until then the stored table is untouched, so a write that fails loses nothing and
-    a table may be computed from itself.
+    The new rows become the table when its pointer names them, so a table may be
+    computed from itself.
     """
-    path = path.rstrip("/")
-    new, old = (f"{path}__{name}_{uuid.uuid4().hex}" for name in ("new", "old"))
-    try:
-        writer.parquet(new)
-    except BaseException:
-        remove(spark, new)
-        raise
-
-    def swap() -> None:
-        files, target = _files(spark, path)
-        fresh, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (new, old))
-        there = files.exists(target)
-        if there and not files.rename(target, aside):
-            raise OSError(f"{path} can't be moved aside")
-        if not files.rename(fresh, target):
-            if there:
-                files.rename(aside, target)
-            raise OSError(f"{new} can't be moved to {path}")
-        if there:
-            files.delete(aside, True)
-
-    return swap
-
-
-def overwrite(df: DataFrame, path: str) -> None:
-    """Replace the table; a rerun never adds rows twice, a failed one leaves the old rows."""
-    write_aside(df.write, df.sparkSession, path)()
+    with publication(df.sparkSession, path) as new:
+        new.replace("", new.write(df.write, "", by))
 
 
 def overwrite_by_partition(df: DataFrame, path: str, by: str, mode: str = "static") -> None:
@@ -75,11 +40,12 @@ def overwrite_by_partition(df: DataFrame, path: str, by: str, mode: str = "stati
     The rebalance gathers each partition into few, evenly sized files; one that
     holds a large part of the rows is split over many tasks.
     """
-    writer = df.hint("rebalance", by).write.partitionBy(by)
+    balanced = df.hint("rebalance", by)
     if mode == "static":
-        write_aside(writer, df.sparkSession, path)()
+        overwrite(balanced, path, [by])
     else:
-        writer.mode("overwrite").option("partitionOverwriteMode", mode).parquet(path)
+        with publication(df.sparkSession, path) as new:
+            new.replace_partitions("", new.write(balanced.write, "", [by]))
 
 
 def overwrite_balanced(df: DataFrame, path: str) -> None:
@@ -92,6 +58,14 @@ def overwrite_small(df: DataFrame, path: str) -> None:
     overwrite(df.coalesce(1), path)
 
 
+def read(spark: SparkSession, path: str, layout: str | None = None) -> DataFrame:
+    """The rows of a table that the functions above wrote, or of a plain folder of files."""
+    leaves = published(spark, path.rstrip("/")).get("")
+    if leaves is None:
+        return (spark.read.schema(layout) if layout else spark.read).parquet(path)
+    return scan(spark, path, leaves, layout)
+
+
 def append(df: DataFrame, path: str) -> None:
     """Add rows to an append-only table."""
     df.write.mode("append").parquet(path)

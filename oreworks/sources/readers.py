@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreworks import contract as C
 from oreworks.config import Settings, SourceSpec
 from oreworks.operators.quarantine import ROW_ID
+from oreworks.sinks.published import published, scan
 
 FILE = "_metadata.file_path"
 
@@ -65,15 +68,29 @@ def read_source(spark: SparkSession, spec: SourceSpec, settings: Settings, path:
     return READERS[spec.kind](spark, path or raw_path(spec, settings), spec)
 
 
-def stored_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A stored Parquet table plus an identity per row: its file and its position there.
+def with_identity(df: DataFrame) -> DataFrame:
+    """Rows of stored files plus an identity per row: its file and its position there.
 
     The identity does not change when a task runs again or other columns are read.
     """
     identity = F.struct(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
     )
-    return spark.read.parquet(path).select("*", identity.alias(ROW_ID))
+    return df.select("*", identity.alias(ROW_ID))
+
+
+def stored_rows(spark: SparkSession, path: str) -> DataFrame:
+    """A stored Parquet folder with the identity of its rows."""
+    return with_identity(spark.read.parquet(path))
+
+
+def read_bronze(spark: SparkSession, settings: Settings, spec: SourceSpec, leaves: Sequence[str] | None = None) -> DataFrame:
+    """The stored rows of one source, or those of some of its folders only."""
+    if leaves is None:
+        leaves = published(spark, settings.root).get(settings.bronze_table(spec))
+    if leaves is None:
+        return spark.read.parquet(settings.bronze_folder(spec))
+    return scan(spark, settings.root, leaves)
 
 
 def adopt_names(df: DataFrame) -> DataFrame:
@@ -92,8 +109,12 @@ def read_layer(
     Sales tables are read by their declared layout, so an empty one is a table too.
     """
     layout = C.STORED_LAYOUTS.get(table)
-    reader = spark.read.schema(layout) if layout else spark.read
-    df = adopt_names(reader.parquet(settings.folder(table)))
+    leaves = published(spark, settings.root).get(table)
+    if leaves is None:
+        reader = spark.read.schema(layout) if layout else spark.read
+        df = adopt_names(reader.parquet(settings.folder(table)))
+    else:
+        df = adopt_names(scan(spark, settings.root, leaves, layout))
     if months is not None:
         df = df.filter(F.col("year_month").between(*months))
     return df

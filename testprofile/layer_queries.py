@@ -163,7 +163,7 @@ def k1(spark, sf):
     rows = P.sales(spark, sf).select("order_id", "status")
     tables.overwrite(rows, path)
     tables.overwrite(rows, path)
-    return spark.read.parquet(path).groupBy("status").agg(F.count("*").alias("rows"))
+    return tables.read(spark, path).groupBy("status").agg(F.count("*").alias("rows"))
 
 
 @query("k2_partitioned_overwrite", O.with_sales(
@@ -176,7 +176,7 @@ def k2(spark, sf):
     tables.overwrite_by_partition(rows, path, "year_month", "static")
     corrected = rows.filter(F.col("year_month").like("1996%") & X.billable(D.cancelled))
     tables.overwrite_by_partition(corrected, path, "year_month", "dynamic")
-    return spark.read.parquet(path).groupBy("year_month").agg(F.count("*").alias("rows"))
+    return tables.read(spark, path).groupBy("year_month").agg(F.count("*").alias("rows"))
 
 
 @query("k3_single_file", O.with_sales(
@@ -184,7 +184,7 @@ def k2(spark, sf):
 def k3(spark, sf):
     path = _scratch(spark, "mart")
     tables.overwrite_small(marts.revenue_by_payment(P.silver_sales(spark, sf), D), path)
-    written = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("file"))
+    written = tables.read(spark, path).select("*", F.col("_metadata.file_path").alias("file"))
     return written.groupBy("payment", "revenue", "orders_total").agg(F.count_distinct("file").alias("files"))
 
 
@@ -382,7 +382,7 @@ def l1_incremental(spark, sf):
         rows = R.sales_text(spark, sf, part).withColumnsRenamed({new: old for old, new in C.CSV_RENAMES.items()})
         rows.write.mode("append").option("header", "true").option("sep", ";").option("encoding", "ISO-8859-1").csv(path)
         arrivals.append_new_files(spark, spec, replace(settings, run_id=run_id))
-    stored = spark.read.parquet(settings.bronze_folder(spec))
+    stored = readers.read_bronze(spark, settings, spec)
     return stored.groupBy(F.col("situacao").alias("status"), F.col("_batch_id").alias("run_id")).agg(
         F.count("*").alias("rows")
     )
@@ -461,3 +461,52 @@ def l5(spark, sf):
 def l6(spark, sf):
     marts = F.array_join(F.transform(F.split("marts", ","), lambda m: F.substring_index(m, "=", 1)), ",")
     return run.summary(spark, R.finished(spark, sf)).withColumn("marts", marts)
+
+
+# --- the same by delivery ----------------------------------------------------------
+_STORED = """order_id, customer_id, product_id, quantity, unit_price, total_amount, order_date,
+  lower(payment_method) AS payment_method, shipping_city, shipping_state, lower(status) AS status, category_id, year_month"""
+
+
+@query("l2_incremental_silver", O.with_judged(f"""
+SELECT {_STORED}, '' AS reasons FROM valid
+UNION ALL SELECT * REPLACE (NULL AS category_id, NULL AS year_month) FROM (
+  SELECT {_STORED}, array_to_string(reasons, ',') AS reasons FROM rejected)""", order=RUN_ORDER))
+def l2_incremental(spark, sf):
+    """Silver and quarantine after three deliveries, row by row: those of one run over all rows."""
+    settings = R.delivered(spark, sf)
+    columns = [*C.SALES_FIELDS, "category_id", "year_month"]
+    kept = readers.read_layer(spark, settings, "silver_sales").select(*columns, F.lit("").alias("reasons"))
+    lost = readers.read_layer(spark, settings, "quarantine").select(*C.SALES_FIELDS, F.array_join("_reasons", ",").alias("reasons"))
+    return kept.unionByName(lost, allowMissingColumns=True)
+
+
+_MERGED = "revenue, orders_billable, orders_cancelled, avg_ticket, cancel_rate_pct, unique_customers"
+
+
+@query("l3_merged_marts", O.with_judged(f"""
+SELECT 'state' AS mart, state AS key, share_pct AS share, {_MERGED} FROM ({O.STATE_SELECT.replace("FROM metrics", "FROM by_state")})
+UNION ALL SELECT 'month', year_month, year_share_pct, {_MERGED} FROM ({O.MONTH_SELECT.replace("FROM metrics", "FROM by_month")})
+UNION ALL SELECT 'payment', lower(payment), share_pct, {_MERGED} FROM ({O.PAYMENT_SELECT.replace("FROM metrics", "FROM by_payment")})
+UNION ALL SELECT 'category', category_name || '/' || upper(left(segment, 1)) || lower(substr(segment, 2)), category_share_pct, {_MERGED}
+FROM ({O.CATEGORY_SELECT.replace("FROM metrics", "FROM by_category")})""",
+    O.metrics("shipping_state", "valid").replace("metrics AS", "by_state AS", 1),
+    O.metrics("year_month", "valid").replace("metrics AS", "by_month AS", 1),
+    O.metrics("payment_method", "valid").replace("metrics AS", "by_payment AS", 1),
+    *O.category_parts("valid")[:-1], O.metrics("category_name, segment", "labelled").replace("metrics AS", "by_category AS", 1),
+    order=RUN_ORDER))
+def l3_merged(spark, sf):
+    """All four marts after three deliveries, from states that were merged month by month."""
+    settings = R.delivered(spark, sf)
+    marts_by = {
+        "gold_state": ("state", F.col("state"), "share_pct"), "gold_month": ("month", F.col("year_month"), "year_share_pct"),
+        "gold_payment": ("payment", F.col("payment"), "share_pct"),
+        "gold_category": ("category", F.concat_ws("/", "category_name", "segment"), "category_share_pct"),
+    }
+    columns = [c.strip() for c in _MERGED.split(",")]
+    return normalize.unite(
+        readers.read_layer(spark, settings, layer).select(
+            F.lit(name).alias("mart"), key.alias("key"), F.col(share).alias("share"), *columns
+        )
+        for layer, (name, key, share) in marts_by.items()
+    )

@@ -159,7 +159,7 @@ def t1(spark, sf):
         path = tables.scratch_path(spark, f"sorted-{name}")
         tables.overwrite_small(mart, path)
         row = (F.col("_metadata.row_index") + 1).alias("position")
-        placed.append(spark.read.parquet(path).select(F.lit(name).alias("mart"), key.alias("key"), row))
+        placed.append(tables.read(spark, path).select(F.lit(name).alias("mart"), key.alias("key"), row))
     return unite(placed)
 
 

@@ -6,11 +6,15 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oreworks import contract as C
-from oreworks.config import Limits, Settings
+from oreworks.config import Limits, Settings, default_sources
+from oreworks.plans.bronze import run_bronze
+from oreworks.plans.increments import run_gold_increment, run_silver_increment
 from oreworks.plans.run import run
 from oreworks.sinks.tables import scratch_path
+from oreworks.streaming.arrivals import append_new_files
 from testprofile import tables as P
 
 PAGE_ROWS = 10_000
@@ -66,6 +70,39 @@ def write_raw(spark: SparkSession, sf: str, root: str) -> None:
     write_documents(P.nested_categories(spark, sf), f"{root}/raw/{C.CATEGORIES}")
 
 
+#: Order in which the thirds of the sales arrive; rows of one order fall in several, and not the first one first.
+DELIVERIES = (1, 2, 0)
+TEXT = T.StructType([T.StructField(c, T.StringType()) for c in C.CSV_RENAMES])
+_DELIVERED: dict[tuple[str, str], Settings] = {}
+
+
+def delivered(spark: SparkSession, sf: str) -> Settings:
+    """Settings of a lake that got its sales in three deliveries, each put into Silver as it came."""
+    done = (spark.sparkContext.applicationId, sf)
+    if done not in _DELIVERED:
+        root = scratch_path(spark, "deliveries")
+        P.raw_customers(spark, sf).filter("c_acctbal >= 0").drop("c_acctbal").write.parquet(f"{root}/raw/{C.CUSTOMERS}")
+        write_documents(P.nested_categories(spark, sf), f"{root}/raw/{C.CATEGORIES}")
+        csv, _, _, *dimensions = default_sources()
+        csv = replace(csv, schema=TEXT)
+        settings = Settings(
+            root, run_id="deliveries", domains=DOMAINS, limits=LIMITS, keep_first_by=KEEP_FIRST_BY, sources=tuple(dimensions)
+        )
+        run_bronze(spark, settings)
+        settings = replace(settings, sources=(csv, *dimensions))
+        for part in DELIVERIES:
+            number = F.regexp_extract("product_id", C.PRODUCT_NUMBER_PATTERN, 1).cast("bigint")
+            rows = sales_text(spark, sf).filter(number % 3 == part).withColumnsRenamed({n: o for o, n in C.CSV_RENAMES.items()})
+            raw = rows.write.mode("append").option("header", "true").option("sep", ";").option("encoding", "ISO-8859-1")
+            raw.csv(f"{root}/raw/{C.SALES_CSV}")
+            append_new_files(spark, csv, settings)
+            run_silver_increment(spark, settings)
+            if part != DELIVERIES[1]:  # Gold meets the last two deliveries at once
+                run_gold_increment(spark, settings)
+        _DELIVERED[done] = settings
+    return _DELIVERED[done]
+
+
 _DONE: dict[tuple[str, str], Settings] = {}
 
 

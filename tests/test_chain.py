@@ -11,7 +11,8 @@ from oreworks.operators.rules import sales_rules
 from oreworks.plans import bronze, gate, run, silver
 from oreworks.sinks import metrics
 from oreworks.sources.checks import SchemaDriftError, column_report, sources_ready
-from oreworks.sources.readers import read_layer, read_source
+from oreworks.sinks.published import published, scan
+from oreworks.sources.readers import read_bronze, read_layer, read_source
 from rawfiles import CSV_HEADER, write_raw
 
 
@@ -33,7 +34,7 @@ def test_bronze_keeps_text_and_counts_files(spark, finished):
     settings, _ = finished
     stats = {r["_source"]: (r["rows"], r["files"]) for r in bronze.bronze_stats(spark, settings).collect()}
     assert stats["vendas_csv"] == (5, 2) and stats["vendas_json"] == (2, 2) and stats["clientes"][0] == 5
-    csv = spark.read.parquet(settings.folder("bronze_sales", "vendas_csv"))
+    csv = read_bronze(spark, settings, settings.sources[0])
     assert csv.schema["qtd"].dataType.typeName() == "string"
     assert csv.filter("cod_pedido = ' p1 '").first()["cidade_entrega"] == "São Paulo"
     assert str(csv.first()["_data_ref"]) == "2023-12-31" and csv.first()["_batch_id"] == "r1"
@@ -57,12 +58,15 @@ def test_silver_and_quarantine(spark, finished):
 
 def test_names_on_disk(spark, finished):
     settings, _ = finished
-    assert "ano_mes" in spark.read.parquet(settings.folder("silver_sales")).columns
-    assert "_motivos" in spark.read.parquet(settings.folder("quarantine")).columns
-    assert spark.read.parquet(settings.folder("gold_state")).columns[:4] == [
+    now = published(spark, settings.root)
+    assert "ano_mes" in scan(spark, settings.root, now["silver_sales"]).columns
+    assert "_motivos" in scan(spark, settings.root, now["quarantine"]).columns
+    assert scan(spark, settings.root, now["gold_state"]).columns[:4] == [
         "ranking_faturamento", "uf", "regiao", "faturamento"
     ]
-    assert pathlib.Path(settings.folder("silver_sales"), "ano_mes=2023-01").is_dir()
+    january = [leaf for leaf in now["silver_sales"] if leaf.endswith("/ano_mes=2023-01")]
+    assert len(january) == 1 and january[0].startswith(f"{C.FOLDERS['silver_sales']}/")
+    assert pathlib.Path(settings.root, january[0]).is_dir()
 
 
 def test_customers_are_minimized_and_unique(spark, finished):
