@@ -170,11 +170,13 @@ def repeated_rows(
     order_by: Sequence[str] = ORDER,
     key: str = "order_id",
     small: bool = False,
+    stage: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Identities of good rows that come second or later within their key.
 
     Only rows of suspect keys get as far as the rules.  ``small`` says the suspects
-    were found small enough to broadcast.
+    were found small enough to broadcast.  The good ones are looked at twice; ``stage``
+    stores their few columns, so that the rules run once.
     """
     listed = suspects.select(KEY_HASH)
     few = sales.withColumn(KEY_HASH, F.xxhash64(key)).join(
@@ -182,6 +184,8 @@ def repeated_rows(
     )
     checked = evaluate(tag_customers(few), rules)
     narrow = checked.filter(F.col(FAILED) == 0).select(*dict.fromkeys([key, *order_by]), ROW_ID)
+    if stage is not None:
+        narrow = stage(narrow, "good-suspects")
     return flag_repeats(narrow, key, order_by, F.lit(True)).filter(REPEAT).select(ROW_ID)
 
 

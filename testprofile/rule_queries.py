@@ -166,7 +166,7 @@ def q9_by_exceptions(spark, sf):
     tag = quarantine.tag_by_unknown(lookups.checked_broadcast(unknown, P.SCALE))
     suspects = tables.stage(quarantine.repeat_suspects(P.table(spark, sf, "lineitem").select(P.order_id())), "suspects")
     repeated = quarantine.repeated_rows(
-        sales, tag, suspects, rules, P.ORDER, small=lookups.fits_broadcast(suspects, P.SCALE)
+        sales, tag, suspects, rules, P.ORDER, small=lookups.fits_broadcast(suspects, P.SCALE), stage=tables.stage
     )
     repeated = lookups.checked_broadcast(tables.stage(repeated, "repeated"), P.SCALE)
     judged = quarantine.judge_by_exceptions(sales, quarantine.Exceptions(tag, repeated), rules)
