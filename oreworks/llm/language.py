@@ -41,7 +41,9 @@ class Settings:
 
 def canonical(text: str) -> bytes:
     """Letters only, lower-cased, each other run as one space: marks, digits and case say nothing about a language."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
+    found = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    # What is left may be numbers of other kinds alone, such as fractions and Roman numerals.
+    return found.encode("utf-8", "replace") if any(map(str.isalpha, found)) else b""
 
 
 def learn(labelled: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:

@@ -29,7 +29,7 @@ from oreworks.llm.common import small_batches, stored
 class Settings:
     """vocabulary: ranks of a byte-level BPE; its ids are those of the tokenizers file with the same vocabulary.
 
-    window: tokens of a sequence. end: id that closes a document. shard_rows: documents of a shard, about.
+    special: a mark that is one token wherever a text holds it, and its id. window: tokens of a sequence. end: id that closes a document. shard_rows: documents of a shard, about.
     query_terms: the seed's weightiest tokens that are looked up first. tries: neighbours tried first for a window. Where
     all of them fit and leave room, the next ones follow, then those that share any token.
     k1, b: BM25's constants.
@@ -37,6 +37,7 @@ class Settings:
 
     vocabulary: str = public_tokenizers.path("byte_bpe_50k.tiktoken")
     size: int = 50_257
+    special: tuple[str, int] = ("<|endoftext|>", 50_256)
     window: int = 1024
     end: int = 0
     shard_rows: int = 2048
@@ -52,6 +53,17 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(words: tiktoken.Encoding, text: str, special: tuple[str, int]) -> list[int]:
+    """Ids of a text as the tokenizers library gives them: special marks are cut out first, the rest is ordinary text."""
+    mark, number = special
+    first, *others = text.split(mark)
+    ids = words.encode_ordinary(first)
+    for part in others:
+        ids.append(number)
+        ids += words.encode_ordinary(part)
+    return ids
+
+
 _TOKENS = "doc_id long, no_id boolean, place long, key long, ids binary, counts binary"
 
 
@@ -94,7 +106,7 @@ def _tokenize(settings: Settings):
             place = [repeats.place(row, task) for row, task in zip(batch["place"], batch["task"])]
             out, keys = [], []
             for text in batch["text"]:
-                ids = np.array(words.encode_ordinary(text or "") + [settings.end], np.uint32)
+                ids = np.array(encode(words, text or "", settings.special) + [settings.end], np.uint32)
                 unit = ids[len(ids) // settings.window * settings.window :]
                 keys.append(int(unit[np.argmin(numbers[unit])]) if len(unit) else settings.end)
                 if len(unit):

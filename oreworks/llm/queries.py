@@ -73,24 +73,27 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_mixing"] = """
-WITH RECURSIVE docs AS (
-    SELECT *, CAST(('0x' || substr(md5('17:' || CASE WHEN doc_id IS NULL THEN '' ELSE CAST(doc_id AS VARCHAR) || ':' END
-                                      || md5(coalesce(text, ''))), 1, 13)) AS BIGINT) / 4503599627370496.0 AS place
-    FROM documents),
-sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents GROUP BY source HAVING size > 0),
+WITH RECURSIVE sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents GROUP BY source HAVING size > 0),
+wholes AS (
+    SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM sizes) * (SELECT sum(size) FROM sizes)::DOUBLE / size AS whole FROM sizes),
 rates AS (
-    SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM sizes) * (SELECT sum(size) FROM sizes)::DOUBLE / size AS rate
-    FROM sizes),
+    SELECT source, greatest(1, CAST(ceil(whole / 64.0::DOUBLE) AS BIGINT)) AS lanes, whole / lanes AS rate FROM wholes),
 poisson AS (
     SELECT source, rate, 0 AS k, -rate AS term, exp(-rate) AS upto FROM rates
     UNION ALL
     SELECT source, rate, k + 1, term + ln(rate) - ln((k + 1)::DOUBLE), upto + exp(term + ln(rate) - ln((k + 1)::DOUBLE))
     FROM poisson WHERE k + 1 <= ceil(rate + 12 * sqrt(rate) + 24)),
+docs AS (
+    SELECT d.*, unnest(range(lanes)) AS lane FROM documents d JOIN rates r ON r.source IS NOT DISTINCT FROM d.source),
+placed AS (
+    SELECT *, CAST(('0x' || substr(md5('17' || CASE WHEN lane > 0 THEN '/' || lane ELSE '' END || ':'
+                                      || CASE WHEN doc_id IS NULL THEN '' ELSE CAST(doc_id AS VARCHAR) || ':' END
+                                      || md5(coalesce(text, ''))), 1, 13)) AS BIGINT) / 4503599627370496.0 AS place
+    FROM docs),
 counts AS (
-    SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.place,
-           (SELECT count(*) FROM poisson p WHERE p.source IS NOT DISTINCT FROM d.source AND round(p.upto, 12) <= d.place) AS n
-    FROM docs d JOIN rates r ON r.source IS NOT DISTINCT FROM d.source)
-SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(n)) AS INTEGER) AS copy FROM counts
+    SELECT *, (SELECT count(*) FROM poisson p WHERE p.source IS NOT DISTINCT FROM d.source AND round(p.upto, 12) <= d.place) AS n
+    FROM placed d)
+SELECT doc_id, text, lang, source, n_chars, lane * 1024 + unnest(range(n)) AS copy FROM counts
 """
 
 

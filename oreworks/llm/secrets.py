@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from oreworks.llm.common import small_batches, stored
 ASSIGN = re.compile(
     r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII
 )
+# What every match of that pattern holds, in lower case.
+WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "format")
@@ -59,7 +62,10 @@ Span = tuple[str, int, int]
 
 def base_spans(text: str) -> list[Span]:
     """Matches of the fixed patterns, leftmost and not overlapping within a kind; in order of start, then kind."""
-    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
+    found = []
+    lower = text.lower()
+    if any(word in lower for word in WORDS):  # a plain search is many times as fast as the pattern's alternatives
+        found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     return in_order(found)
@@ -172,17 +178,30 @@ class Automaton:
         ]
 
     def log_likelihood(self, text: str) -> float:
-        """Of a whole string, its end included; unseen characters get a small share of each state."""
-        at, total = 0, 0.0
-        for char in text:
-            if at is None:
-                total -= math.log(SYMBOLS)
-                continue
-            state = self.states[at]
-            total += math.log((state.counts[char] + 0.5 / SYMBOLS) / (state.total + 0.5))
-            at = state.next.get(char)
-        state = self.states[at] if at is not None else State()
-        return total + math.log((state.ends + 0.5 / SYMBOLS) / (state.total + 0.5))
+        """Of a whole string, its end included."""
+        logs, follows, ends = self.tables()
+        state, total = 0, 0.0
+        for code in text.encode("ascii"):
+            total += logs[state, code]
+            state = follows[state, code]
+        return total + ends[state]
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By state and character code: log share and next state; by state: log share of an end.
+
+        Unseen characters get a small share of each state, and lead to a last state that has seen nothing.
+        """
+        lost = len(self.states)
+        logs, follows = np.empty((lost + 1, 128)), np.full((lost + 1, 128), lost)
+        for k, state in enumerate(self.states):
+            logs[k] = math.log((0.5 / SYMBOLS) / (state.total + 0.5))
+            for char, n in state.counts.items():
+                logs[k, ord(char)] = math.log((n + 0.5 / SYMBOLS) / (state.total + 0.5))
+            for char, target in state.next.items():
+                follows[k, ord(char)] = target
+        logs[lost] = -math.log(SYMBOLS)
+        ends = np.array([math.log((s.ends + 0.5 / SYMBOLS) / (s.total + 0.5)) for s in [*self.states, State()]])
+        return logs, follows, ends
 
 
 def shape(value: str) -> str:
@@ -190,10 +209,16 @@ def shape(value: str) -> str:
 
     So are capitals, which are rare in other words.
     """
+    if value.isalpha():
+        return "capitals" if value.isupper() else "letters"
     letters = ("capitals" if value.isupper() else "letters") if any(c.isalpha() for c in value) else ""
     return letters + ("digits" if any(c.isdigit() for c in value) else "")
 
 
+#: Longer values are scored one by one; their steps are the same.
+TOGETHER = 256
+
+
 @dataclass
 class Formats:
     """Automata and thresholds by kind, and the usual characters (log shares) of runs by their shape."""
@@ -201,12 +226,60 @@ class Formats:
     automata: dict[str, tuple[Automaton, float]]
     usual: dict[str, dict[str, float]]
 
-    def relative(self, automaton: Automaton, value: str) -> float:
-        rest, usual = -math.log(SYMBOLS) - 5.0, self.usual.get(shape(value), {})
-        return (automaton.log_likelihood(value) - sum(usual.get(c, rest) for c in value)) / max(1, len(value))
-
-    def matches(self, value: str) -> bool:
-        return bool(shape(value)) and any(self.relative(automaton, value) >= least for automaton, least in self.automata.values())
+    def __post_init__(self):
+        self.shapes = sorted(self.usual)
+        rest = -math.log(SYMBOLS) - 5.0
+        # The last row is for shapes that no text has.
+        self.usual_logs = np.full((len(self.shapes) + 1, 128), rest)
+        for k, name in enumerate(self.shapes):
+            for char, log in self.usual[name].items():
+                self.usual_logs[k, ord(char)] = log
+        self.tables = {kind: automaton.tables() for kind, (automaton, _) in self.automata.items()}
+
+    def add(self, kind: str, automaton: Automaton, least: float) -> None:
+        self.automata[kind] = automaton, least
+        self.tables[kind] = automaton.tables()
+
+    def relative(self, tables: tuple[np.ndarray, np.ndarray, np.ndarray], values: list[str]) -> np.ndarray:
+        """Log-likelihood of each value, its end included, above that of the usual text of its shape, per character.
+
+        All values go through the automaton together, a character at a time.
+        """
+        logs, follows, ends = tables
+        number = {name: k for k, name in enumerate(self.shapes)}
+        out = np.empty(len(values))
+        sizes = np.fromiter(map(len, values), np.int64, len(values))
+        kinds = np.array([number.get(shape(v), len(self.shapes)) for v in values], np.int64)
+        long = np.flatnonzero(sizes > TOGETHER)
+        for k in long:
+            state, total, usual = 0, 0.0, 0.0
+            for code in values[k].encode("ascii"):
+                total += logs[state, code]
+                usual += self.usual_logs[kinds[k], code]
+                state = follows[state, code]
+            out[k] = (total + ends[state] - usual) / sizes[k]
+        order = np.argsort(-sizes, kind="stable")[len(long) :]
+        data = np.frombuffer("".join(values[k] for k in order).encode("ascii"), np.uint8)
+        sizes, kinds = sizes[order], kinds[order]
+        starts = np.cumsum(sizes) - sizes
+        states, total, usual = np.zeros(len(order), np.int64), np.zeros(len(order)), np.zeros(len(order))
+        for at in range(int(sizes[0]) if len(sizes) else 0):
+            more = int(np.searchsorted(-sizes, -at, "left"))  # sizes fall: these have a character here
+            codes = data[starts[:more] + at]
+            total[:more] += logs[states[:more], codes]
+            usual[:more] += self.usual_logs[kinds[:more], codes]
+            states[:more] = follows[states[:more], codes]
+        out[order] = (total + ends[states] - usual) / np.maximum(1, sizes)
+        return out
+
+    def matching(self, values: list[str]) -> set[str]:
+        """The values that are likely by any automaton. Runs without letters and digits are none."""
+        values = [v for v in values if v.isalnum() or shape(v)]
+        found: set[str] = set()
+        for kind, (_, least) in self.automata.items():
+            likely = self.relative(self.tables[kind], values) >= least
+            found.update(values[k] for k in np.flatnonzero(likely))
+        return found
 
 
 class Matches(dict):
@@ -216,17 +289,31 @@ class Matches(dict):
         super().__init__()
         self.formats = formats
 
-    def __missing__(self, run: str) -> list[tuple[int, int]]:
-        if len(self) >= REMEMBERED:
+    def learn(self, runs: Iterable[str]) -> None:
+        """Score all runs that are not known yet, together."""
+        new = [run for run in runs if run not in self]
+        if len(self) + len(new) > REMEMBERED:
             self.clear()
+            new = list(runs)
+        values = set(new)
+        values.update(run.rstrip(".") for run in new if run[-1] == ".")
+        values.update(part for run in new if "." in run or "=" in run for part in PART.findall(run))
+        likely = self.formats.matching(list(values))
+        for run in new:
+            self[run] = self._places(run, likely) if likely else []
+
+    def _places(self, run: str, likely: set[str]) -> list[tuple[int, int]]:
         whole = run.rstrip(".")  # the end of a sentence
         ends = [len(run)] + [len(whole)] * (LEAST["assign"] <= len(whole) < len(run))
-        found = [(0, end) for end in ends if self.formats.matches(run[:end])][:1]
+        found = [(0, end) for end in ends if run[:end] in likely][:1]
         if not found and ("." in whole or "=" in whole):
-            found = [m.span() for m in PART.finditer(run) if self.formats.matches(m[0])]
-        self[run] = found
+            found = [m.span() for m in PART.finditer(run) if m[0] in likely]
         return found
 
+    def __missing__(self, run: str) -> list[tuple[int, int]]:
+        self.learn([run])
+        return self[run]
+
 
 def _touching(m: re.Match, spans: list[Span]) -> list[Span]:
     return [span for span in spans if span[1] < m.end() and m.start() < span[2]]
@@ -248,13 +335,28 @@ def format_spans(text: str, base: list[Span], formats: Formats, known: Matches |
             rests.append((at, a))
             at = max(at, b)
         rests = [(a, b) for a, b in [*rests, (at, end)] if a < b]
-        if rests and formats.matches(m[0]):
+        if rests and formats.matching([m[0]]):
             out.append(("format", start, end))
         else:
             out += [("format", a + x, a + y) for a, b in rests if b - a >= LEAST["assign"] for x, y in known[text[a:b]]]
     return out
 
 
+def usual_characters(runs: Counter) -> dict[tuple[str, str], int]:
+    """How often each character occurs in the runs of each shape."""
+    by_shape: dict[str, list[str]] = {}
+    for run in runs:
+        by_shape.setdefault(shape(run), []).append(run)
+    out = {}
+    for name, values in by_shape.items():
+        sizes = np.fromiter(map(len, values), np.int64, len(values))
+        times = np.fromiter(map(runs.__getitem__, values), np.int64, len(values))
+        codes = np.frombuffer("".join(values).encode("ascii"), np.uint8)
+        counts = np.bincount(codes, np.repeat(times, sizes), 128)  # whole numbers, exact in doubles
+        out.update({(f"char {name}", chr(code)): int(counts[code]) for code in np.flatnonzero(counts)})
+    return out
+
+
 def learn(docs: DataFrame, settings: Settings = Settings()) -> Formats:
     """Formats of the credentials that the fixed patterns label in all of `docs` (`text`).
 
@@ -272,12 +374,11 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Formats:
                 for kind, start, end in base:
                     m = ASSIGN.match(text, start) if kind == "assign" else None
                     seen.add((kind, m[2] if m else text[start:end]))
-                runs.update(m[0] for m in RUN.finditer(text) if not (base and _touching(m, base)))
-            usual = Counter()
-            for run, n in runs.items():
-                kind = f"char {shape(run)}"
-                for char in run:
-                    usual[kind, char] += n
+                if base:
+                    runs.update(m[0] for m in RUN.finditer(text) if not _touching(m, base))
+                else:
+                    runs.update(RUN.findall(text))
+            usual = usual_characters(runs)
             yield pd.DataFrame(
                 [(kind, value, 1) for kind, value in seen] + [(kind, char, n) for (kind, char), n in usual.items()],
                 columns=["kind", "value", "n"],
@@ -302,8 +403,8 @@ def learn(docs: DataFrame, settings: Settings = Settings()) -> Formats:
         fitted, held = values[::2], values[1::2] or values
         automaton = Automaton(fitted, settings.alpha)
         automaton.trim()
-        scores = sorted(formats.relative(automaton, v) for v in held)
-        formats.automata[kind] = automaton, max(settings.least_score, scores[int(settings.miss * len(scores))])
+        scores = sorted(formats.relative(automaton.tables(), held).tolist())
+        formats.add(kind, automaton, max(settings.least_score, scores[int(settings.miss * len(scores))]))
     return formats
 
 
@@ -317,9 +418,8 @@ def find(docs: DataFrame, formats: Formats, id_column: str = "doc_id") -> DataFr
         known = Matches(formats)
         for batch in batches:
             found = []
-            for text in batch["text"]:
-                base = base_spans(text or "")
-                found.append((joined(base), joined(in_order(base + format_spans(text or "", base, formats, known)))))
+            for text, base, more in scanned(batch["text"], formats, known):
+                found.append((joined(base), joined(in_order(base + more))))
             yield pd.DataFrame({
                 id_column: batch[id_column], "base": [x[0] for x in found], "spans": [x[1] for x in found],
             })
@@ -337,7 +437,8 @@ def redact(docs: DataFrame, formats: Formats, mark: str = "[secret]") -> DataFra
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = Matches(formats)
         for texts in batches:
-            yield texts.map(lambda text: None if text is None else masked(text, formats, mark, known))
+            made = [_masked(text, base + more, mark) for text, base, more in scanned(texts, formats, known)]
+            yield pd.Series([None if text is None else done for text, done in zip(texts, made)], dtype=object)
         release()
 
     small_batches(docs.sparkSession)
@@ -345,10 +446,44 @@ def redact(docs: DataFrame, formats: Formats, mark: str = "[secret]") -> DataFra
     return docs.withColumn("text", masking(F.col("text")))
 
 
-def masked(text: str, formats: Formats, mark: str, known: Matches | None = None) -> str:
-    base = base_spans(text)
+def scanned(texts: Iterable[str | None], formats: Formats, known: Matches) -> Iterator[tuple[str, list[Span], list[Span]]]:
+    """Every text of a batch (a NULL one is empty) with its base spans and its spans of likely format.
+
+    All runs of a group of texts are scored together; a text without a likely run needs no second look.
+    """
+    for group in _groups(texts):
+        runs = [RUN.findall(text) for text in group] if formats.automata else [[]] * len(group)
+        different = set().union(*runs)
+        known.learn(different)
+        likely = {run for run in different if known[run]}
+        for text, own in zip(group, runs):
+            base = base_spans(text)
+            more = format_spans(text, base, formats, known) if base or not likely.isdisjoint(own) else []
+            yield text, base, more
+
+
+def _groups(texts: Iterable[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in groups of about this many characters."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text or "")
+        size += len(group[-1])
+        if size >= chars:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def masked(text: str, formats: Formats, mark: str) -> str:
+    """`text` with every span replaced by `mark`."""
+    [(text, base, more)] = scanned([text], formats, Matches(formats))
+    return _masked(text, base + more, mark)
+
+
+def _masked(text: str, spans: Iterable[Span], mark: str) -> str:
     out, done = [], 0
-    for _, start, end in in_order(base + format_spans(text, base, formats, known)):
+    for _, start, end in in_order(spans):
         if start >= done:
             out += [text[done:start], mark]
         done = max(done, end)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from oreworks.llm.common import stored
 
 #: Bits of a fingerprint: two 64-bit hashes of each term.
 BITS = 128
+#: Bits in which near copies differ at most: texts with 0.75 of their 5-word shingles in common differ in 5 to 20 bits.
+RADIUS = 20
+#: Blocks that a fingerprint is cut into.
+BLOCKS = 8
 #: Documents of a bucket of neighbours, about, and buckets of a group.
 BUCKET_ROWS, GROUP_BUCKETS = 1_000, 4_096
 
@@ -65,25 +71,26 @@ def likeness(one: Column, two: Column) -> Column:
     return 1 - distance(one, two) / F.lit(float(BITS))
 
 
-def within(queries: DataFrame, table: DataFrame, radius: int = 3) -> DataFrame:
+def within(queries: DataFrame, table: DataFrame, radius: int = RADIUS) -> DataFrame:
     """`query, fingerprint, distance`: the distinct fingerprints of `table` within `radius` of each distinct query.
 
-    Fingerprints are cut into radius + 1 blocks: two that differ in no more bits than the radius have one block in common.
-    There is a table for each block, with that block in front as the key; what shares it is verified. Both sides are a
-    column `fingerprint`; NULLs find nothing. Copies of a fingerprint are one row, so groups of copies cost nothing.
+    Fingerprints are cut into BLOCKS blocks of 16 bits. Of two that differ in no more bits than the radius, some block
+    differs in no more than radius / BLOCKS: there is a table for each block, with that block in front as the key, and a
+    query asks each table for all keys so near to its own. What it meets is verified. Both sides are a column
+    `fingerprint`; NULLs find nothing. Copies of a fingerprint are one row, so groups of copies cost nothing.
     """
-    digits = BITS // 4
-    cuts = [round(k * digits / (radius + 1)) for k in range(radius + 2)]
-    blocks = F.array(*(
-        F.struct(F.lit(k).alias("no"), F.substring("fingerprint", a + 1, b - a).alias("value"))
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:]))
+    digits, width = BITS // 4 // BLOCKS, BITS // BLOCKS
+    keys = F.array(*(
+        F.conv(F.substring("fingerprint", k * digits + 1, digits), 16, 10).cast("long") + F.lit(k << width) for k in range(BLOCKS)
     ))
-    tables = [
+    flips = [sum(1 << bit for bit in bits) for n in range(radius // BLOCKS + 1) for bits in combinations(range(width), n)]
+    asked, held = (
         df.select("fingerprint").where("fingerprint IS NOT NULL").distinct()
-        .select(F.col("fingerprint").alias(name), F.explode(blocks).alias("block"))
+        .select(F.col("fingerprint").alias(name), F.explode(keys).alias("key"))
         for df, name in ((queries, "query"), (table, "fingerprint"))
-    ]
-    pairs = tables[0].join(tables[1], "block").withColumn("distance", distance(F.col("query"), F.col("fingerprint")))
+    )
+    near = asked.select("query", F.explode(F.transform(F.lit(flips).cast("array<long>"), lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
+    pairs = near.join(held, "key").withColumn("distance", distance(F.col("query"), F.col("fingerprint")))
     return pairs.where(F.col("distance") <= radius).select("query", "fingerprint", "distance").distinct()
 
 
@@ -139,7 +146,7 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - quarter), F.substring(following, F.lit(1), quarter))
 
 
-def compare_with_edits(docs: DataFrame, radius: int = 3) -> DataFrame:
+def compare_with_edits(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Fingerprints of all `docs` (`doc_id, text`; a NULL text is empty), of edited texts, and their likeness.
 
     `doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_fingerprints`. The last

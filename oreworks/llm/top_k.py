@@ -69,12 +69,12 @@ def _runs(settings: Settings):
 
 
 def _block(number: int, rows: pd.DataFrame, name: str) -> pd.DataFrame:
-    m = np.stack(rows["v"].to_numpy()).astype(np.int32)
+    m = np.stack(rows["v"].to_numpy()).astype(np.int64)
     return pd.DataFrame({name: [number], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "m": [m.tobytes()]})
 
 
 _NONE = np.iinfo(np.int64).max
-_LEAST = -(1 << 62)
+_LEAST = -(1 << 63)
 
 
 class Best:
@@ -87,10 +87,25 @@ class Best:
     def add(self, row: int, scores: np.ndarray, ids: np.ndarray) -> None:
         k = self.scores.shape[1]
         scores, ids = np.append(self.scores[row], scores), np.append(self.ids[row], ids)
-        order = np.lexsort((ids, -scores))[:k]
+        order = np.lexsort((ids, ~scores))[:k]  # no long is too small for ~
         self.scores[row], self.ids[row] = scores[order], ids[order]
 
 
+def products(v: np.ndarray, exact_v: np.ndarray, q: np.ndarray, exact_q: np.ndarray, largest: float) -> np.ndarray:
+    """Exact inner products of the rows of `v` with `q`. `largest` is the product of the largest lengths.
+
+    No partial sum is larger than that (Cauchy-Schwarz on absolute values). Below 2**53 doubles are exact, below 2**62
+    long integers; beyond, Python's integers are summed, and what no long can hold is its largest or smallest value.
+    """
+    if largest < 2.0**53:
+        return np.rint(v @ q).astype(np.int64)
+    if largest < 2.0**62:
+        return exact_v @ exact_q
+    limit = 1 << 62
+    sums = [sum(a * b for a, b in zip(row, exact_q.tolist())) for row in exact_v.tolist()]
+    return np.array([min(max(x, -2 * limit), 2 * limit - 1) for x in sums], np.int64)
+
+
 def _search(width: int, rotation: np.ndarray, lead: int, settings: Settings):
     def run(queries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         """The block of queries with what these blocks of vectors have that may be among a query's best."""
@@ -98,20 +113,23 @@ def _search(width: int, rotation: np.ndarray, lead: int, settings: Settings):
         if not len(queries) or not len(blocks):
             return pd.DataFrame(columns=columns)
         names = np.frombuffer(queries["ids"].iloc[0], np.int64)
-        q = np.frombuffer(queries["m"].iloc[0], np.int32).reshape(-1, width).astype(np.float64)
-        known = np.frombuffer(queries["scores"].iloc[0], np.int64).reshape(len(names), -1)[:, -1].astype(np.float64)
+        exact_q = np.frombuffer(queries["m"].iloc[0], np.int64).reshape(-1, width)
+        q = exact_q.astype(np.float64)
+        known = np.frombuffer(queries["scores"].iloc[0], np.int64).reshape(len(names), -1)[:, -1]
         turned = q @ rotation
         q_lead, q_rest = turned[:, :lead], np.linalg.norm(turned[:, lead:], axis=1)
         q_length = np.linalg.norm(q, axis=1)
         best = Best(len(names), settings.k)
         parts = []
         for ids, m in zip(blocks["ids"], blocks["m"]):
-            v = np.frombuffer(m, np.int32).reshape(-1, width).astype(np.float64)
-            parts.append((np.linalg.norm(v, axis=1), np.frombuffer(ids, np.int64), v))
+            exact_v = np.frombuffer(m, np.int64).reshape(-1, width)
+            v = exact_v.astype(np.float64)
+            parts.append((np.linalg.norm(v, axis=1), np.frombuffer(ids, np.int64), v, exact_v))
         parts.sort(key=lambda part: -part[0].max())
-        for lengths, ids, v in parts:
-            # Integers below 2**53 are exact in doubles, so full products are; bounds get more slack than they round by.
-            least = np.maximum(best.scores[:, -1].astype(np.float64), known)
+        for lengths, ids, v, exact_v in parts:
+            # Bounds get more slack than they round by.
+            least = np.maximum(best.scores[:, -1], known).astype(np.float64)
+            least -= 1e-9 * np.abs(least)
             asked = np.flatnonzero(q_length * lengths.max() * (1 + 1e-9) + 1e-3 >= least)
             if not len(asked):
                 continue
@@ -122,7 +140,7 @@ def _search(width: int, rotation: np.ndarray, lead: int, settings: Settings):
             for row, near in zip(asked, bound >= least[asked, None]):
                 at = np.flatnonzero(near & (ids != names[row]))
                 if len(at):
-                    scores = np.rint(v[at] @ q[row]).astype(np.int64)
+                    scores = products(v[at], exact_v[at], q[row], exact_q[row], q_length[row] * lengths[at].max())
                     keep = scores >= known[row]
                     best.add(row, scores[keep], ids[at][keep])
         return queries.assign(scores=[best.scores.tobytes()], found=[best.ids.tobytes()])[columns]
@@ -158,7 +176,8 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def top_k(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """`query_id, rank, vec_id, score`: of `vectors` (`vec_id, embedding`) the best for each of `queries` (the same columns).
 
-    Scores are inner products of the quantized vectors, exact integers; ties go to the smaller id. Rows with a query's id
+    Scores are inner products of the quantized vectors, exact integers (at the ends of a long if they are beyond it); ties
+    go to the smaller id. Rows with a query's id
     are its own and no candidates; a query's id that repeats is asked once, with its first vector in order of components.
     Equal candidates' ids that repeat are each a candidate, and a result may hold them both. Vectors that are NULL, empty or not finite take no
     part, nor do those of another length than the commonest. Fewer candidates than k give fewer results.
@@ -175,7 +194,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, settings: Settings = Settings(
     values, axes = np.linalg.eigh(total(grams, width * width).reshape(width, width).astype(np.float64))
     rotation, share = axes[:, ::-1], np.cumsum(values[::-1]) / max(values.sum(), 1e-300)
     lead = min(width, int(np.searchsorted(share, settings.lead)) + 1)
-    squared = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)
+    squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     spread = held.withColumn("squared", squared).repartitionByRange(
         -(-count // (settings.block * settings.run)), F.desc("squared"), F.xxhash64("vec_id")
     )

@@ -19,7 +19,8 @@ def brute(rows, k):
     out = []
     for i, q in whole:
         if i % 100 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i)[:k]
+            score = lambda v: min(max(sum(a * b for a, b in zip(q, v)), -(2**63)), 2**63 - 1)
+            scored = sorted((-score(v), j) for j, v in whole if j != i)[:k]
             out += [(i, rank, j, -s) for rank, (s, j) in enumerate(scored, 1)]
     return sorted(out)
 
@@ -39,6 +40,15 @@ def test_top_k_equals_brute_force(spark, block):
     assert search(spark, rows, block=block, queries=3, run=2) == brute(rows, 10)
 
 
+def test_products_of_large_components_are_exact(spark):
+    big = [(100, [2.2e6, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0])]
+    assert [r[2:] for r in search(spark, big)] == [(2, 4_613_734_400_000), (1, 2_306_867_200_000)]
+    draw = np.random.default_rng(5)
+    for size in (1e5, 8e5, 1e8):  # products beyond 2**53, beyond 2**62, and beyond a long
+        rows = [(i, (draw.normal(size=3) * size).tolist()) for i in range(120)]
+        assert search(spark, rows, block=16, run=2) == brute(rows, 10)
+
+
 def test_top_k_with_few_or_no_rows(spark):
     assert search(spark, []) == []
     assert search(spark, [(0, [1.0, 2.0])]) == []
@@ -85,6 +95,24 @@ def test_within_finds_every_fingerprint_of_the_radius(spark):
     assert found == expected
 
 
+def test_near_copies_are_within_the_radius(spark, documents):
+    """Texts with a few edited words; the recall of the radius is measured, not assumed."""
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(120, 500))]
+        changed = list(words)
+        for k in rng.sample(range(len(words)), max(1, len(words) // 50)):
+            changed[k] = f"v{rng.randrange(5000)}"
+        pairs.append((" ".join(words), " ".join(changed)))
+    docs = documents([t for pair in pairs for t in pair])
+    found = {r["doc_id"]: r["fingerprint"] for r in simhash.fingerprints(docs.select("doc_id", "text"), ["doc_id"]).collect()}
+    frame = lambda ids: spark.createDataFrame([(found[k],) for k in ids], "fingerprint string")
+    got = {(r["query"], r["fingerprint"]) for r in simhash.within(frame(range(0, 80, 2)), frame(range(1, 80, 2))).collect()}
+    hits = sum((found[k], found[k + 1]) in got for k in range(0, 80, 2))
+    assert hits >= 36 and len(got) == hits  # nine of ten, and no strangers
+
+
 def test_order_with_gaps_and_many_buckets(spark, documents, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET_ROWS", 3)
     monkeypatch.setattr(simhash, "GROUP_BUCKETS", 4)

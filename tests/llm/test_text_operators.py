@@ -155,13 +155,34 @@ def test_secrets_stage_masks_and_keeps_every_document(spark, documents, odd, non
     assert corpus_pipeline.without_secrets(spark, none, "").isEmpty()
 
 
+def test_special_marks_in_texts_are_one_token_each(documents):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext| >", "ünï<|endoftext|>🙂", "no mark"]
+    check_packing(documents(texts), Packing())
+
+
+def test_numbers_of_other_kinds_are_no_letters(documents, multilingual):
+    dictionaries = language.learn(multilingual.select("text", "lang"))
+    found = {r["text"]: r["lang_pred"] for r in language.identify(documents(["½", "² ①", "Ⅷ", "½ the of and to in"]), dictionaries).collect()}
+    assert {found[t] for t in ("½", "² ①", "Ⅷ")} == {"und"} and found["½ the of and to in"] != "und"
+
+
+def test_large_rates_are_drawn_in_lanes(spark, documents):
+    docs = documents(["x" * 5, "y" * 15] + ["z" * 1000] * 40, source=["small", "small"] + ["large"] * 40)
+    found = {r["source"]: (r["rate"], r["lanes"], len(r["cumulative"])) for r in rates(docs).collect()}
+    assert found["small"][0] > 1000 and found["small"][1] > 15 and found["small"][2] < 200
+    rows = mix(docs).where("source = 'small'").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("d")).collect()
+    assert len(rows) == 2 and all(r["n"] == r["d"] and abs(r["n"] - found["small"][0]) < 6 * found["small"][0] ** 0.5 for r in rows)
+    # A rate of 10^9 is as short, and one of its documents is millions of lanes.
+    huge = documents(["x", "z" * 1000], source=["a", "b"])
+    assert max(len(r["cumulative"]) for r in rates(huge, {"a": 1e9, "b": 1.0}).collect()) < 200
+
+
 #: Words that are one token each, also without the blank.
 WORDS = sorted({w.decode() for w in encoder(Packing().vocabulary).token_byte_values() if re.fullmatch(rb"[a-z]{5,9}", w)})
 
 
 def check_packing(docs, settings):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces = pack_sequences(docs, settings).collect()
     expected = sorted((str(r["doc_id"]), tuple(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [0])) for r in docs.collect())
     sequences = {}
@@ -379,7 +400,7 @@ def test_queries_that_sql_expresses(spark):
     from oreworks.llm.queries import ORACLES, QUERIES
 
     folder, db = "/root/testdata/sf0.001", duckdb.connect()
-    for name in ("documents", "pages", "embeddings"):
+    for name in ("documents", "pages", "embeddings", "benchmark"):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     for name, sql in ORACLES.items():
         expected = db.execute(sql)
