@@ -90,7 +90,8 @@ def within(queries: DataFrame, table: DataFrame, radius: int = RADIUS) -> DataFr
         for df, name in ((queries, "query"), (table, "fingerprint"))
     )
     near = asked.select("query", F.explode(F.transform(F.lit(flips).cast("array<long>"), lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
-    pairs = near.join(held, "key").withColumn("distance", distance(F.col("query"), F.col("fingerprint")))
+    # Both sides grow with the table, whatever their size is estimated at.
+    pairs = near.join(held.hint("merge"), "key").withColumn("distance", distance(F.col("query"), F.col("fingerprint")))
     return pairs.where(F.col("distance") <= radius).select("query", "fingerprint", "distance").distinct()
 
 
