@@ -19,6 +19,7 @@ from testprofile import oracle as O
 from testprofile import rawfiles as R
 from testprofile import tables as P
 from testprofile.registry import query
+from testprofile.rule_queries import gold_gate_sql, silver_gate_sql
 
 D = P.DOMAINS
 CSV, JSON, PARQUET, CUSTOMERS, CATEGORIES = default_sources()
@@ -84,45 +85,69 @@ UNION ALL SELECT 'clientes', count(*) FROM customer WHERE c_acctbal >= 0
 UNION ALL SELECT 'categorias', count(DISTINCT p_partkey // 25000) FROM part"""
 
 
-@query("s6_registry", PER_SOURCE)
+@query("s6_registry", O.with_sales(f"""
+SELECT source, rows, keys, amount FROM ({PER_SOURCE}) JOIN (
+  SELECT CASE split_part(order_id, '-', 2)::int % 3 WHEN 0 THEN 'vendas_csv' WHEN 1 THEN 'vendas_json' ELSE 'vendas_parquet' END AS source,
+    count(DISTINCT order_id)::bigint AS keys, sum(total_amount::decimal(18,2))::double AS amount FROM sales GROUP BY 1
+  UNION ALL SELECT 'clientes', count(DISTINCT c_custkey), NULL FROM customer WHERE c_acctbal >= 0
+  UNION ALL SELECT 'categorias', count(DISTINCT ceil((p_partkey + 1) / 500)), NULL FROM part) USING (source)"""))
 def s6(spark, sf):
-    prepared = bronze.prepare(spark, R.finished(spark, sf))
-    counted = normalize.unite(
-        df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("source"), "rows") for name, df in prepared.items()
-    )
-    return counted
+    """Rows of every registered source, the keys among them and, of sales, their amount."""
+    settings = R.finished(spark, sf)
+    prepared = bronze.prepare(spark, settings)
+    found = []
+    for spec in settings.sources:
+        df = prepared[spec.name]
+        if spec.is_sales:
+            df = normalize.normalize_sales(df, spec.renames)
+        elif spec.name == C.CATEGORIES:
+            df = df.select(F.col("categorias.category_id").alias("category_id"))
+        amount = F.sum(F.col("total_amount").cast("decimal(18,2)")).cast("double") if spec.is_sales else F.lit(None).cast("double")
+        # Category documents are one row each; their keys are those of all categories in them.
+        keys = F.sum(F.size("category_id")) if spec.name == C.CATEGORIES else F.count_distinct("order_id" if spec.is_sales else "customer_id")
+        found.append(df.agg(F.count("*").alias("rows"), keys.alias("keys"), amount.alias("amount")).withColumn("source", F.lit(spec.name)))
+    return normalize.unite(found)
 
 
 # The whole run keeps the first row by source and then by the fields a source sends.
 RUN_ORDER = "order_ts, product_id, total_amount, quantity, status, customer_id"
 
 
-@query("s7_layer_reread", O.with_judged("""
-SELECT 'silver' AS layer, year_month AS key, count(*)::bigint AS rows FROM valid GROUP BY 2
-UNION ALL SELECT 'quarantine', reasons[1], count(*) FROM rejected GROUP BY 2
-UNION ALL SELECT 'customers', c_mktsegment_key, count(*) FROM (
-  SELECT upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS c_mktsegment_key FROM customer WHERE c_acctbal >= 0) GROUP BY 2
-UNION ALL SELECT 'categories', 'all', count(DISTINCT ceil((p_partkey + 1) / 500)) FROM part""", order=RUN_ORDER))
+_SOLD = """order_id, customer_id, product_id, quantity, unit_price, total_amount, order_date,
+  lower(payment_method) AS payment_method, shipping_city, shipping_state, lower(status) AS status"""
+
+
+@query("s7_layer_reread", O.with_judged(f"""
+SELECT 'silver' AS layer, {_SOLD}, category_id, year_month FROM valid
+UNION ALL BY NAME SELECT 'quarantine' AS layer, {_SOLD}, array_to_string(reasons, ',') AS reasons FROM rejected
+UNION ALL BY NAME SELECT 'customers' AS layer, * FROM (
+  SELECT 'C' || c_custkey AS customer_id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS customer_city,
+    n_name AS customer_state, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS segment,
+    CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE DATE '2020-01-01' + (c_custkey % 365)::int END AS registration_date
+  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0)
+UNION ALL BY NAME SELECT 'categories' AS layer, printf('CAT_%02d', c) AS category_id, 'Category ' || printf('%02d', c) AS category_name,
+  count(DISTINCT p_partkey)::int AS subcategory_count
+  FROM (SELECT p_partkey, ceil((p_partkey + 1) / 500)::int AS c FROM part) GROUP BY c""", order=RUN_ORDER))
 def s7_layers(spark, sf):
-    """Every row of every Silver layer."""
+    """Every row of every Silver layer, with all that does not depend on when and where the run was."""
     settings = R.finished(spark, sf)
-    keys = {
-        "silver": ("silver_sales", F.col("year_month")), "quarantine": ("quarantine", F.col("_main_reason")),
-        "customers": ("silver_customers", F.col("segment")), "categories": ("silver_categories", F.lit("all")),
+    layers = {
+        "silver": ("silver_sales", [*C.SALES_FIELDS, "category_id", "year_month"]),
+        "quarantine": ("quarantine", [*C.SALES_FIELDS, F.array_join("_reasons", ",").alias("reasons")]),
+        "customers": ("silver_customers", ["customer_id", "customer_city", "customer_state", "segment", "registration_date"]),
+        "categories": ("silver_categories", ["category_id", "category_name", "subcategory_count"]),
     }
     return normalize.unite(
-        readers.read_layer(spark, settings, layer).groupBy(key.alias("key")).agg(F.count("*").alias("rows"))
-        .select(F.lit(name).alias("layer"), "key", "rows")
-        for name, (layer, key) in keys.items()
+        readers.read_layer(spark, settings, layer).select(F.lit(name).alias("layer"), *columns)
+        for name, (layer, columns) in layers.items()
     )
 
 
 @query("s7_month_range", O.with_judged(
-    "SELECT year_month, category_id, count(*)::bigint AS rows FROM valid "
-    "WHERE year_month BETWEEN '1996-02' AND '1996-05' GROUP BY ALL", order=RUN_ORDER))
+    f"SELECT {_SOLD}, category_id, year_month FROM valid WHERE year_month BETWEEN '1996-02' AND '1996-05'", order=RUN_ORDER))
 def s7(spark, sf):
     kept = readers.read_layer(spark, R.finished(spark, sf), "silver_sales", months=("1996-02", "1996-05"))
-    return kept.groupBy("year_month", "category_id").agg(F.count("*").alias("rows"))
+    return kept.select(*C.SALES_FIELDS, "category_id", "year_month")
 
 
 OWED = {"lineitem": ("l_orderkey", "l_quantity", "order_id"), "customer": ("c_custkey", "segment")}
@@ -145,15 +170,14 @@ TABLES = (
 )
 
 
-@query("s9_readiness", " UNION ALL ".join(
-    f"SELECT '{t}' AS source, (count(*) > 0)::int::bigint AS files, count(*) > 0 AS ready FROM {t}" for t in TABLES)
-    + " UNION ALL SELECT 'returns', 0, false")
+@query("s9_readiness", f"""
+SELECT source, rows > 0 AS has_files, rows > 0 AS ready FROM ({PER_SOURCE})
+UNION ALL SELECT 'devolucoes', false, false""")
 def s9(spark, sf):
-    found = checks.file_inventory(spark, sf, "", "*.parquet").select(
-        F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("source"), "length"
-    )
-    expected = spark.createDataFrame([(t,) for t in (*TABLES, "returns")], "source string")
-    return checks.readiness(found, expected).select("source", "files", "ready")
+    """Readiness as a run asks for it, of all sources and of one that never came."""
+    settings = R.finished(spark, sf)
+    owed = replace(settings, sources=(*settings.sources, SourceSpec("devolucoes", "parquet", "*.parquet", ())))
+    return checks.sources_ready(spark, owed).select("source", (F.col("files") > 0).alias("has_files"), "ready")
 
 
 # --- sinks ---------------------------------------------------------------------
@@ -425,16 +449,18 @@ def l3_category(spark, sf):
     return readers.read_layer(spark, R.finished(spark, sf), "gold_category")
 
 
-@query("l4_gate_run", O.with_judged("""
-SELECT 'silver' AS layer, CASE WHEN count(*) = count(DISTINCT order_id) THEN 7 ELSE 6 END::bigint AS passed, 7::bigint AS checks FROM valid
-UNION ALL SELECT 'gold', 7 + (count(DISTINCT shipping_state) = 24)::int, 8 FROM valid"""))
+_SILVER_CHECKS, _SILVER_FIGURES = silver_gate_sql("valid", R.LIMITS)
+_GOLD_CHECKS, *_GOLD_PARTS = gold_gate_sql()
+
+
+@query("l4_gate_run", O.with_judged(
+    f"SELECT 'silver' AS layer, * FROM ({_SILVER_CHECKS}) UNION ALL SELECT 'gold', * FROM ({_GOLD_CHECKS})",
+    _SILVER_FIGURES, *_GOLD_PARTS, order=RUN_ORDER))
 def l4(spark, sf):
+    """Every check of both gates as the run stored them."""
     settings = R.finished(spark, sf)
-    both = normalize.unite(
-        gate.evaluate(spark, settings, layer).withColumn("layer", F.lit(layer)) for layer in ("silver", "gold")
-    )
-    return both.groupBy("layer").agg(
-        F.count_if(F.col("status") == gates.PASS).alias("passed"), F.count("*").alias("checks")
+    return normalize.unite(
+        gate.read_checks(spark, settings, layer).withColumn("layer", F.lit(layer)) for layer in ("silver", "gold")
     )
 
 
@@ -455,12 +481,16 @@ def l5(spark, sf):
     return run.summary(spark, R.finished(spark, sf)).drop("silver_gate", "gold_gate", "marts")
 
 
+_MART_ROWS = """'gold_category=' || (SELECT count(*) FROM (SELECT DISTINCT category_name, segment FROM labelled)) ||
+  ',gold_month=' || count(DISTINCT year_month) || ',gold_payment=' || count(DISTINCT payment_method) ||
+  ',gold_state=' || count(DISTINCT shipping_state) AS marts"""
+
+
 @query("l6_summary", O.with_judged(
-    RUN_KPI.format(extra=", 'PASSED (7/7)' AS silver_gate, 'PASSED (8/8)' AS gold_gate, "
-                   "'gold_category,gold_month,gold_payment,gold_state' AS marts"), *_RUN_PARTS, order=RUN_ORDER))
+    RUN_KPI.format(extra=f", 'PASSED (7/7)' AS silver_gate, 'PASSED (8/8)' AS gold_gate, {_MART_ROWS}"),
+    *_RUN_PARTS, O.CUSTOMERS, O.CATEGORIES, O.LABELLED.format(source="valid"), order=RUN_ORDER))
 def l6(spark, sf):
-    marts = F.array_join(F.transform(F.split("marts", ","), lambda m: F.substring_index(m, "=", 1)), ",")
-    return run.summary(spark, R.finished(spark, sf)).withColumn("marts", marts)
+    return run.summary(spark, R.finished(spark, sf))
 
 
 # --- the same by delivery ----------------------------------------------------------

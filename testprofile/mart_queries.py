@@ -242,13 +242,44 @@ def p13(spark, sf):
     return lookups.label_unmatched(joined).groupBy("category_name", "segment").agg(F.count("*").alias("rows"))
 
 
-@query("p14_rename_order", O.with_sales(f"""
-SELECT payment AS forma_pagamento, revenue AS faturamento, share_pct AS participacao_pct,
-  orders_billable AS pedidos_faturados, orders_cancelled AS pedidos_cancelados, orders_total AS pedidos_total,
-  cancel_rate_pct AS taxa_cancelamento_pct, avg_ticket AS ticket_medio, unique_customers AS clientes_unicos
-FROM ({O.PAYMENT_SELECT})""", O.metrics("payment_method")))
+_PUBLISHED = """
+  revenue AS faturamento, orders_billable AS pedidos_faturados, orders_cancelled AS pedidos_cancelados,
+  cancel_rate_pct AS taxa_cancelamento_pct, avg_ticket AS ticket_medio, unique_customers AS clientes_unicos"""
+# Columns of the marts on disk, in order.
+_ON_DISK = {
+    "estado": "ranking_faturamento,uf,regiao,faturamento,participacao_pct,pedidos_faturados,pedidos_cancelados,pedidos_total,"
+              "taxa_cancelamento_pct,ticket_medio,clientes_unicos,itens_vendidos",
+    "mes": "ano_mes,faturamento,faturamento_mes_anterior,crescimento_mom_pct,faturamento_acumulado,participacao_ano_pct,"
+           "pedidos_faturados,pedidos_cancelados,pedidos_total,taxa_cancelamento_pct,ticket_medio,clientes_unicos,itens_vendidos",
+    "pagamento": "forma_pagamento,faturamento,participacao_pct,pedidos_faturados,pedidos_cancelados,pedidos_total,"
+                 "taxa_cancelamento_pct,ticket_medio,clientes_unicos",
+    "categoria": "category_name,segment,faturamento,participacao_na_categoria_pct,pedidos_faturados,pedidos_cancelados,"
+                 "taxa_cancelamento_pct,ticket_medio,clientes_unicos",
+}
+
+
+def _renamed(mart: str, columns: str, select: str, metrics: str) -> str:
+    inner = select.replace("FROM metrics", f"FROM {metrics}")
+    return f"SELECT '{mart}' AS mart, '{_ON_DISK[mart]}' AS colunas, {columns}, {_PUBLISHED} FROM ({inner})"
+
+
+@query("p14_rename_order", O.with_sales(" UNION ALL BY NAME ".join((
+    _renamed("estado", "revenue_rank AS ranking_faturamento, state AS uf, region AS regiao, share_pct AS participacao_pct, "
+             "orders_total AS pedidos_total, items_sold AS itens_vendidos", O.STATE_SELECT, "by_state"),
+    _renamed("mes", "year_month AS ano_mes, previous_revenue AS faturamento_mes_anterior, growth_pct AS crescimento_mom_pct, "
+             "running_revenue AS faturamento_acumulado, year_share_pct AS participacao_ano_pct, orders_total AS pedidos_total, "
+             "items_sold AS itens_vendidos", O.MONTH_SELECT, "by_month"),
+    _renamed("pagamento", "payment AS forma_pagamento, share_pct AS participacao_pct, orders_total AS pedidos_total",
+             O.PAYMENT_SELECT, "by_payment"),
+    _renamed("categoria", "category_name, segment, category_share_pct AS participacao_na_categoria_pct", O.CATEGORY_SELECT, "by_category"),
+)), *(O.metrics(key).replace("metrics AS", f"{name} AS", 1) for key, name in (
+    ("shipping_state", "by_state"), ("year_month", "by_month"), ("payment_method", "by_payment"))),
+    *O.category_parts()[:-1], O.metrics("category_name, segment", "labelled").replace("metrics AS", "by_category AS", 1)))
 def p14(spark, sf):
-    return publish_names(a5(spark, sf))
+    """All four marts under their names on disk, and the order of those."""
+    built = {"estado": a3(spark, sf), "mes": a4(spark, sf), "pagamento": a5(spark, sf), "categoria": _category_mart(spark, sf)}
+    named = {mart: publish_names(df) for mart, df in built.items()}
+    return unite(df.withColumns({"mart": F.lit(mart), "colunas": F.lit(",".join(df.columns))}) for mart, df in named.items())
 
 
 # --- profiles -------------------------------------------------------------------
@@ -266,11 +297,14 @@ def a11(spark, sf):
     return profile.null_profile(P.sales(spark, sf), D.required)
 
 
+DOCUMENT_FIELDS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
 @query("a11_document_profile",
        "SELECT " + ", ".join(f"count(*) FILTER ({f} IS NULL OR trim({f}::varchar) = '')::bigint AS {f}"
-                             for f in ("doc_id", "text", "lang", "source")) + " FROM documents")
+                             for f in DOCUMENT_FIELDS) + " FROM documents")
 def a11_documents(spark, sf):
-    return profile.null_profile(P.table(spark, sf, "documents"), ("doc_id", "text", "lang", "source"))
+    return profile.null_profile(P.table(spark, sf, "documents"), DOCUMENT_FIELDS)
 
 
 DUPLICATES = ("SELECT count(*)::bigint AS rows, count(DISTINCT {k})::bigint AS distinct_keys, "

@@ -230,8 +230,8 @@ _EMPTY = " + ".join(f"count(*) FILTER (NOT {c})" for n, c in O.CONDITIONS if n.s
 _BAD = " AND ".join(c for n, c in O.CONDITIONS if not n.startswith("integridade."))
 
 
-def _silver_gate_sql(kept: str) -> str:
-    """Checks of the Silver gate when ``kept`` is taken as Silver."""
+def silver_gate_sql(kept: str, limits=P.LIMITS) -> tuple[str, str]:
+    """Checks of the Silver gate when ``kept`` is taken as Silver, and the figures behind them."""
     return f"""
 SELECT "check", dimension, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS status, value, expected, true AS blocking
 FROM (
@@ -242,10 +242,10 @@ FROM (
   UNION ALL SELECT 'unicidade_order_id_silver', 'unicidade', dups = 0, dups::varchar, '0' FROM f
   UNION ALL SELECT 'validade_dominio_silver', 'validade_dominio', bad = 0, bad::varchar, '0' FROM f
   UNION ALL SELECT 'integridade_clientes_silver', 'integridade', orphans = 0, orphans::varchar, '0 vendas com cliente fora do cadastro' FROM f
-  UNION ALL SELECT 'taxa_quarentena', 'monitoramento', q::double / b <= {P.LIMITS.quarantine_rate_max},
-    round(q::double / b, 4)::varchar, '<= {P.LIMITS.quarantine_rate_max}' FROM f
-  UNION ALL SELECT 'volume_minimo_silver', 'volume', s >= {P.LIMITS.silver_rows_min}, s::varchar,
-    '>= {P.LIMITS.silver_rows_min}' FROM f
+  UNION ALL SELECT 'taxa_quarentena', 'monitoramento', q::double / b <= {limits.quarantine_rate_max},
+    round(q::double / b, 4)::varchar, '<= {limits.quarantine_rate_max}' FROM f
+  UNION ALL SELECT 'volume_minimo_silver', 'volume', s >= {limits.silver_rows_min}, s::varchar,
+    '>= {limits.silver_rows_min}' FROM f
 )""", f"""
 f AS (
   SELECT (SELECT count(*) FROM sales) AS b, (SELECT count(*) FROM rejected) AS q, count(*) AS s, {_EMPTY} AS empty,
@@ -256,12 +256,12 @@ f AS (
 )"""
 
 
-@query("g1_g7_silver_gate", O.with_judged(*_silver_gate_sql("valid")))
+@query("g1_g7_silver_gate", O.with_judged(*silver_gate_sql("valid")))
 def g1_g7(spark, sf):
     return _silver_gate(spark, sf)
 
 
-@query("g1_g7_unclean_silver", O.with_judged(*_silver_gate_sql("judged")))
+@query("g1_g7_unclean_silver", O.with_judged(*silver_gate_sql("judged")))
 def g1_g7_unclean(spark, sf):
     """The same gate when bad rows were let through: it has to fail."""
     return _silver_gate(spark, sf, clean=False)
@@ -279,32 +279,79 @@ def _gold_gate(spark, sf):
     )
 
 
-GOLD_SQL = f"""
+def gold_gate_sql(state: str = "by_state", month: str = "by_month", payment: str = "by_payment", category: str = "by_category") -> list[str]:
+    """Checks of the Gold gate over four marts and ``valid``, then the marts and the figures behind the checks."""
+    sums = ", ".join(
+        f"(SELECT coalesce(sum(revenue::decimal(30,2)), 0) FROM {mart}) AS {name}_revenue"
+        for name, mart in (("state", state), ("month", month), ("payment", payment), ("category", category))
+    )
+    reconciled = " UNION ALL ".join(
+        f"SELECT '{check}' AS \"check\", 'consistencia' AS dimension, abs({name}_revenue - rev) < 1.0 AS ok, "
+        f"{name}_revenue::varchar AS value, rev::varchar AS expected, true AS blocking FROM g"
+        for name, check in (("state", "reconciliacao_estado_vs_silver"), ("month", "reconciliacao_mensal_vs_silver"),
+                            ("payment", "reconciliacao_pagamento_vs_silver"), ("category", "reconciliacao_categoria_vs_silver"))
+    )
+    select = f"""
 SELECT "check", dimension, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS status, value, expected, blocking FROM (
-  SELECT unnest(['reconciliacao_estado_vs_silver', 'reconciliacao_mensal_vs_silver',
-      'reconciliacao_pagamento_vs_silver', 'reconciliacao_categoria_vs_silver']) AS "check",
-    'consistencia' AS dimension, true AS ok, rev::varchar AS value, rev::varchar AS expected, true AS blocking FROM f
-  UNION ALL SELECT 'gold_sem_categoria_ou_segmento_desconhecido', 'integridade', unlabelled = 0, unlabelled::varchar, '0', true FROM f
-  UNION ALL SELECT 'pedidos_mensal_vs_silver', 'consistencia', true, orders::varchar, orders::varchar, true FROM f
-  UNION ALL SELECT 'gold_estado_27_ufs', 'completude', states = {len(D.states)}, states::varchar, '{len(D.states)}', false FROM f
-  UNION ALL SELECT 'gold_sem_faturamento_negativo', 'validade_dominio', negative = 0, negative::varchar, '0', true FROM f
+  {reconciled}
+  UNION ALL SELECT 'gold_sem_categoria_ou_segmento_desconhecido', 'integridade', unlabelled = 0, unlabelled::varchar, '0', true FROM g
+  UNION ALL SELECT 'pedidos_mensal_vs_silver', 'consistencia', month_orders = orders, month_orders::varchar, orders::varchar, true FROM g
+  UNION ALL SELECT 'gold_estado_27_ufs', 'completude', states = {len(D.states)}, states::varchar, '{len(D.states)}', false FROM g
+  UNION ALL SELECT 'gold_sem_faturamento_negativo', 'validade_dominio', negative = 0, negative::varchar, '0', true FROM g
 )"""
-GOLD_FACTS = f"""
-f AS (
-  SELECT {O.REVENUE} AS rev, count(*) FILTER (status <> 'R') AS orders, count(DISTINCT shipping_state) AS states,
-    (SELECT count(*) FROM (SELECT DISTINCT category_name, segment FROM labelled
-       WHERE category_name = 'Sem categoria' OR segment = 'Sem segmento')) AS unlabelled,
-    0 AS negative
-  FROM valid
+    figures = f"""
+g AS (
+  SELECT (SELECT {O.REVENUE} FROM valid) AS rev, (SELECT count(*) FILTER (status <> 'R') FROM valid) AS orders, {sums},
+    (SELECT count(*) FROM {state}) AS states, (SELECT coalesce(sum(orders_billable), 0)::bigint FROM {month}) AS month_orders,
+    (SELECT count(*) FROM {category} WHERE category_name = 'Sem categoria' OR segment = 'Sem segmento') AS unlabelled,
+    (SELECT count(*) FROM {state} WHERE revenue < 0) + (SELECT count(*) FROM {month} WHERE revenue < 0) AS negative
 )"""
-_GOLD_PARTS = (O.CUSTOMERS, O.CATEGORIES, O.LABELLED.format(source="valid"), GOLD_FACTS)
+    named = lambda keys, name, source="valid": O.metrics(keys, source).replace("metrics AS", f"{name} AS", 1)
+    marts_sql = [
+        named("shipping_state", "by_state"), named("year_month", "by_month"), named("payment_method", "by_payment"),
+        O.CUSTOMERS, O.CATEGORIES, O.LABELLED.format(source="valid"), named("category_name, segment", "by_category", "labelled"),
+    ]
+    return [select, *marts_sql, figures]
 
 
-@query("g8_g15_gold_gate", O.with_judged(GOLD_SQL, *_GOLD_PARTS))
+@query("g8_g15_gold_gate", O.with_judged(*gold_gate_sql()))
 def g8_g15(spark, sf):
     return _gold_gate(spark, sf)
 
 
+_SPOILT = """
+spoilt_state AS (SELECT * FROM by_state WHERE shipping_state <> 'NATION_0'),
+spoilt_month AS (SELECT * REPLACE (CASE WHEN year_month LIKE '1996%' THEN -revenue ELSE revenue END AS revenue,
+  CASE WHEN year_month LIKE '1996%' THEN orders_billable + 1 ELSE orders_billable END AS orders_billable) FROM by_month),
+spoilt_payment AS (SELECT * REPLACE (CASE WHEN payment_method = '2-HIGH' THEN revenue + 1000 ELSE revenue END AS revenue) FROM by_payment),
+spoilt_category AS (SELECT * REPLACE (CASE WHEN segment = 'BUILDING' THEN 'Sem segmento' ELSE segment END AS segment)
+  FROM by_category WHERE segment <> 'MACHINERY')"""
+_SPOILT_CHECKS = gold_gate_sql("spoilt_state", "spoilt_month", "spoilt_payment", "spoilt_category")
+
+
+@query("g8_g15_spoilt_gold", O.with_judged(_SPOILT_CHECKS[0], *_SPOILT_CHECKS[1:-1], _SPOILT, _SPOILT_CHECKS[-1]))
+def g8_g15_spoilt(spark, sf):
+    """The same gate over marts that lost, gained or altered rows: every check has to fail."""
+    silver = normalize.enrich(quarantine.valid_rows(_stored(spark, sf)), D.products_per_category)
+    segment, year = F.col("segment"), F.col("year_month").like("1996%")
+    by_month = marts.monthly_analysis(silver, D).withColumns({
+        "revenue": F.when(year, -F.col("revenue")).otherwise(F.col("revenue")),
+        "orders_billable": F.col("orders_billable") + year.cast("int"),
+    })
+    by_payment = marts.revenue_by_payment(silver, D)
+    by_category = marts.category_by_segment(silver, P.customers(spark, sf), P.categories(spark, sf), D)
+    return gates.gold_gate(
+        silver,
+        marts.revenue_by_state(silver, D).filter("state <> 'NATION_0'"),
+        by_month,
+        by_payment.withColumn("revenue", F.col("revenue") + F.when(F.col("payment") == "2-HIGH", 1000).otherwise(0)),
+        by_category.filter(segment != "MACHINERY").withColumn(
+            "segment", F.when(segment == "BUILDING", C.NO_SEGMENT).otherwise(segment)
+        ),
+        D, P.LIMITS,
+    )
+
+
 VERDICT = """
 SELECT CASE WHEN count(*) FILTER (status = 'FAIL' AND blocking) > 0 THEN 'FAILED' ELSE 'PASSED' END AS verdict,
   count(*)::bigint AS checks_total, count(*) FILTER (status = 'PASS')::bigint AS checks_ok,
@@ -316,12 +363,12 @@ def _over(template: str, parts: tuple[str, str]) -> tuple[str, str]:
     return template.format(checks=parts[0]), parts[1]
 
 
-@query("g16_verdict", O.with_judged(*_over(VERDICT, _silver_gate_sql("judged"))))
+@query("g16_verdict", O.with_judged(*_over(VERDICT, silver_gate_sql("judged"))))
 def g16(spark, sf):
     return gates.verdict(g1_g7_unclean(spark, sf))
 
 
 @query("l8_failed_checks", O.with_judged(*_over(
-    'SELECT "check", status, value, blocking FROM ({checks}) WHERE status = \'FAIL\'', _silver_gate_sql("judged"))))
+    'SELECT "check", status, value, blocking FROM ({checks}) WHERE status = \'FAIL\'', silver_gate_sql("judged"))))
 def l8(spark, sf):
     return gates.failed_checks(g1_g7_unclean(spark, sf)).select("check", "status", "value", "blocking")
