@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oreworks import contract as C
 from oreworks.config import Scale
-from oreworks.operators.rules import KNOWN
+from oreworks.operators.rules import KNOWN, member_flag
 
 
 def fits_broadcast(df: DataFrame, scale: Scale) -> bool:
@@ -37,6 +39,33 @@ def flag_known(sales: DataFrame, registry: DataFrame, key: str = "customer_id",
     return sales.join(known, key, "left").withColumn(KNOWN, F.coalesce(KNOWN, F.lit(False)))
 
 
+def flag_members(
+    sales: DataFrame, sets: Mapping[str, DataFrame], scale: Scale = Scale(),
+    stage: Callable[[DataFrame, str], DataFrame] | None = None,
+) -> DataFrame:
+    """Tag each row, per field, with whether its value is in the field's set: the first column of a table.
+
+    A set that is measured to be small is broadcast.  Of a larger one only the values
+    that sales use matter: they are made distinct before they are shuffled, so a hot value
+    is one row per task, and what is left of the set is broadcast if it is small then.
+    ``stage`` stores that rest, so that its size can be measured without finding it twice.
+    NULL is in no set.
+    """
+    for field, table in sets.items():
+        allowed = table.select(F.col(table.columns[0]).alias(field)).filter(F.col(field).isNotNull()).distinct()
+        if not fits_broadcast(allowed, scale):
+            used = sales.filter(F.col(field).isNotNull()).select(field).distinct()
+            allowed = used.join(allowed, field, "left_semi")
+            if stage is not None:
+                allowed = checked_broadcast(stage(allowed, f"used-{field}"), scale)
+        else:
+            allowed = F.broadcast(allowed)
+        flag = member_flag(field)
+        flagged = allowed.withColumn(flag, F.lit(True))
+        sales = sales.join(flagged, field, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return sales
+
+
 def unknown_keys(sales: DataFrame, registry: DataFrame, key: str = "customer_id") -> DataFrame:
     """Distinct keys without a registry entry.
 

@@ -86,6 +86,21 @@ def shape_by_month(metrics: DataFrame) -> DataFrame:
     return _finish(trended, C.MONTH_COLUMNS).orderBy("year_month")
 
 
+def on_calendar(metrics: DataFrame) -> DataFrame:
+    """Monthly metrics with a row for every month from the first to the last, zeros where nothing was sold.
+
+    Growth against a month without revenue is NULL, that of such a month itself -100 %.  A
+    metric without a month stays as it is.
+    """
+    day = lambda month: F.to_date(F.concat(month, F.lit("-01")))
+    span = metrics.agg(F.min("year_month").alias("first"), F.max("year_month").alias("last")).filter(F.col("first").isNotNull())
+    months = span.select(F.explode(F.sequence(day(F.col("first")), day(F.col("last")), F.expr("interval 1 month"))).alias("day"))
+    calendar = months.select(F.date_format("day", "yyyy-MM").alias("year_month"))
+    counted = [c for c in metrics.columns if c != "year_month"]
+    filled = calendar.join(metrics, "year_month", "full")
+    return filled.select("year_month", *[F.coalesce(c, F.lit(0).cast(metrics.schema[c].dataType)).alias(c) for c in counted])
+
+
 def shape_by_payment(metrics: DataFrame) -> DataFrame:
     """Payment mart from metrics keyed by ``payment_method``."""
     shared = ratios(metrics).withColumns(share("share_pct")).withColumnRenamed("payment_method", "payment")
@@ -96,8 +111,10 @@ def revenue_by_state(sales: DataFrame, d: Domains) -> DataFrame:
     return shape_by_state(base_metrics(sales, ["shipping_state"], d.cancelled), d.regions)
 
 
-def monthly_analysis(sales: DataFrame, d: Domains) -> DataFrame:
-    return shape_by_month(base_metrics(sales, ["year_month"], d.cancelled))
+def monthly_analysis(sales: DataFrame, d: Domains, calendar: bool = False) -> DataFrame:
+    """Monthly mart; with ``calendar`` months without sales are rows too, so that growth is month on month."""
+    metrics = base_metrics(sales, ["year_month"], d.cancelled)
+    return shape_by_month(on_calendar(metrics) if calendar else metrics)
 
 
 def revenue_by_payment(sales: DataFrame, d: Domains) -> DataFrame:

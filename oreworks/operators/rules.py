@@ -58,7 +58,13 @@ def completeness_rules(fields: Sequence[str]) -> list[Rule]:
     ]
 
 
-def domain_rules(d: Domains) -> list[Rule]:
+def member_flag(field: str) -> str:
+    """Name of the column that says whether a field's value is in the field's set (see ``lookups.flag_members``)."""
+    return f"_in_{field}"
+
+
+def domain_rules(d: Domains, by_table: Collection[str] = ()) -> list[Rule]:
+    """Sets, signs and the period.  Fields in ``by_table`` have their set in a table and are flagged already."""
     first, last = (F.to_date(F.lit(day)) for day in d.period)
     allowed = (
         (C.RULE_STATUS, "status", d.statuses),
@@ -71,7 +77,11 @@ def domain_rules(d: Domains) -> list[Rule]:
         (C.RULE_TOTAL, "total_amount"),
     )
     return [
-        *(Rule(n, C.DOMAIN, f"{f} is one of {list(v)}", (f,), F.col(f).isin(*v)) for n, f, v in allowed),
+        *(
+            Rule(n, C.DOMAIN, f"{f} is in its table", (f,), F.col(member_flag(f))) if f in by_table
+            else Rule(n, C.DOMAIN, f"{f} is one of {list(v)}", (f,), F.col(f).isin(*v))
+            for n, f, v in allowed
+        ),
         *(Rule(n, C.DOMAIN, f"{f} is above zero", (f,), F.col(f) > 0) for n, f in positive),
         Rule(
             C.RULE_PERIOD, C.DOMAIN, f"order_date is within {d.period[0]} and {d.period[1]}",
@@ -113,9 +123,11 @@ def integrity_rule() -> Rule:
     return Rule(C.RULE_INTEGRITY, C.INTEGRITY, "customer_id is registered", ("customer_id",), F.col(KNOWN))
 
 
-def sales_rules(d: Domains, only: Collection[str] | None = None, integrity: bool = True) -> list[Rule]:
+def sales_rules(
+    d: Domains, only: Collection[str] | None = None, integrity: bool = True, by_table: Collection[str] = ()
+) -> list[Rule]:
     """The rule set in its fixed order; ``only`` narrows it by name."""
-    rules = [*completeness_rules(d.required), *domain_rules(d), consistency_rule(d)]
+    rules = [*completeness_rules(d.required), *domain_rules(d, by_table), consistency_rule(d)]
     if integrity:
         rules.append(integrity_rule())
     return [r for r in rules if only is None or r.name in only]

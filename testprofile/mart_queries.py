@@ -52,6 +52,26 @@ def a4(spark, sf):
     return marts.monthly_analysis(P.silver_sales(spark, sf), D)
 
 
+@query("w3_calendar_growth", O.with_sales(
+    "SELECT year_month, revenue, previous_revenue, growth_pct, running_revenue, orders_total FROM ("
+    + O.MONTH_SELECT.replace("FROM metrics", "FROM filled") + ")",
+    O.metrics("year_month", "(SELECT * FROM sales WHERE year_month NOT IN ('1996-03', '1997-11', '1997-12'))"),
+    """filled AS (
+  SELECT strftime(c.m, '%Y-%m') AS year_month, coalesce(orders_total, 0)::bigint AS orders_total,
+    coalesce(orders_billable, 0)::bigint AS orders_billable, coalesce(orders_cancelled, 0)::bigint AS orders_cancelled,
+    coalesce(revenue, 0)::decimal(30,2) AS revenue, coalesce(unique_customers, 0)::bigint AS unique_customers,
+    coalesce(items_sold, 0)::bigint AS items_sold
+  FROM (SELECT unnest(generate_series((SELECT min(year_month) || '-01' FROM metrics)::timestamp,
+    (SELECT max(year_month) || '-01' FROM metrics)::timestamp, INTERVAL 1 MONTH)) AS m) c
+  LEFT JOIN metrics ON year_month = strftime(c.m, '%Y-%m'))"""))
+def w3_calendar(spark, sf):
+    """Growth month on month where three months have no sales."""
+    sold = P.silver_sales(spark, sf).filter(~F.col("year_month").isin("1996-03", "1997-11", "1997-12"))
+    return marts.monthly_analysis(sold, D, calendar=True).select(
+        "year_month", "revenue", "previous_revenue", "growth_pct", "running_revenue", "orders_total"
+    )
+
+
 @query("a5_by_payment", O.with_sales(O.PAYMENT_SELECT, O.metrics("payment_method")))
 def a5(spark, sf):
     return marts.revenue_by_payment(P.silver_sales(spark, sf), D)

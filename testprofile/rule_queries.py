@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oreworks import contract as C
+from oreworks.config import Scale
 from oreworks.operators import gates, lookups, marts, normalize, profile, quarantine
 from oreworks.operators.rules import completeness_rules, consistency_rule, domain_rules, failure_counts, integrity_rule, sales_rules, with_reasons
 from oreworks.sinks import tables
@@ -85,6 +86,22 @@ def q3_q5(spark, sf):
     return failure_counts(_dirty(spark, sf), domain_rules(D))
 
 
+def _sets(spark, sf):
+    """Allowed states and payments as tables, with repeated and missing values."""
+    states = P.table(spark, sf, "nation").filter(F.col("n_name").isin(*D.states)).select("n_name")
+    payments = P.table(spark, sf, "orders").select(F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")).alias("payment"))
+    return {"shipping_state": states, "payment_method": payments}
+
+
+@query("q3_sets_as_tables", _failures_sql("dominio."))
+def q3_tables(spark, sf):
+    """The domain rules with two of the sets in tables, one of them too large for a broadcast."""
+    sets, dirty = _sets(spark, sf), _dirty(spark, sf)
+    flagged = lookups.flag_members(dirty, {"shipping_state": sets["shipping_state"]})
+    flagged = lookups.flag_members(flagged, {"payment_method": sets["payment_method"]}, Scale(broadcast_rows=1), tables.stage)
+    return failure_counts(flagged, domain_rules(D, by_table=sets))
+
+
 @query("q6_consistency", _failures_sql("consistencia."))
 def q6(spark, sf):
     return failure_counts(_dirty(spark, sf), [consistency_rule(D)])

@@ -240,3 +240,29 @@ def test_each_gold_check_can_fail(spark, change, failing, verdict):
     checks = gates.gold_checks(df, Domains(), Limits())
     assert [r["check"] for r in gates.failed_checks(checks).collect()] == failing
     assert gates.verdict(checks).first()["verdict"] == verdict
+
+
+def test_sets_in_tables_small_or_large(spark, sales):
+    from oreworks.config import Scale
+    from oreworks.operators.rules import domain_rules, failure_counts
+
+    rows = sales({"shipping_state": "PE"}, {"shipping_state": "XX"}, {"shipping_state": None}, {"shipping_state": "SP"}, {"shipping_state": "SP"})
+    table = spark.createDataFrame([("PE",), ("SP",), ("SP",), (None,), ("RJ",)], "code string")
+    wanted = {r["rule"]: r["failures"] for r in failure_counts(rows, domain_rules(Domains())).collect()}
+    for scale in (Scale(), Scale(broadcast_rows=0)):
+        flagged = lookups.flag_members(rows, {"shipping_state": table}, scale)
+        assert flagged.count() == 5
+        found = failure_counts(flagged, domain_rules(Domains(), by_table=["shipping_state"])).collect()
+        assert {r["rule"]: r["failures"] for r in found} == wanted
+
+
+def test_months_without_sales_are_filled_in(spark, sales):
+    import datetime as dt
+
+    days = [dt.date(2023, 1, 5), dt.date(2023, 4, 5), dt.date(2023, 5, 1)]
+    rows = normalize.enrich(sales(*({"order_id": str(d), "order_date": d} for d in days)), 500)
+    found = marts.monthly_analysis(rows, Domains(), calendar=True).collect()
+    assert [(r["year_month"], r["revenue"], r["growth_pct"]) for r in found] == [
+        ("2023-01", 22.5, None), ("2023-02", 0.0, -100.0), ("2023-03", 0.0, None), ("2023-04", 22.5, None), ("2023-05", 22.5, 0.0)
+    ]
+    assert marts.monthly_analysis(rows.filter("false"), Domains(), calendar=True).isEmpty()
