@@ -211,18 +211,22 @@ def _values(entries) -> str:
 
 
 def _lines(text: str) -> str:
-    words = f"regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    words = f"regexp_replace(replace(lower({text}), '©', ' copyright '), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
     for spelling, usual in licenses.SPELLINGS:
-        words = f"regexp_replace({words}, '\\b{spelling}\\b', '{usual}', 'g')"
+        usual = usual.replace("$", "\\")
+        words = f"regexp_replace({words}, '{spelling}', '{usual}', 'g')"
     return f"list_filter(list_transform(string_split({words}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
-_WHOLE = f"md5(array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '{licenses.COPYRIGHT_LINE}')), ' '))"
+_WHOLE = f"md5(array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '{licenses.LEFT_OUT}')), ' '))"
 ORACLES["op6_licenses"] = f"""
 WITH texts AS (SELECT * FROM (VALUES {_values(licenses.LICENSES)}) t(license, text)),
 stated AS (SELECT * FROM (VALUES {_values(licenses.NOTICES)}) t(license, text)),
-texts_by AS (SELECT {_WHOLE} AS digest, min(license) AS license FROM (SELECT license, {_lines("text")} AS lines FROM texts) GROUP BY 1),
-stated_by AS (SELECT {_WHOLE} AS digest, min(license) AS notice FROM (SELECT license, {_lines("text")} AS lines FROM stated) GROUP BY 1),
+texts_by AS (
+    SELECT digest, min(license) AS license FROM (
+        SELECT license, {_WHOLE} AS digest FROM (SELECT license, {_lines("text")} AS lines FROM texts)
+        UNION ALL SELECT * FROM (VALUES {_values(licenses.DIGESTS)}) t(license, digest)) GROUP BY 1),
+stated_by AS (SELECT md5(array_to_string(lines, ' ')) AS digest, min(license) AS notice FROM (SELECT license, {_lines("text")} AS lines FROM stated) GROUP BY 1),
 docs AS (SELECT row_number() OVER () AS n, doc_id, {_lines("coalesce(text, '')")} AS lines FROM documents),
 whole AS (SELECT n, doc_id, {_WHOLE} AS digest FROM docs),
 lines AS (SELECT n, md5(unnest(lines)) AS digest FROM docs),

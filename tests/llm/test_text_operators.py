@@ -1,5 +1,6 @@
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -351,6 +352,37 @@ def test_url_model_tells_accepted_from_rejected(spark):
     assert found[120] == "allow" and found[121] == "block"
 
 
+def test_licenses_in_the_ways_they_are_found(documents):
+    """Wrapped as usual, with or without a title, with signs and statements of the holder."""
+    import textwrap
+
+    texts = dict(licenses.LICENSES)
+    body = lambda name: texts[name].split("\n", 2 if name != "BSD-2-Clause" else 1)[-1]
+    wrapped = lambda text, width=70: "\n".join(textwrap.fill(p, width) for p in text.split("\n"))
+    cases = [
+        ("ISC", "ISC License\n\nCopyright (c) 2004-2010 by Someone\n\n" + wrapped(body("ISC"), 64)),
+        ("MIT", "Copyright (c) 2020 A. Person <a@example.org>\n\n" + wrapped(body("MIT"))),
+        ("MIT", "The MIT License (MIT)\n\n© 2021 Firm\n\n" + body("MIT")),
+        ("MIT", "MIT License\nCopyright 2021 Firm\nAll rights reserved.\n" + wrapped(body("MIT"), 50)),
+        ("BSD-3-Clause", wrapped(texts["BSD-3-Clause"]).replace("<year> <owner>", "2001, The Authors. All rights reserved.")),
+        ("Unlicense", texts["Unlicense"].replace("https", "http").replace("recognize", "recognise")),
+        (None, body("MIT").replace("free of charge", "for a fee")), (None, "MIT License"), (None, ""),
+        ("MIT", body("MIT").replace("sublicense", "sub-licence")),
+    ]
+    found = {r["doc_id"]: r["license"] for r in licenses.scan(documents([t for _, t in cases])).collect()}
+    assert [found[k] for k in range(len(cases))] == [name for name, _ in cases]
+
+
+def test_digests_of_long_licenses(documents):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1"}
+    if not all((folder / f).exists() for f in files.values()):
+        pytest.skip("the texts are not on this machine")
+    docs = documents([(folder / f).read_text(encoding="utf-8").upper() for f in files.values()])
+    found = {r["doc_id"]: r["license"] for r in licenses.scan(docs).collect()}
+    assert [found[k] for k in range(len(files))] == list(files)
+
+
 def test_licenses_are_found_in_other_spellings(documents, odd, none):
     mit = dict(licenses.LICENSES)["MIT"]
     docs = documents([
@@ -407,4 +439,4 @@ def test_queries_that_sql_expresses(spark):
         columns = [d[0] for d in expected.description]
         rows = QUERIES[name](spark, folder).select(*columns).collect()
         assert sorted(map(str, (tuple(r) for r in rows))) == sorted(map(str, expected.fetchall())), name
-    assert len(QUERIES) == 11
+    assert len(QUERIES) == 14
