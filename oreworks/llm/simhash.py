@@ -79,20 +79,28 @@ def within(queries: DataFrame, table: DataFrame, radius: int = RADIUS) -> DataFr
     query asks each table for all keys so near to its own. What it meets is verified. Both sides are a column
     `fingerprint`; NULLs find nothing. Copies of a fingerprint are one row, so groups of copies cost nothing.
     """
-    digits, width = BITS // 4 // BLOCKS, BITS // BLOCKS
-    keys = F.array(*(
-        F.conv(F.substring("fingerprint", k * digits + 1, digits), 16, 10).cast("long") + F.lit(k << width) for k in range(BLOCKS)
-    ))
-    flips = [sum(1 << bit for bit in bits) for n in range(radius // BLOCKS + 1) for bits in combinations(range(width), n)]
-    asked, held = (
-        df.select("fingerprint").where("fingerprint IS NOT NULL").distinct()
-        .select(F.col("fingerprint").alias(name), F.explode(keys).alias("key"))
-        for df, name in ((queries, "query"), (table, "fingerprint"))
-    )
-    near = asked.select("query", F.explode(F.transform(F.lit(flips).cast("array<long>"), lambda f: F.col("key").bitwiseXOR(f))).alias("key"))
+    width, most = BITS // BLOCKS, radius // BLOCKS
+    flips = [sum(1 << bit for bit in bits) for n in range(most + 1) for bits in combinations(range(width), n)]
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        """Each distinct fingerprint under its name, its 32-bit words, and a row for each of its blocks."""
+        words = [f"{name}_{k}" for k in range(BITS // 32)]
+        own = df.select("fingerprint").where("fingerprint IS NOT NULL").distinct()
+        own = own.select(F.col("fingerprint").alias(name), *(w.alias(c) for w, c in zip(_words(F.col("fingerprint")), words)))
+        blocks = [F.shiftright(F.col(words[k // 2]), width * (1 - k % 2)).bitwiseAND((1 << width) - 1) for k in range(BLOCKS)]
+        return own.select("*", F.explode(F.array(*(block + F.lit(k << width) for k, block in enumerate(blocks)))).alias("key"))
+
+    asked, held = keyed(queries, "query"), keyed(table, "fingerprint")
+    near = F.transform(F.lit(flips).cast("array<long>"), lambda f: F.col("key").bitwiseXOR(f))
+    asked = asked.select(*(c for c in asked.columns if c != "key"), F.explode(near).alias("key"))
+    apart = [F.col(f"query_{k}").bitwiseXOR(F.col(f"fingerprint_{k}")) for k in range(BITS // 32)]
+    parts = [F.shiftright(apart[k // 2], width * (1 - k % 2)).bitwiseAND((1 << width) - 1) for k in range(BLOCKS)]
+    # A pair that is near in several blocks is made by the first of them alone.
+    first = F.coalesce(*(F.when(F.bit_count(part) <= most, k) for k, part in enumerate(parts)))
+    bits = sum((F.bit_count(x) for x in apart), F.lit(0))
     # Both sides grow with the table, whatever their size is estimated at.
-    pairs = near.join(held.hint("merge"), "key").withColumn("distance", distance(F.col("query"), F.col("fingerprint")))
-    return pairs.where(F.col("distance") <= radius).select("query", "fingerprint", "distance").distinct()
+    pairs = asked.join(held.hint("merge"), "key").where((bits <= radius) & (F.shiftright("key", width) == first))
+    return pairs.select("query", "fingerprint", bits.alias("distance"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -176,7 +184,9 @@ def compare_with_edits(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
     asked = (F.pmod("doc_id", F.lit(100)) == 0) & F.col("doc_id").isNotNull()
     near = within(rows.where(asked), rows, radius).where("query <> fingerprint").groupBy("query").count()
-    made = rows.join(following, ["next_bucket", "next_at"]).withColumn("query", F.when(asked, F.col("fingerprint")))
+    # Rows that ask nothing have names of their own, which meet nothing and are spread.
+    name = F.when(asked, F.col("fingerprint")).otherwise(F.concat_ws(":", "bucket", "at"))
+    made = rows.join(following, ["next_bucket", "next_at"]).withColumn("query", name)
     made = made.join(near.withColumnRenamed("count", "near"), "query", "left")
     own = F.col("fingerprint")
     return made.select(
