@@ -1,7 +1,8 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a small calibrated network.
 
 Random indexing: each word has a sparse random index vector, and its context vector is the sum of the index vectors of the
-words near it in all texts. Words are hashed into a fixed number of buckets, so the table of vectors has a fixed size.
+words near it in all texts. A word with at least one in `share` of all words has vectors and counts of its own; there are at
+most `share` such words, whatever the size of the input. Rarer ones share `rest` vectors among themselves, by hash.
 A document is the pooled vectors of its words; a two-layer network reads them, and a temperature fitted on labels that it
 has not seen calibrates its probabilities.
 """
@@ -9,8 +10,10 @@ has not seen calibrates its probabilities.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -18,22 +21,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreworks.llm.arrays import pack, total
 from oreworks.llm.common import small_batches, stored
 
 #: A word, or a run of one mark; case is part of a word.
 TOKEN = re.compile(r"[^\W_]+|([^\w\s]|_)\1*")
+FIRST = itemgetter(0)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """buckets: of words. width: of a vector. signs: places of an index vector that are not 0. reach: words on either side.
+    """share, rest: which words have a vector of their own, and how many vectors the others share.
 
+    width: of a vector. signs: places of an index vector that are not 0. reach: words on either side.
     examples: labelled documents that the network is fitted to, drawn by hash (the bound of the sample).
     hidden, rounds, rate, decay: of the network and its training (Adam, in batches of 256).
     """
 
-    buckets: int = 1 << 14
+    share: int = 1 << 17
+    rest: int = 1 << 15
     width: int = 32
     signs: int = 4
     reach: int = 2
@@ -45,78 +50,125 @@ class Settings:
     seed: int = 11
 
 
-class Buckets(dict):
-    """Bucket of a word, remembered up to a limit; then it starts anew."""
+def number_of(word: str) -> int:
+    """A word as a signed 64-bit hash."""
+    found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+    return found - (1 << 64) if found >= 1 << 63 else found
 
-    def __init__(self, buckets: int):
+
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def flushed(held: Counter) -> pd.DataFrame:
+        words = np.fromiter(map(number_of, held), np.int64, len(held))
+        return pd.DataFrame({"word": words, "n": np.fromiter(held.values(), np.int64, len(held))})
+
+    held = Counter()
+    for batch in batches:
+        for text in batch["text"]:
+            held.update(map(FIRST, TOKEN.finditer(text or "")))
+            if len(held) >= 400_000:
+                yield flushed(held)
+                held = Counter()
+    yield flushed(held)
+
+
+def vocabulary(docs: DataFrame, settings: Settings = Settings()) -> np.ndarray:
+    """Hashes of the words that have a vector of their own, in order: those with one in `share` of the words of all texts.
+
+    The driver gets at most `share` numbers.
+    """
+    small_batches(docs.sparkSession)
+    parts = docs.select("text").mapInPandas(_counts, "word long, n long")
+    counts = stored(parts.groupBy("word").agg(F.sum("n").alias("n")))
+    words = counts.agg(F.sum("n")).first()[0] or 0
+    often = counts.where(F.col("n") >= -(-words // settings.share)).select("word").toArrow()
+    return np.sort(often["word"].to_numpy())
+
+
+class Places(dict):
+    """Row of a word in the table of vectors: its own, or one after those. Remembered up to a limit; then it starts anew."""
+
+    def __init__(self, often: np.ndarray, rest: int):
         super().__init__()
-        self.buckets = buckets
+        self.own = {word: place for place, word in enumerate(often.tolist())}
+        self.rest = rest
 
     def __missing__(self, word: str) -> int:
         if len(self) >= 200_000:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) % self.buckets
+        number = number_of(word)
+        place = self.own.get(number, -1)
+        found = self[word] = place if place >= 0 else len(self.own) + number % self.rest
         return found
 
 
-def tokens(text: str | None, buckets: Buckets) -> np.ndarray:
-    found = [buckets[m[0]] for m in TOKEN.finditer(text or "")]
-    return np.array(found, np.int64)
+def tokens(text: str | None, places: Places) -> np.ndarray:
+    return np.fromiter(map(places.__getitem__, map(FIRST, TOKEN.finditer(text or ""))), np.int64)
 
 
-def index_vectors(settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of each bucket's index vector, drawn from a fixed seed."""
+def index_vectors(rows: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of each row's index vector, drawn from a fixed seed."""
     draw = np.random.default_rng(settings.seed)
-    places = draw.random((settings.buckets, settings.width)).argsort(axis=1)[:, : settings.signs]
-    return places, draw.choice([-1.0, 1.0], (settings.buckets, settings.signs))
+    places = draw.random((rows, settings.width), np.float32).argsort(axis=1)[:, : settings.signs]
+    return places, draw.choice([-1, 1], (rows, settings.signs))
 
 
-def _contexts(settings: Settings):
+def _contexts(often: np.ndarray, settings: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places, signs = index_vectors(settings)
-        cells = settings.buckets * settings.width
-        sums, counts = np.zeros(cells, np.int64), np.zeros(settings.buckets, np.int64)
-        buckets, held, size = Buckets(settings.buckets), [], 0
+        rows = len(often) + settings.rest
+        at, signs = index_vectors(rows, settings)
+        sums, counts = np.zeros(rows * settings.width, np.int64), np.zeros(rows, np.int64)
+        places, held, size = Places(often, settings.rest), [], 0
 
         def add() -> None:
             # Texts in a row, kept apart by gaps that are wider than the reach.
             ids = np.concatenate(held)
             real = ids >= 0
-            counts[:] += np.bincount(ids[real], minlength=settings.buckets)
+            counts[:] += np.bincount(ids[real], minlength=rows)
             for shift in range(1, settings.reach + 1):
                 both = real[shift:] & real[:-shift]
                 left, right = ids[:-shift][both], ids[shift:][both]
                 for word, near in ((left, right), (right, left)):
                     for k in range(settings.signs):
-                        at = word * settings.width + places[near, k]
-                        sums[:] += np.bincount(at, signs[near, k], cells).astype(np.int64)
+                        np.add.at(sums, word * settings.width + at[near, k], signs[near, k])
 
         gap = np.full(settings.reach, -1, np.int64)
         for batch in batches:
             for text in batch["text"]:
-                held += [tokens(text, buckets), gap]
+                held += [tokens(text, places), gap]
                 size += len(held[-2])
                 if size >= 1 << 20:
                     add()
                     held, size = [], 0
         if held:
             add()
-        yield pd.DataFrame({"sums": [pack(np.concatenate([sums, counts]))]})
+        seen, table = np.flatnonzero(counts), sums.reshape(rows, -1)
+        for some in np.array_split(seen, len(seen) // 20_000 + 1):
+            columns = {f"s{k}": table[some, k] for k in range(settings.width)}
+            yield pd.DataFrame({"place": some, "n": counts[some], **columns})
 
     return run
 
 
-def word_vectors(docs: DataFrame, settings: Settings = Settings()) -> np.ndarray:
-    """Vectors by bucket, from all texts of `docs` (`text`); rare words weigh more, and their length is at most 1."""
-    small_batches(docs.sparkSession)
-    parts = docs.select("text").mapInPandas(_contexts(settings), "sums binary")
-    found = total(parts, settings.buckets * (settings.width + 1)).astype(np.float64)
-    sums, counts = found[: -settings.buckets].reshape(settings.buckets, -1), found[-settings.buckets :]
+def word_vectors(docs: DataFrame, often: np.ndarray, settings: Settings = Settings()) -> np.ndarray:
+    """A vector for each word in `often`, then the shared ones, from all texts of `docs` (`text`).
+
+    Rare words weigh more, and the length of a vector is at most 1. Sums are added up by word in Spark; the driver gets one
+    row for each vector, at most `share + rest`.
+    """
+    names = ["n", *(f"s{k}" for k in range(settings.width))]
+    layout = ", ".join(f"{name} long" for name in ["place", *names])
+    parts = docs.select("text").mapInPandas(_contexts(often, settings), layout)
+    found = parts.groupBy("place").agg(*(F.sum(name).alias(name) for name in names)).toArrow()
+    rows, place = len(often) + settings.rest, found["place"].to_numpy()
+    counts, vectors = np.zeros(rows), np.zeros((rows, settings.width))
+    counts[place] = found["n"].to_numpy()
+    for k in range(settings.width):
+        vectors[place, k] = found[f"s{k}"].to_numpy()
     # The common direction of all contexts tells nothing about a word.
-    mean = sums.sum(axis=0) / max(1.0, counts.sum())
-    vectors = sums - counts[:, None] * mean[None, :]
+    vectors -= counts[:, None] * (vectors.sum(axis=0) / max(1.0, counts.sum()))[None, :]
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     share = counts / max(1.0, counts.sum())
+    share[len(often) :] = 0  # a shared vector's count is that of many rare words
     weight = 1e-3 / (1e-3 + share)
     return (vectors / np.maximum(length, 1e-12) * weight[:, None]).astype(np.float32)
 
@@ -125,9 +177,9 @@ def features(width: int) -> int:
     return 3 * width + 3
 
 
-def pooled(text: str | None, vectors: np.ndarray, buckets: Buckets) -> np.ndarray:
+def pooled(text: str | None, vectors: np.ndarray, places: Places) -> np.ndarray:
     """Mean, spread and extreme of a text's word vectors, its length and how much it repeats; zeros for no words."""
-    ids = tokens(text, buckets)
+    ids = tokens(text, places)
     if not len(ids):
         return np.zeros(features(vectors.shape[1]), np.float32)
     distinct, counts = np.unique(ids, return_counts=True)
@@ -139,15 +191,15 @@ def pooled(text: str | None, vectors: np.ndarray, buckets: Buckets) -> np.ndarra
     return np.concatenate([mean, spread, each.mean(axis=0), rest]).astype(np.float32)
 
 
-def document_vectors(docs: DataFrame, vectors: np.ndarray, settings: Settings = Settings()) -> DataFrame:
+def document_vectors(docs: DataFrame, often: np.ndarray, vectors: np.ndarray) -> DataFrame:
     """`docs` (any columns and `text`) with `vector` (array of floats) in the text's place."""
     kept = [c for c in docs.columns if c.lower() not in ("text", "vector")]
     fields = [f"`{name}` {kind}" for name, kind in docs.select(*(f"`{c}`" for c in kept)).dtypes]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buckets = Buckets(settings.buckets)
+        places = Places(often, len(vectors) - len(often))
         for batch in batches:
-            yield batch[kept].assign(vector=[pooled(text, vectors, buckets) for text in batch["text"]])
+            yield batch[kept].assign(vector=[pooled(text, vectors, places) for text in batch["text"]])
 
     return docs.select(*(f"`{c}`" for c in kept), "text").mapInPandas(run, ", ".join([*fields, "vector array<float>"]))
 
@@ -265,7 +317,8 @@ def quality(docs: DataFrame, labels: DataFrame, teaches, settings: Settings = Se
     """
     # As text, for pandas would turn a column of integers with NULLs into doubles.
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    vectors = stored(document_vectors(rows, word_vectors(docs, settings), settings))
+    often = vocabulary(docs, settings)
+    vectors = stored(document_vectors(rows, often, word_vectors(docs, often, settings)))
     known = vectors.withColumn("doc_id", F.col("doc_id").cast("long"))
     network = learn(known.where(teaches), labels.where(teaches), settings)
     return score(vectors, network).withColumn("doc_id", F.col("doc_id").cast("long"))

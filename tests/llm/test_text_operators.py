@@ -417,6 +417,42 @@ def test_quality_without_labels_and_with_odd_rows(spark, odd, none):
     assert quality.quality(none, one, teaches).collect() == []
 
 
+def test_word_vectors_match_dense_sums(spark, documents):
+    """Each frequent word against plain loops over all texts; rare words share rows with rare words only."""
+    rng = random.Random(4)
+    texts = [prose(rng, "en", rng.randrange(0, 40)) + f" rare{k}, rare{k}x !!" for k in range(60)] + ["", None, "lone"]
+    docs, settings = documents(texts).repartition(5), quality.Settings(share=200, rest=8)
+    words = [[m[0] for m in quality.TOKEN.finditer(t or "")] for t in texts]
+    counts = Counter(w for text in words for w in text)
+    total = sum(counts.values())
+    often = quality.vocabulary(docs, settings)
+    own = sorted((quality.number_of(w), w) for w, n in counts.items() if n * settings.share >= total)
+    assert often.tolist() == [number for number, _ in own] and 10 < len(own) < len(counts) - 100
+
+    place = {w: at for at, (_, w) in enumerate(own)}
+    rows = len(own) + settings.rest
+    row_of = lambda w: place.get(w, len(own) + quality.number_of(w) % settings.rest)
+    at, signs = quality.index_vectors(rows, settings)
+    sums, seen = np.zeros((rows, settings.width)), np.zeros(rows)
+    for text in words:
+        for i, word in enumerate(text):
+            seen[row_of(word)] += 1
+            for j in range(max(0, i - settings.reach), min(len(text), i + settings.reach + 1)):
+                if j != i:
+                    sums[row_of(word), at[row_of(text[j])]] += signs[row_of(text[j])]
+    centred = sums - seen[:, None] * (sums.sum(axis=0) / total)
+    share = np.where(np.arange(rows) < len(own), seen / total, 0)
+    expected = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12) * (1e-3 / (1e-3 + share))[:, None]
+    np.testing.assert_allclose(quality.word_vectors(docs, often, settings), expected, atol=1e-6)
+
+
+def test_vocabulary_is_bounded_by_the_share(spark, documents):
+    docs = documents([" ".join(f"w{k}" for k in range(500))] * 3)
+    assert len(quality.vocabulary(docs, quality.Settings(share=500))) == 500
+    assert len(quality.vocabulary(docs, quality.Settings(share=499))) == 0
+    assert len(quality.vocabulary(documents(["", None]), quality.Settings())) == 0
+
+
 def test_temperature_calibrates():
     draw = np.random.default_rng(1)
     x = draw.normal(size=(4000, 1))
