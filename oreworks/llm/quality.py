@@ -13,7 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import itemgetter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,9 +23,8 @@ from pyspark.sql import functions as F
 
 from oreworks.llm.common import small_batches, stored
 
-#: A word, or a run of one mark; case is part of a word.
+#: A word, or a run of one mark; case is part of a word. None spans a blank.
 TOKEN = re.compile(r"[^\W_]+|([^\w\s]|_)\1*")
-FIRST = itemgetter(0)
 
 
 @dataclass(frozen=True)
@@ -51,23 +50,31 @@ class Settings:
 
 
 def number_of(word: str) -> int:
-    """A word as a signed 64-bit hash."""
-    found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
-    return found - (1 << 64) if found >= 1 << 63 else found
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+
+
+def words_in(piece: str) -> list[str]:
+    """The words of a piece of text between blanks; most pieces are one."""
+    return [piece] if piece.isalnum() else [match[0] for match in TOKEN.finditer(piece)]
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def flushed(held: Counter) -> pd.DataFrame:
-        words = np.fromiter(map(number_of, held), np.int64, len(held))
-        return pd.DataFrame({"word": words, "n": np.fromiter(held.values(), np.int64, len(held))})
-
-    held = Counter()
+        words = Counter()
+        for piece, n in held.items():
+            for word in words_in(piece):
+                words[word] += n
+        numbers = np.fromiter(map(number_of, words), np.uint64, len(words)).view(np.int64)
+        return pd.DataFrame({"word": numbers, "n": np.fromiter(words.values(), np.int64, len(words))})
+
+    held, size = Counter(), 0
     for batch in batches:
         for text in batch["text"]:
-            held.update(map(FIRST, TOKEN.finditer(text or "")))
-            if len(held) >= 400_000:
+            held.update((text or "").split())
+            size += len(text or "")
+            if len(held) >= 400_000 or size >= 1 << 26:
                 yield flushed(held)
-                held = Counter()
+                held, size = Counter(), 0
     yield flushed(held)
 
 
@@ -81,28 +88,36 @@ def vocabulary(docs: DataFrame, settings: Settings = Settings()) -> np.ndarray:
     counts = stored(parts.groupBy("word").agg(F.sum("n").alias("n")))
     words = counts.agg(F.sum("n")).first()[0] or 0
     often = counts.where(F.col("n") >= -(-words // settings.share)).select("word").toArrow()
-    return np.sort(often["word"].to_numpy())
+    return np.sort(often["word"].to_numpy().view(np.uint64))
 
 
 class Places(dict):
-    """Row of a word in the table of vectors: its own, or one after those. Remembered up to a limit; then it starts anew."""
+    """Rows of the table of vectors by piece of text between blanks: each word's own row, or one after those.
+
+    Short pieces are remembered up to a limit; then it starts anew.
+    """
 
     def __init__(self, often: np.ndarray, rest: int):
         super().__init__()
         self.own = {word: place for place, word in enumerate(often.tolist())}
         self.rest = rest
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
-            self.clear()
+    def place(self, word: str) -> int:
         number = number_of(word)
-        place = self.own.get(number, -1)
-        found = self[word] = place if place >= 0 else len(self.own) + number % self.rest
+        found = self.own.get(number)
+        return len(self.own) + number % self.rest if found is None else found
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = tuple(map(self.place, words_in(piece)))
+        if len(piece) <= 64:
+            if len(self) >= 400_000:
+                self.clear()
+            self[piece] = found
         return found
 
 
 def tokens(text: str | None, places: Places) -> np.ndarray:
-    return np.fromiter(map(places.__getitem__, map(FIRST, TOKEN.finditer(text or ""))), np.int64)
+    return np.fromiter(chain.from_iterable(map(places.__getitem__, (text or "").split())), np.int64)
 
 
 def index_vectors(rows: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:

@@ -420,7 +420,8 @@ def test_quality_without_labels_and_with_odd_rows(spark, odd, none):
 def test_word_vectors_match_dense_sums(spark, documents):
     """Each frequent word against plain loops over all texts; rare words share rows with rare words only."""
     rng = random.Random(4)
-    texts = [prose(rng, "en", rng.randrange(0, 40)) + f" rare{k}, rare{k}x !!" for k in range(60)] + ["", None, "lone"]
+    texts = [prose(rng, "en", rng.randrange(0, 40)) + f" rare{k}, rare{k}x !!" for k in range(60)]
+    texts += ["", None, "lone", "été__ ……!!\x1fthe,of\u3000x—— ½² a_b 漢字", "the" * 40 + "..of"]
     docs, settings = documents(texts).repartition(5), quality.Settings(share=200, rest=8)
     words = [[m[0] for m in quality.TOKEN.finditer(t or "")] for t in texts]
     counts = Counter(w for text in words for w in text)
