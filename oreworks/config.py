@@ -71,6 +71,8 @@ class SourceSpec:
     schema: T.StructType | None = None
     is_sales: bool = False
     priority: int = 0
+    # Path of a field, nested ones as ``items[].price`` -> type that its values owe (``sources.typed.type_report``).
+    types: dict[str, str] = field(default_factory=dict)
 
 
 def default_sources() -> tuple[SourceSpec, ...]:

@@ -89,6 +89,7 @@ DOMAIN = "validade_dominio"
 CONSISTENCY = "consistencia"
 INTEGRITY = "integridade"
 UNIQUENESS = "unicidade"
+TYPING = "tipo"
 CONSERVATION = "conservacao"
 MONITORING = "monitoramento"
 VOLUME = "volume"

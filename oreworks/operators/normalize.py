@@ -12,7 +12,7 @@ from oreworks import contract as C
 from oreworks.functions import columns as X
 
 LINEAGE = ("_source", "_source_file", "_ingestion_ts", "_batch_id", "_data_ref")
-
+RAW = "_raw"
 
 
 def add_lineage(df: DataFrame, source: str, run_id: str, data_ref: str) -> DataFrame:
@@ -38,8 +38,12 @@ def conform(df: DataFrame, fields: Sequence[str] = C.SALES_FIELDS) -> DataFrame:
     return df.withColumns({f: F.lit(None).cast("string") for f in absent}) if absent else df
 
 
-def type_sales(df: DataFrame, keep: Iterable[str] = LINEAGE) -> DataFrame:
-    """One projection to the unified types; text that does not parse becomes NULL."""
+def type_sales(df: DataFrame, keep: Iterable[str] = LINEAGE, raw: bool = False) -> DataFrame:
+    """One projection to the unified types; text that does not parse becomes NULL.
+
+    ``raw`` carries the numbers and dates as they came in the struct ``_raw``, for rules that tell "did not parse" from
+    "missing" and for a quarantine that shows what was sent.
+    """
     upper = {f: F.upper(X.clean_text(f)) for f in ("order_id", "customer_id", "product_id", "shipping_state")}
     lower = {f: F.lower(X.clean_text(f)) for f in ("payment_method", "status")}
     instant = X.lenient_timestamp("order_date")
@@ -55,15 +59,16 @@ def type_sales(df: DataFrame, keep: Iterable[str] = LINEAGE) -> DataFrame:
     return df.select(
         *[typed[f].alias(f) for f in C.SALES_FIELDS],
         instant.alias("order_ts"),
+        *([F.struct(*[F.col(f).cast("string").alias(f) for f in C.NATIVE_FIELDS]).alias(RAW)] if raw else []),
         *[c for c in keep if c in df.columns],
     )
 
 
 def normalize_sales(
-    df: DataFrame, renames: Mapping[str, str] | None = None, keep: Iterable[str] = LINEAGE
+    df: DataFrame, renames: Mapping[str, str] | None = None, keep: Iterable[str] = LINEAGE, raw: bool = False
 ) -> DataFrame:
     """Rename, conform and type one sales source."""
-    return type_sales(conform(rename_fields(df, renames or {})), keep)
+    return type_sales(conform(rename_fields(df, renames or {})), keep, raw)
 
 
 def unite(frames: Iterable[DataFrame]) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from oreworks import contract as C
 from oreworks.config import Domains
 from oreworks.functions import columns as X
+from oreworks.operators.normalize import RAW
 
 KNOWN = "_customer_known"
 FAILED = "_failed"
@@ -46,11 +47,17 @@ def null_guard(inputs: Sequence[str], condition: Column) -> Column:
     return F.when(missing, F.lit(True)).otherwise(condition)
 
 
-def completeness_rules(fields: Sequence[str]) -> list[Rule]:
-    """One rule per field.  Numbers and dates cannot be blank, so only text is trimmed."""
+def completeness_rules(fields: Sequence[str], typed: bool = False) -> list[Rule]:
+    """One rule per field.  Numbers and dates cannot be blank, so only text is trimmed.
+
+    ``typed``: a number or date that came and did not parse is filled in; ``typing_rules`` report it.
+    """
 
     def filled(field: str) -> Column:
-        return F.col(field).isNotNull() if field in C.NATIVE_FIELDS else X.has_value(field)
+        if field not in C.NATIVE_FIELDS:
+            return X.has_value(field)
+        there = F.col(field).isNotNull()
+        return there | X.has_value(f"{RAW}.{field}") if typed else there
 
     return [
         Rule(f"{C.COMPLETENESS}.{f}", C.COMPLETENESS, f"{f} is filled in", (f,), filled(f), guarded=False)
@@ -58,6 +65,20 @@ def completeness_rules(fields: Sequence[str]) -> list[Rule]:
     ]
 
 
+def typing_rules(fields: Sequence[str] = C.NATIVE_FIELDS) -> list[Rule]:
+    """One rule per number or date: what came can be read as its type.
+
+    Needs the values as they came (``normalize.type_sales(raw=True)``).  A missing value passes; completeness reports it.
+    """
+    return [
+        Rule(
+            f"{C.TYPING}.{f}", C.TYPING, f"{f} can be read as its type", (f,),
+            F.col(f).isNotNull() | ~X.has_value(f"{RAW}.{f}"), guarded=False,
+        )
+        for f in fields
+    ]
+
+
 def member_flag(field: str) -> str:
     """Name of the column that says whether a field's value is in the field's set (see ``lookups.flag_members``)."""
     return f"_in_{field}"
@@ -124,10 +145,12 @@ def integrity_rule() -> Rule:
 
 
 def sales_rules(
-    d: Domains, only: Collection[str] | None = None, integrity: bool = True, by_table: Collection[str] = ()
+    d: Domains, only: Collection[str] | None = None, integrity: bool = True, by_table: Collection[str] = (),
+    typed: bool = False,
 ) -> list[Rule]:
-    """The rule set in its fixed order; ``only`` narrows it by name."""
-    rules = [*completeness_rules(d.required), *domain_rules(d, by_table), consistency_rule(d)]
+    """The rule set in its fixed order; ``only`` narrows it by name, ``typed`` adds the typing rules."""
+    typing = typing_rules() if typed else []
+    rules = [*completeness_rules(d.required, typed), *typing, *domain_rules(d, by_table), consistency_rule(d)]
     if integrity:
         rules.append(integrity_rule())
     return [r for r in rules if only is None or r.name in only]

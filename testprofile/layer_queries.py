@@ -11,9 +11,10 @@ from oreworks import contract as C
 from oreworks.config import Settings, SourceSpec, default_sources
 from oreworks.functions import columns as X
 from oreworks.operators import gates, marts, normalize
+from oreworks.operators.rules import completeness_rules, failure_counts, typing_rules, with_reasons
 from oreworks.plans import bronze, gate, run
 from oreworks.sinks import metrics, tables
-from oreworks.sources import checks, readers
+from oreworks.sources import checks, readers, typed
 from oreworks.streaming import arrivals
 from testprofile import oracle as O
 from testprofile import rawfiles as R
@@ -295,6 +296,96 @@ def p4(spark, sf):
     return normalize.type_sales(_sloppy(spark, sf)).withColumn("order_ts", F.date_format("order_ts", AT))
 
 
+def _spoilt(spark, sf):
+    """Sloppy sales where some totals are blank and some dates are missing."""
+    key = F.regexp_extract("product_id", r"(\d+)", 1).cast("int")
+    return _sloppy(spark, sf).withColumns({
+        "total_amount": F.when(key % 17 == 0, F.lit("  ")).otherwise(F.col("total_amount")),
+        "order_date": F.when(key % 19 != 0, F.col("order_date")),
+    })
+
+
+def _typed_rules():
+    return [*completeness_rules(D.required, typed=True), *typing_rules()]
+
+
+# (rule, condition of a good spoilt row), where k is the product's number
+TYPED_CONDITIONS = {
+    **{f"completude.{f}": "true" for f in D.required}, **{f"tipo.{f}": "true" for f in C.NATIVE_FIELDS},
+    "completude.total_amount": "k % 17 <> 0", "completude.order_date": "k % 19 <> 0",
+    "completude.payment_method": "payment_method IS NOT NULL", "completude.shipping_city": "k % 5 <> 0",
+    "tipo.quantity": "k % 7 NOT IN (0, 1)", "tipo.unit_price": "k % 11 <> 0",
+    "tipo.order_date": "k % 13 <> 0 OR k % 19 = 0",
+}
+KEYED = "keyed AS (SELECT *, l_partkey + 1 AS k FROM sales)"
+TYPED_LIST = ", ".join(f"CASE WHEN NOT ({c}) THEN '{n}' END" for n, c in TYPED_CONDITIONS.items())
+
+
+@query("q1_typing_rules", O.with_sales(" UNION ALL ".join(
+    f"SELECT '{n}' AS rule, count(*) FILTER (NOT ({c}))::bigint AS failures FROM keyed" for n, c in TYPED_CONDITIONS.items()
+), KEYED))
+def q1_typing(spark, sf):
+    """Missing values and values that did not parse, counted apart for each field."""
+    return failure_counts(normalize.type_sales(_spoilt(spark, sf), raw=True), _typed_rules())
+
+
+@query("q8_typed_reasons", O.with_sales(f"""
+SELECT upper('o' || order_id) AS order_id, product_id,
+  CASE k % 7 WHEN 0 THEN '3.0' WHEN 1 THEN 'few' ELSE quantity::varchar END AS sent_quantity,
+  CASE WHEN k % 7 NOT IN (0, 1) THEN quantity END AS quantity,
+  array_to_string(list_filter([{TYPED_LIST}], lambda x: x IS NOT NULL), ',') AS reasons
+FROM keyed""", KEYED))
+def q8_typed(spark, sf):
+    """Every row with the quantity as it came, as it was read, and its reasons."""
+    rows = with_reasons(normalize.type_sales(_spoilt(spark, sf), raw=True), _typed_rules())
+    sent = F.col(f"{normalize.RAW}.quantity").alias("sent_quantity")
+    return rows.select("order_id", "product_id", sent, "quantity", F.array_join("_reasons", ",").alias("reasons"))
+
+
+SUBCATEGORIES = "array<struct<subcategory_id:string,subcategory_name:string>>"
+TYPES = {
+    C.SALES_JSON: {"quantity": "int", "unit_price": "double", "total_amount": "double", "order_date": "date", "discount": "double"},
+    C.CATEGORIES: {
+        "categorias[].category_id": "string", "categorias[].subcategories": SUBCATEGORIES,
+        "categorias[].subcategories[].subcategory_id": "int", "categorias[].subcategories[].price": "double",
+    },
+}
+
+
+def _typed_sql():
+    def line(source, path, physical, values, missing="0", unparsed="0", origin=""):
+        known = f"'{physical}'" if physical else "NULL::varchar"
+        return (
+            f"SELECT '{source}' AS source, '{path}' AS field, '{TYPES[source][path]}' AS expected, {known} AS physical, "
+            f"{str(bool(physical)).lower()} AS present, {values}::bigint AS \"values\", {missing}::bigint AS missing, "
+            f"{unparsed}::bigint AS unparsed {origin}"
+        )
+
+    def bad(condition):
+        return f"count(*) FILTER ({condition})"
+
+    sales, item, part = (C.SALES_JSON, "categorias[].subcategories", "FROM part")
+    codes = "count(DISTINCT ceil((p_partkey + 1) / 500))"
+    return O.with_sales(" UNION ALL ".join([
+        line(sales, "quantity", "string", "count(*)", "0", bad("k % 7 IN (0, 1)"), "FROM keyed"),
+        line(sales, "unit_price", "string", "count(*)", "0", bad("k % 11 = 0"), "FROM keyed"),
+        line(sales, "total_amount", "string", "count(*)", bad("k % 17 = 0"), "0", "FROM keyed"),
+        line(sales, "order_date", "string", "count(*)", bad("k % 19 = 0"), bad("k % 13 = 0 AND k % 19 <> 0"), "FROM keyed"),
+        line(sales, "discount", "", "0"),
+        line(C.CATEGORIES, "categorias[].category_id", "string", codes, origin=part),
+        line(C.CATEGORIES, item, SUBCATEGORIES, codes, origin=part),
+        line(C.CATEGORIES, f"{item}[].subcategory_id", "string", "count(DISTINCT p_partkey)", "0", "count(DISTINCT p_partkey)", part),
+        line(C.CATEGORIES, f"{item}[].price", "", "0"),
+    ]), KEYED)
+
+
+@query("s8_typed_contract", _typed_sql())
+def s8_typed(spark, sf):
+    """Declared and physical types, missing values and values that did not parse, nested fields included."""
+    frames = {C.SALES_JSON: _spoilt(spark, sf), C.CATEGORIES: P.nested_categories(spark, sf)}
+    return typed.type_report(frames, [replace(spec, types=TYPES[spec.name]) for spec in (JSON, CATEGORIES)])
+
+
 @query("p5_text_normalize", """
 SELECT c_custkey, nullif(trim(t), '') AS clean, upper(nullif(trim(t), '')) AS upper_case,
   lower(nullif(trim(t), '')) AS lower_case,
