@@ -63,7 +63,7 @@ class SourceSpec:
     """
 
     name: str
-    kind: str  # delimited | records_json | document_json | parquet
+    kind: str  # delimited | records_json | split_records_json | document_json | parquet
     pattern: str
     required: tuple[str, ...]
     renames: dict[str, str] = field(default_factory=dict)

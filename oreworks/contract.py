@@ -106,6 +106,7 @@ RULE_INTEGRITY = "integridade.customer_id"
 RULE_UNIQUENESS = "unicidade.order_id"
 
 CHECK_CONSERVATION = "conservacao_bronze_silver_quarentena"
+CHECK_CONTENT = "conteudo_bronze_silver_quarentena"
 CHECK_COMPLETENESS = "completude_silver"
 CHECK_UNIQUENESS = "unicidade_order_id_silver"
 CHECK_DOMAIN = "validade_dominio_silver"
@@ -218,5 +219,6 @@ STORED_LAYOUTS = {
 # What the checks expect, as text
 # ---------------------------------------------------------------------------
 EXPECT_CONSERVATION = "bronze == silver + quarentena"
+EXPECT_CONTENT = "mesmas linhas em bronze e em silver + quarentena"
 EXPECT_COMPLETENESS = "0 nulos em campos obrigatórios"
 EXPECT_INTEGRITY = "0 vendas com cliente fora do cadastro"

@@ -6,16 +6,20 @@ from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 
+from oreworks import contract as C
 from oreworks.config import Settings, pin_time_zone
-from oreworks.operators import gates
+from oreworks.operators import content, gates, normalize
 from oreworks.plans.gold import MARTS
-from oreworks.plans.silver import bronze_counts
+from oreworks.plans.silver import bronze_counts, bronze_sales
 from oreworks.sinks import metrics, tables
 from oreworks.sources.readers import read_layer
 
 
 def evaluate(spark: SparkSession, settings: Settings, layer: str) -> DataFrame:
-    """The checks of one layer, not yet stored."""
+    """The checks of one layer, not yet stored.
+
+    ``content`` compares Silver and quarantine with Bronze row by row, by digests: one more scan of all three.
+    """
     silver = read_layer(spark, settings, "silver_sales")
     if layer == "silver":
         return gates.silver_gate(
@@ -30,6 +34,9 @@ def evaluate(spark: SparkSession, settings: Settings, layer: str) -> DataFrame:
         return gates.gold_gate(
             silver, *[read_layer(spark, settings, m) for m in MARTS], settings.domains, settings.limits
         )
+    if layer == "content":
+        sides = [silver, read_layer(spark, settings, "quarantine")]
+        return content.content_gate(bronze_sales(spark, settings), sides, (*C.SALES_FIELDS, "order_ts", *normalize.LINEAGE))
     raise ValueError(f"no gate for layer {layer!r}")
 
 

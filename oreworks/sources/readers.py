@@ -11,6 +11,7 @@ from oreworks import contract as C
 from oreworks.config import Settings, SourceSpec
 from oreworks.operators.quarantine import ROW_ID
 from oreworks.sinks.published import published, scan
+from oreworks.sources.pages import read_split_records_json
 
 FILE = "_metadata.file_path"
 
@@ -32,7 +33,7 @@ def read_delimited(spark: SparkSession, path: str, spec: SourceSpec) -> DataFram
 def read_records_json(spark: SparkSession, path: str, spec: SourceSpec, records: str = "data") -> DataFrame:
     """Documents that hold their records in one array; one row per record.
 
-    A multi-line document cannot be split, so one task reads one file.
+    A multi-line document cannot be split, so one task reads one file; ``split_records_json`` splits flat ones.
     """
     pages = _json(spark, path, spec)
     rows = pages.select(F.explode(records).alias("record"), F.col(FILE).alias("_source_file"))
@@ -54,6 +55,7 @@ def read_parquet(spark: SparkSession, path: str, spec: SourceSpec) -> DataFrame:
 READERS = {
     "delimited": read_delimited,
     "records_json": read_records_json,
+    "split_records_json": read_split_records_json,
     "document_json": read_document_json,
     "parquet": read_parquet,
 }

@@ -14,7 +14,7 @@ from oreworks.operators import gates, marts, normalize
 from oreworks.operators.rules import completeness_rules, failure_counts, typing_rules, with_reasons
 from oreworks.plans import bronze, gate, run
 from oreworks.sinks import metrics, tables
-from oreworks.sources import checks, readers, typed
+from oreworks.sources import checks, pages, readers, typed
 from oreworks.streaming import arrivals
 from testprofile import oracle as O
 from testprofile import rawfiles as R
@@ -55,6 +55,26 @@ def s2(spark, sf):
     return readers.read_records_json(spark, f"{path}/*.json", JSON).drop("_source_file")
 
 
+@query("s2_split_json", O.with_sales("""
+SELECT order_id, customer_id, product_id, quantity::bigint AS quantity, unit_price, total_amount,
+  strftime(order_ts, '%Y-%m-%d %H:%M:%S') AS order_date, payment_method, shipping_city, shipping_state, status, true AS by_many_tasks
+FROM sales"""))
+def s2_split(spark, sf):
+    """All sales in one document, which several tasks read."""
+    path = _scratch(spark, "document")
+    rows = R.sales_text(spark, sf)
+    R.write_one_document(rows, path)
+    layout = T.StructType([T.StructField(f.name, T.LongType() if f.name == "quantity" else f.dataType) for f in rows.schema])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        read = readers.READERS["split_records_json"](spark, path, replace(JSON, schema=pages.document_of(layout)))
+        parts = read.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    return read.drop("_source_file").withColumn("by_many_tasks", F.lit(parts > 1))
+
+
 @query("s3_parquet_sales", "SELECT *, true AS from_file FROM lineitem")
 def s3(spark, sf):
     df = readers.read_parquet(spark, f"{sf}/lineitem.parquet", PARQUET)

@@ -58,6 +58,14 @@ def write_pages(df: DataFrame, path: str, rows: int = PAGE_ROWS) -> None:
     pages.write.option("maxRecordsPerFile", 1).json(path)
 
 
+def write_one_document(df: DataFrame, path: str) -> None:
+    """All records in one document, one record a line; written by one task, as such a file is."""
+    record = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    opening = F.when(F.monotonically_increasing_id() == 0, '{"data": [').otherwise(",")
+    listed = df.select(record.alias("value")).coalesce(1).select(F.concat(opening, "value").alias("value"))
+    listed.unionByName(df.sparkSession.createDataFrame([("]}",)], "value string")).coalesce(1).write.text(path)
+
+
 def write_documents(df: DataFrame, path: str) -> None:
     df.write.option("maxRecordsPerFile", 1).json(path)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from oreworks import contract as C
 from oreworks.config import Scale
-from oreworks.operators import gates, lookups, marts, normalize, profile, quarantine
+from oreworks.operators import content, gates, lookups, marts, normalize, profile, quarantine
 from oreworks.operators.rules import completeness_rules, consistency_rule, domain_rules, failure_counts, integrity_rule, sales_rules, with_reasons
 from oreworks.sinks import tables
 from testprofile import oracle as O
@@ -389,3 +389,55 @@ def g16(spark, sf):
     'SELECT "check", status, value, blocking FROM ({checks}) WHERE status = \'FAIL\'', silver_gate_sql("judged"))))
 def l8(spark, sf):
     return gates.failed_checks(g1_g7_unclean(spark, sf)).select("check", "status", "value", "blocking")
+
+
+# Silver with faults that leave the number of rows as it is: in one source a row of many is doubled for each that was
+# lost, in another one an amount changed.
+_FAULTS = f"""
+spoilt AS (
+  SELECT * REPLACE (CASE WHEN _source = 'source_1' AND l_partkey % 97 = 0 THEN total_amount + 1 ELSE total_amount END AS total_amount)
+  FROM valid WHERE NOT (_source = 'source_2' AND l_partkey % 89 = 0)
+  UNION ALL SELECT * FROM valid WHERE _source = 'source_2' AND l_partkey % 89 = 1
+)"""
+
+
+def _content(spark, sf):
+    judged = _stored(spark, sf)
+    silver = quarantine.valid_rows(judged)
+    part = F.col("l_partkey")
+    second = F.col("_source") == "source_2"
+    spoilt = silver.filter(~(second & (part % 89 == 0))).withColumn(
+        "total_amount",
+        F.when((F.col("_source") == "source_1") & (part % 97 == 0), F.col("total_amount") + 1).otherwise(F.col("total_amount")),
+    ).unionByName(silver.filter(second & (part % 89 == 1)))
+    return judged, spoilt, quarantine.quarantined_rows(judged)
+
+
+_CONTENT = (*C.SALES_FIELDS, "l_partkey", "l_suppkey")
+_CONTENT_SQL = ", ".join(("_source", *_CONTENT))
+
+
+@query("g1_by_content", O.with_judged(f"""
+SELECT coalesce(b._source, a._source) AS _source, coalesce(b.n, 0)::bigint AS rows_before, coalesce(a.n, 0)::bigint AS rows_after,
+  coalesce(b._source, a._source) NOT IN (
+    SELECT _source FROM ((SELECT {_CONTENT_SQL} FROM judged EXCEPT ALL (SELECT {_CONTENT_SQL} FROM layers))
+    UNION ALL ((SELECT {_CONTENT_SQL} FROM layers) EXCEPT ALL SELECT {_CONTENT_SQL} FROM judged))) AS same
+FROM (SELECT _source, count(*) AS n FROM judged GROUP BY 1) b
+FULL JOIN (SELECT _source, count(*) AS n FROM layers GROUP BY 1) a USING (_source)""",
+    _FAULTS, f"layers AS (SELECT {_CONTENT_SQL} FROM spoilt UNION ALL SELECT {_CONTENT_SQL} FROM rejected)"))
+def g1_content(spark, sf):
+    judged, spoilt, rejected = _content(spark, sf)
+    return content.differences(judged, [spoilt, rejected], _CONTENT)
+
+
+@query("g1_content_gate", O.with_judged(f"""
+SELECT 'conteudo_bronze_silver_quarentena' AS "check", 'conservacao' AS dimension,
+  CASE WHEN groups = 0 THEN 'PASS' ELSE 'FAIL' END AS status, '{{"groups":' || groups || ',"missing":' || missing || '}}' AS value,
+  'mesmas linhas em bronze e em silver + quarentena' AS expected, true AS blocking
+FROM (SELECT (SELECT count(*) FROM judged) - (SELECT count(*) FROM layers) AS missing, count(DISTINCT _source) AS groups
+  FROM ((SELECT {_CONTENT_SQL} FROM judged EXCEPT ALL (SELECT {_CONTENT_SQL} FROM layers))
+    UNION ALL ((SELECT {_CONTENT_SQL} FROM layers) EXCEPT ALL SELECT {_CONTENT_SQL} FROM judged)))""",
+    _FAULTS, f"layers AS (SELECT {_CONTENT_SQL} FROM spoilt UNION ALL SELECT {_CONTENT_SQL} FROM rejected)"))
+def g1_content_gate(spark, sf):
+    judged, spoilt, rejected = _content(spark, sf)
+    return content.content_gate(judged, [spoilt, rejected], _CONTENT)
