@@ -41,7 +41,7 @@ def save_metrics(rows: DataFrame, settings: Settings) -> None:
 
 def read_metrics(spark: SparkSession, settings: Settings, stage: str | None = None) -> DataFrame:
     """The metrics of one run; when a stage ran again, only its latest figures."""
-    rows = spark.read.schema(SCHEMA).parquet(settings.folder("metrics")).filter(F.col("run_id") == settings.run_id)
+    rows = tables.read(spark, settings.folder("metrics"), SCHEMA).filter(F.col("run_id") == settings.run_id)
     if stage is not None:
         rows = rows.filter(F.col("stage") == stage)
     return latest(rows)

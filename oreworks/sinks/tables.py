@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from oreworks import contract as C
+from oreworks.sinks import appended
 from oreworks.sinks.published import publication, published, remove, scan
 
 
@@ -67,8 +68,8 @@ def read(spark: SparkSession, path: str, layout: str | None = None) -> DataFrame
 
 
 def append(df: DataFrame, path: str) -> None:
-    """Add rows to an append-only table."""
-    df.write.mode("append").parquet(path)
+    """Add rows to an append-only table; many small appends leave few files."""
+    appended.append(df, path)
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from oreworks import contract as C
 from oreworks.config import Settings, SourceSpec
 from oreworks.operators.quarantine import ROW_ID
+from oreworks.sinks import tables
 from oreworks.sinks.published import published, scan
 from oreworks.sources.pages import read_split_records_json
 
@@ -113,8 +114,7 @@ def read_layer(
     layout = C.STORED_LAYOUTS.get(table)
     leaves = published(spark, settings.root).get(table)
     if leaves is None:
-        reader = spark.read.schema(layout) if layout else spark.read
-        df = adopt_names(reader.parquet(settings.folder(table)))
+        df = adopt_names(tables.read(spark, settings.folder(table), layout))
     else:
         df = adopt_names(scan(spark, settings.root, leaves, layout))
     if months is not None:

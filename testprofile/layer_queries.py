@@ -13,7 +13,7 @@ from oreworks.functions import columns as X
 from oreworks.operators import gates, marts, normalize
 from oreworks.operators.rules import completeness_rules, failure_counts, typing_rules, with_reasons
 from oreworks.plans import bronze, gate, run
-from oreworks.sinks import metrics, tables
+from oreworks.sinks import appended, metrics, tables
 from oreworks.sources import checks, pages, readers, typed
 from oreworks.streaming import arrivals
 from testprofile import oracle as O
@@ -246,10 +246,26 @@ def k4(spark, sf):
     rows = gates.check_rows(counted, [check])
     for run_id in ("a", "b"):
         tables.append(tables.publish_names(gates.history_rows(rows, "silver", run_id, "2000-12-31")), path)
-    history = readers.adopt_names(spark.read.parquet(path))
+    history = readers.adopt_names(tables.read(spark, path))
     return history.groupBy("layer", "run_id", "check", "status").agg(F.count("*").alias("entries"))
 
 
+@query("k4_merged_appends", O.with_sales(
+    "SELECT shipping_state, count(*)::bigint AS rows, sum(quantity)::bigint AS quantity, true AS few_files FROM sales GROUP BY 1"))
+def k4_merged(spark, sf):
+    """Sales appended in twenty parts, and merged whenever four folders are alike."""
+    path = _scratch(spark, "appends")
+    part = F.col("l_partkey") % 20
+    rows = tables.stage(P.sales(spark, sf).select("shipping_state", "quantity", part.alias("part")), "parts")
+    for i in range(20):
+        appended.append(rows.filter(F.col("part") == i).drop("part").coalesce(1), path, fan=4)
+    stored = tables.read(spark, path)
+    files = len(stored.inputFiles())
+    return stored.groupBy("shipping_state").agg(
+        F.count("*").alias("rows"), F.sum("quantity").alias("quantity")
+    ).withColumn("few_files", F.lit(files < 10))
+
+
 @query("k5_metrics", O.with_sales(
     "SELECT 'demo' AS stage, 'rows' AS metric, _source AS key, count(*)::varchar AS value FROM sales GROUP BY _source"))
 def k5(spark, sf):

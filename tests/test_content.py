@@ -4,10 +4,17 @@ from collections import Counter
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from oreworks import contract as C
 from oreworks.config import Settings
 from oreworks.operators import content
+from oreworks.plans import gate, silver
+from oreworks.plans.bronze import run_bronze
+from oreworks.sinks import tables
+from oreworks.sinks.published import publication
+from oreworks.sources.readers import read_layer
+from rawfiles import write_raw
 
 LAYOUT = "_source string, a string, b int"
 VALUE = st.tuples(st.sampled_from(["x", "y", None]), st.sampled_from(["", "1", None]), st.sampled_from([0, 1, None]))
@@ -64,3 +71,20 @@ def test_one_narrow_shuffle(spark):
     table = spark.range(1000).selectExpr("'s' AS _source", "id AS a")
     plan = content.differences(table, [table], ("a",))._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan and "Join" not in plan and "Window" not in plan and "Python" not in plan
+
+
+def test_a_run_keeps_its_rows(spark, tmp_path):
+    """The gate over stored layers: passes after a run, fails when a stored row changed though counts did not."""
+    run = Settings(str(tmp_path / "lake"), run_id="content")
+    write_raw(spark, run.root)
+    run_bronze(spark, run)
+    silver.run_silver(spark, run)
+    assert gate.run_gate(spark, run, "content").first()["status"] == "PASS"
+    changed = read_layer(spark, run, "silver_sales").withColumn("quantity", F.expr("quantity + int(order_id = 'J1')"))
+    with publication(spark, run.root) as new:
+        rows = tables.in_layout(changed, "silver_sales").withColumn("_veredito", F.lit("valida")).write
+        new.replace("silver_sales", new.write(rows, C.FOLDERS["silver_sales"], ["_veredito", "ano_mes"]))
+    counts = {r["check"]: r["status"] for r in gate.evaluate(spark, run, "silver").collect()}
+    assert counts[C.CHECK_CONSERVATION] == "PASS"
+    failed = gate.evaluate(spark, run, "content").first()
+    assert (failed["status"], failed["value"]) == ("FAIL", '{"groups":1,"missing":0}')
