@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oreworks.llm.arrays import pack, unpack
 from oreworks.llm.common import small_batches, stored
 
 #: A word, or a run of one mark; case is part of a word. None spans a blank.
@@ -117,7 +118,24 @@ class Places(dict):
 
 
 def tokens(text: str | None, places: Places) -> np.ndarray:
-    return np.fromiter(chain.from_iterable(map(places.__getitem__, (text or "").split())), np.int64)
+    return np.fromiter(chain.from_iterable(map(places.__getitem__, (text or "").split())), np.int32)
+
+
+def numbered(docs: DataFrame, often: np.ndarray, settings: Settings = Settings()) -> DataFrame:
+    """`docs` (any columns and `text`) with `places` in the text's place: the rows of its words in the table of vectors.
+
+    They are packed to a few bits a word, so that a stored copy is much smaller than the texts, which then needn't be
+    read and taken apart again.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("text", "places")]
+    fields = [f"`{name}` {kind}" for name, kind in docs.select(*(f"`{c}`" for c in kept)).dtypes]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places = Places(often, settings.rest)
+        for batch in batches:
+            yield batch[kept].assign(places=[pack(tokens(text, places)) for text in batch["text"]])
+
+    return docs.select(*(f"`{c}`" for c in kept), "text").mapInPandas(run, ", ".join([*fields, "places binary"]))
 
 
 def index_vectors(rows: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -127,16 +145,15 @@ def index_vectors(rows: int, settings: Settings) -> tuple[np.ndarray, np.ndarray
     return places, draw.choice([-1, 1], (rows, settings.signs))
 
 
-def _contexts(often: np.ndarray, settings: Settings):
+def _contexts(rows: int, settings: Settings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = len(often) + settings.rest
         at, signs = index_vectors(rows, settings)
         sums, counts = np.zeros(rows * settings.width, np.int64), np.zeros(rows, np.int64)
-        places, held, size = Places(often, settings.rest), [], 0
+        held, size = [], 0
 
         def add() -> None:
             # Texts in a row, kept apart by gaps that are wider than the reach.
-            ids = np.concatenate(held)
+            ids = np.concatenate(held).astype(np.int64)
             real = ids >= 0
             counts[:] += np.bincount(ids[real], minlength=rows)
             for shift in range(1, settings.reach + 1):
@@ -146,10 +163,10 @@ def _contexts(often: np.ndarray, settings: Settings):
                     for k in range(settings.signs):
                         np.add.at(sums, word * settings.width + at[near, k], signs[near, k])
 
-        gap = np.full(settings.reach, -1, np.int64)
+        gap = np.full(settings.reach, -1, np.int32)
         for batch in batches:
-            for text in batch["text"]:
-                held += [tokens(text, places), gap]
+            for packed in batch["places"]:
+                held += [unpack(packed, np.int32), gap]
                 size += len(held[-2])
                 if size >= 1 << 20:
                     add()
@@ -165,16 +182,22 @@ def _contexts(often: np.ndarray, settings: Settings):
 
 
 def word_vectors(docs: DataFrame, often: np.ndarray, settings: Settings = Settings()) -> np.ndarray:
-    """A vector for each word in `often`, then the shared ones, from all texts of `docs` (`text`).
+    """A vector for each word in `often`, then the shared ones, from all texts of `docs` (`text`)."""
+    return context_vectors(numbered(docs.select("text"), often, settings), often, settings)
+
+
+def context_vectors(docs: DataFrame, often: np.ndarray, settings: Settings = Settings()) -> np.ndarray:
+    """The word vectors of documents whose words are `numbered`.
 
     Rare words weigh more, and the length of a vector is at most 1. Sums are added up by word in Spark; the driver gets one
     row for each vector, at most `share + rest`.
     """
     names = ["n", *(f"s{k}" for k in range(settings.width))]
     layout = ", ".join(f"{name} long" for name in ["place", *names])
-    parts = docs.select("text").mapInPandas(_contexts(often, settings), layout)
+    rows = len(often) + settings.rest
+    parts = docs.select("places").mapInPandas(_contexts(rows, settings), layout)
     found = parts.groupBy("place").agg(*(F.sum(name).alias(name) for name in names)).toArrow()
-    rows, place = len(often) + settings.rest, found["place"].to_numpy()
+    place = found["place"].to_numpy()
     counts, vectors = np.zeros(rows), np.zeros((rows, settings.width))
     counts[place] = found["n"].to_numpy()
     for k in range(settings.width):
@@ -192,9 +215,8 @@ def features(width: int) -> int:
     return 3 * width + 3
 
 
-def pooled(text: str | None, vectors: np.ndarray, places: Places) -> np.ndarray:
-    """Mean, spread and extreme of a text's word vectors, its length and how much it repeats; zeros for no words."""
-    ids = tokens(text, places)
+def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Mean and spread of a text's word vectors, the mean of its distinct words, its length and how much it repeats; zeros for no words."""
     if not len(ids):
         return np.zeros(features(vectors.shape[1]), np.float32)
     distinct, counts = np.unique(ids, return_counts=True)
@@ -206,17 +228,16 @@ def pooled(text: str | None, vectors: np.ndarray, places: Places) -> np.ndarray:
     return np.concatenate([mean, spread, each.mean(axis=0), rest]).astype(np.float32)
 
 
-def document_vectors(docs: DataFrame, often: np.ndarray, vectors: np.ndarray) -> DataFrame:
-    """`docs` (any columns and `text`) with `vector` (array of floats) in the text's place."""
-    kept = [c for c in docs.columns if c.lower() not in ("text", "vector")]
+def document_vectors(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
+    """`numbered` documents (any columns and `places`) with `vector` (array of floats) in the places' place."""
+    kept = [c for c in docs.columns if c.lower() not in ("places", "vector")]
     fields = [f"`{name}` {kind}" for name, kind in docs.select(*(f"`{c}`" for c in kept)).dtypes]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = Places(often, len(vectors) - len(often))
         for batch in batches:
-            yield batch[kept].assign(vector=[pooled(text, vectors, places) for text in batch["text"]])
+            yield batch[kept].assign(vector=[pooled(unpack(packed, np.int32), vectors) for packed in batch["places"]])
 
-    return docs.select(*(f"`{c}`" for c in kept), "text").mapInPandas(run, ", ".join([*fields, "vector array<float>"]))
+    return docs.select(*(f"`{c}`" for c in kept), "places").mapInPandas(run, ", ".join([*fields, "vector array<float>"]))
 
 
 @dataclass
@@ -333,7 +354,8 @@ def quality(docs: DataFrame, labels: DataFrame, teaches, settings: Settings = Se
     # As text, for pandas would turn a column of integers with NULLs into doubles.
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     often = vocabulary(docs, settings)
-    vectors = stored(document_vectors(rows, often, word_vectors(docs, often, settings)))
+    words = stored(numbered(rows, often, settings))
+    vectors = stored(document_vectors(words, context_vectors(words, often, settings)))
     known = vectors.withColumn("doc_id", F.col("doc_id").cast("long"))
     network = learn(known.where(teaches), labels.where(teaches), settings)
     return score(vectors, network).withColumn("doc_id", F.col("doc_id").cast("long"))
