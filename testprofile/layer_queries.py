@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oreworks import contract as C
-from oreworks.config import Settings, SourceSpec, default_sources
+from oreworks.config import Settings, SourceSpec
 from oreworks.functions import columns as X
 from oreworks.operators import gates, marts, normalize
 from oreworks.operators.rules import completeness_rules, failure_counts, typing_rules, with_reasons
@@ -23,7 +23,7 @@ from testprofile.registry import query
 from testprofile.rule_queries import gold_gate_sql, silver_gate_sql
 
 D = P.DOMAINS
-CSV, JSON, PARQUET, CUSTOMERS, CATEGORIES = default_sources()
+CSV, JSON, PARQUET, CUSTOMERS, CATEGORIES = R.SOURCES
 AT = "yyyy-MM-dd HH:mm:ss"
 TEXT = T.StructType([T.StructField(c, T.StringType()) for c in C.CSV_RENAMES])
 
@@ -41,7 +41,7 @@ FROM sales"""))
 def s1(spark, sf):
     path = _scratch(spark, "csv")
     R.write_delimited(R.sales_text(spark, sf), path)
-    df = readers.read_delimited(spark, f"{path}/*.csv", CSV).drop("_source_file")
+    df = readers.read_delimited(spark, f"{path}/{CSV.pattern}", CSV).drop("_source_file")
     return df.withColumns({c: F.col(c).cast("double") for c in ("preco_unit", "valor_total")})
 
 
@@ -52,7 +52,7 @@ FROM sales"""))
 def s2(spark, sf):
     path = _scratch(spark, "pages")
     R.write_pages(R.sales_text(spark, sf), path)
-    return readers.read_records_json(spark, f"{path}/*.json", JSON).drop("_source_file")
+    return readers.read_records_json(spark, f"{path}/{JSON.pattern}", JSON).drop("_source_file")
 
 
 @query("s2_split_json", O.with_sales("""
@@ -530,8 +530,7 @@ def l1_incremental(spark, sf):
     spec = replace(CSV, schema=TEXT)
     path = settings.folder("raw", spec.name)
     for part, run_id in ((0, "first"), (1, "second"), (2, "third")):
-        rows = R.sales_text(spark, sf, part).withColumnsRenamed({new: old for old, new in C.CSV_RENAMES.items()})
-        rows.write.mode("append").option("header", "true").option("sep", ";").option("encoding", "ISO-8859-1").csv(path)
+        R.write_delimited(R.sales_text(spark, sf, part), path, "append")
         arrivals.append_new_files(spark, spec, replace(settings, run_id=run_id))
     stored = readers.read_bronze(spark, settings, spec)
     return stored.groupBy(F.col("situacao").alias("status"), F.col("_batch_id").alias("run_id")).agg(

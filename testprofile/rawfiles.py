@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oreworks import contract as C
-from oreworks.config import Limits, Settings, default_sources
+from oreworks.config import Limits, Settings, SourceSpec, default_sources
 from oreworks.plans.bronze import run_bronze
 from oreworks.plans.increments import run_gold_increment, run_silver_increment
 from oreworks.plans.run import run
-from oreworks.sinks.tables import scratch_path
+from oreworks.sinks.tables import scratch_path, stage
 from oreworks.streaming.arrivals import append_new_files
 from testprofile import tables as P
 
@@ -43,26 +43,49 @@ def sales_text(spark: SparkSession, sf: str, part: int | None = None) -> DataFra
     )
 
 
-def write_delimited(df: DataFrame, path: str) -> None:
+#: Text repeats its field names or values in every row, so it is sent compressed; readers know it by its ending.
+COMPRESSION = "gzip"
+
+
+#: Compressed text as Spark names it; documents are written as lines of text.
+PATTERNS = {C.SALES_CSV: "*.csv.gz", C.SALES_JSON: "*.txt.gz"}
+#: The default sources with both kinds of sales text compressed.
+SOURCES = tuple(replace(s, pattern=PATTERNS.get(s.name, s.pattern)) for s in default_sources())
+
+
+def write_delimited(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     renamed = df.withColumnsRenamed({new: old for old, new in C.CSV_RENAMES.items()})
-    renamed.write.option("header", "true").option("sep", ";").option("encoding", "ISO-8859-1").csv(path)
+    raw = renamed.write.mode(mode).option("header", "true").option("sep", ";").option("encoding", "ISO-8859-1")
+    raw.option("compression", COMPRESSION).csv(path)
 
 
 def write_pages(df: DataFrame, path: str, rows: int = PAGE_ROWS) -> None:
-    """Documents of at most ``rows`` records each, one document per file."""
-    numbered = df.withColumn("_id", F.monotonically_increasing_id())
-    pages = (
-        numbered.groupBy(F.floor(F.col("_id") / rows).alias("page"))
-        .agg(F.collect_list(F.struct(*df.columns)).alias("data"))
+    """Documents of at most ``rows`` records each, one document per file and one record a line.
+
+    Every task writes the records of its partition as they come and begins a new file with each document; no document
+    is gathered in memory.
+    """
+    numbered = stage(df, "page-rows").withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)  # the upper bits number the partition, the others its rows
+    lasts = numbered.groupBy(part.alias("_part")).agg(F.max("_id").alias("_last"))
+    row = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) % rows
+    opening = F.when(row == 0, '{"data": [').otherwise("")
+    closing = F.when((row == rows - 1) | (F.col("_id") == F.col("_last")), "]}").otherwise(",")
+    lines = numbered.join(F.broadcast(lasts), part == F.col("_part")).select(
+        F.concat(opening, F.to_json(F.struct(*df.columns)), closing).alias("value")
     )
-    pages.write.option("maxRecordsPerFile", 1).json(path)
+    lines.write.option("maxRecordsPerFile", rows).option("compression", COMPRESSION).text(path)
 
 
 def write_one_document(df: DataFrame, path: str) -> None:
-    """All records in one document, one record a line; written by one task, as such a file is."""
+    """All records in one document, one record a line; written by one task, as such a file is.
+
+    That task only copies: the rows are made and stored by many tasks, so that it holds none of their joins.
+    """
     record = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
     opening = F.when(F.monotonically_increasing_id() == 0, '{"data": [').otherwise(",")
-    listed = df.select(record.alias("value")).coalesce(1).select(F.concat(opening, "value").alias("value"))
+    rows = stage(df, "document-rows")
+    listed = rows.coalesce(1).select(F.concat(opening, record).alias("value"))
     listed.unionByName(df.sparkSession.createDataFrame([("]}",)], "value string")).coalesce(1).write.text(path)
 
 
@@ -91,7 +114,7 @@ def delivered(spark: SparkSession, sf: str) -> Settings:
         root = scratch_path(spark, "deliveries")
         P.raw_customers(spark, sf).filter("c_acctbal >= 0").drop("c_acctbal").write.parquet(f"{root}/raw/{C.CUSTOMERS}")
         write_documents(P.nested_categories(spark, sf), f"{root}/raw/{C.CATEGORIES}")
-        csv, _, _, *dimensions = default_sources()
+        csv, _, _, *dimensions = SOURCES
         csv = replace(csv, schema=TEXT)
         settings = Settings(
             root, run_id="deliveries", domains=DOMAINS, limits=LIMITS, keep_first_by=KEEP_FIRST_BY, sources=tuple(dimensions)
@@ -100,9 +123,7 @@ def delivered(spark: SparkSession, sf: str) -> Settings:
         settings = replace(settings, sources=(csv, *dimensions))
         for part in DELIVERIES:
             number = F.regexp_extract("product_id", C.PRODUCT_NUMBER_PATTERN, 1).cast("bigint")
-            rows = sales_text(spark, sf).filter(number % 3 == part).withColumnsRenamed({n: o for o, n in C.CSV_RENAMES.items()})
-            raw = rows.write.mode("append").option("header", "true").option("sep", ";").option("encoding", "ISO-8859-1")
-            raw.csv(f"{root}/raw/{C.SALES_CSV}")
+            write_delimited(sales_text(spark, sf).filter(number % 3 == part), f"{root}/raw/{C.SALES_CSV}", "append")
             append_new_files(spark, csv, settings)
             run_silver_increment(spark, settings)
             if part != DELIVERIES[1]:  # Gold meets the last two deliveries at once
@@ -121,7 +142,8 @@ def finished(spark: SparkSession, sf: str) -> Settings:
         root = scratch_path(spark, "lake")
         write_raw(spark, sf, root)
         settings = Settings(
-            root, run_id="profile", data_ref="2000-12-31", domains=DOMAINS, limits=LIMITS, keep_first_by=KEEP_FIRST_BY
+            root, run_id="profile", data_ref="2000-12-31", domains=DOMAINS, limits=LIMITS, keep_first_by=KEEP_FIRST_BY,
+            sources=SOURCES,
         )
         run(spark, settings)
         _DONE[done] = settings
