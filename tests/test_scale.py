@@ -12,6 +12,7 @@ from oreworks.sinks import tables
 from oreworks.sources import readers
 from oreworks.sources.readers import stored_rows
 from testprofile import rawfiles as R
+from testprofile import tables as P
 
 
 def plan(df):
@@ -82,6 +83,47 @@ def test_lines_are_shuffled_once_however_many_customers_there_are(spark):
     assert len(moved) == 6 and sum("c_custkey" in x or "o_custkey" in x for x in moved) == 2
 
 
+def test_stored_verdicts_are_the_lazy_ones_and_move_no_wide_row(spark, sales, registry, tmp_path):
+    kinds = [{}, {"customer_id": "K1"}, {"status": "?"}, {"order_id": None}, {"quantity": None}]
+    rows = sales(*(
+        {"order_id": f"N-{k % 70}", "shipping_city": f"c{k % 9}", "quantity": 3, **kinds[k * k % 7 % 5]} for k in range(400)
+    ))
+    rows.repartition(3).write.parquet(str(tmp_path / "sales"))
+    rows = stored_rows(spark, str(tmp_path / "sales")).withColumn("_source_priority", F.lit(0))
+    rows = rows.unionByName(rows.filter("shipping_city = 'c2'"))  # copies that share an identity
+    rules, few = sales_rules(Domains()), Scale(broadcast_rows=20)
+    lazy = quarantine.judge(rows, registry, rules, ("shipping_city",))
+    kept = quarantine.judge(rows, registry, rules, ("shipping_city",), stage=tables.stage, scale=few)
+    facts = lambda df: sorted(map(str, df.select("_row_id", "shipping_city", "_repeat", "_reasons").collect()))
+    assert facts(kept) == facts(lazy) == facts(
+        quarantine.judge(rows, registry, rules, ("shipping_city",), stage=tables.stage)
+    )
+    assert kept.filter("_repeat").count() > 20 and quarantine.valid_rows(kept).count() > 5
+    assert not [x for x in plan(kept).splitlines() if "Exchange hashpartitioning" in x and "shipping_city" in x]
+
+
+def test_customers_are_flagged_before_the_lines_meet_them(spark):
+    """However many customers there are, the joins move the lines once; what a gate stores moves them no more."""
+    bound, sf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), "/root/testdata/sf0.001"
+    before = quarantine.judge(P.sales(spark, sf), P.registry(spark, sf), sales_rules(P.DOMAINS), P.ORDER)
+    written = []
+
+    def stage(df, name):
+        written.append((name, plan(df)))
+        return tables.stage(df, name)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        judged = P.judged(spark, sf, stage)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    moved = [x for x in dict(written)["checked"].splitlines() if "Exchange hashpartitioning(" in x]
+    assert sum("l_orderkey" in x.split(",")[0] for x in moved) == 1
+    assert not [x for x in moved if "l_partkey" in x and "l_orderkey" not in x.split(",")[0]]
+    columns = ["_row_id", "customer_id", "_customer_known", "_repeat", "_reasons"]
+    assert sorted(map(str, judged.select(columns).collect())) == sorted(map(str, before.select(columns).collect()))
+
+
 def test_pages_are_compressed_whole_documents_that_nothing_gathers(spark, tmp_path, monkeypatch):
     rows = spark.range(2500).select(F.col("id").alias("order_id"), F.when(F.col("id") % 2 == 0, "x").alias("status")).repartition(3)
     monkeypatch.setattr("pyspark.sql.functions.collect_list", None)
