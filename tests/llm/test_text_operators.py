@@ -147,6 +147,40 @@ def test_automaton_merges_compatible_states_only():
     assert fixed.log_likelihood("ab000") > fixed.log_likelihood("ba000") + 5
 
 
+def test_automata_see_every_value(spark):
+    """Counts are those of all values, in one round or, where the driver sees few prefixes, in many."""
+    rng = random.Random(9)
+    values = sorted({"ab" + "".join(rng.choice("01") for _ in range(rng.randrange(8, 14))) for _ in range(2000)})
+    rare = ["zz" + "xy" * 3, "ab.01010101.zzz"]  # one value of its own format each: no draw of some hundred holds both
+    table = spark.createDataFrame([("assign", v) for v in values + rare] + [("hex", "0" * 24)], "kind string, value string")
+    at_once = secrets.Automaton(sorted(values + rare), 0.05)
+    at_once.trim()
+    for nodes in (100_000, 40):
+        found = secrets.infer(table, secrets.Settings(nodes=nodes))
+        assert set(found) == {"assign", "hex"}
+        made = found["assign"]
+        assert sum(s.ends for s in made.states) == len(values) + 2
+        assert sum(n for s in made.states for n in s.counts.values()) == sum(map(len, values + rare))
+        assert all(char in s.next for s in made.states for char in s.counts) and len(made.states) < 60
+        assert made.log_likelihood("ab01010101") > made.log_likelihood("ba01010101") + 5
+        if nodes == 100_000:
+            for text in values[:20] + rare + ["ab0", "q"]:
+                assert abs(made.log_likelihood(text) - at_once.log_likelihood(text)) < 1e-9
+
+
+def test_thresholds_see_every_value(spark):
+    """The share of values that may score lower is taken of all values, by their rank."""
+    rng = random.Random(10)
+    values = sorted({"".join(rng.choice("0123456789abcdef") for _ in range(24)) for _ in range(900)})
+    table = spark.createDataFrame([("hex", v) for v in values], "kind string, value string")
+    automata = secrets.infer(table, secrets.Settings())
+    formats = secrets.Formats({}, {})
+    scores = sorted(automata["hex"].score_apart(v, formats.usual_of(v)) for v in values)
+    for miss in (0.0, 0.02, 0.5, 0.999):
+        least = secrets.thresholds(table, automata, formats, miss)["hex"]
+        assert 0 <= scores[int(miss * len(scores))] - least <= 1.01e-5
+
+
 def test_secrets_stage_masks_and_keeps_every_document(spark, documents, odd, none):
     docs = documents([f"use token = {HEXES[0]} now", "nothing here", None])
     rows = {r["doc_id"]: r for r in corpus_pipeline.without_secrets(spark, docs, "").collect()}
