@@ -28,7 +28,7 @@ def read_split_records_json(spark: SparkSession, path: str, spec: SourceSpec, re
     objects without further objects in them and without braces in their text, and so is what surrounds them.  A first
     pass, which parses nothing, proves that every file opens and closes its list once and that everything between is
     a record; files where that doesn't hold stop the read, cut ones included.  A record that does not parse stops it too.
-    An empty file has no rows.  Compressed files are read whole by one task, as any of Spark's text.
+    An empty file has no rows.  Files compressed by bzip2 are read in parts too, others by one task, as any of Spark's text.
     """
     if spec.schema is None:
         raise ValueError(f"a document that is read in parts needs SourceSpec.schema: {spec.name}")

@@ -14,6 +14,7 @@ from oreworks.operators import gates, marts, normalize
 from oreworks.operators.rules import completeness_rules, failure_counts, typing_rules, with_reasons
 from oreworks.plans import bronze, gate, run
 from oreworks.sinks import appended, metrics, tables
+from oreworks.sinks.published import size_of
 from oreworks.sources import checks, pages, readers, typed
 from oreworks.streaming import arrivals
 from testprofile import oracle as O
@@ -66,7 +67,8 @@ def s2_split(spark, sf):
     R.write_one_document(rows, path)
     layout = T.StructType([T.StructField(f.name, T.LongType() if f.name == "quantity" else f.dataType) for f in rows.schema])
     size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    # Several parts of a small document too; a compressed one is small sooner.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(min(256 * 1024, max(size_of(spark, [path])[1] // 4, 1))))
     try:
         read = readers.READERS["split_records_json"](spark, path, replace(JSON, schema=pages.document_of(layout)))
         parts = read.rdd.getNumPartitions()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bz2
+from collections.abc import Iterator
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,7 @@ from oreworks.config import Limits, Settings, SourceSpec, default_sources
 from oreworks.plans.bronze import run_bronze
 from oreworks.plans.increments import run_gold_increment, run_silver_increment
 from oreworks.plans.run import run
+from oreworks.sinks.published import children, files_of
 from oreworks.sinks.tables import scratch_path, stage
 from oreworks.streaming.arrivals import append_new_files
 from testprofile import tables as P
@@ -77,16 +81,41 @@ def write_pages(df: DataFrame, path: str, rows: int = PAGE_ROWS) -> None:
     lines.write.option("maxRecordsPerFile", rows).option("compression", COMPRESSION).text(path)
 
 
+#: A line break, what comes before all records and between two, and what ends a document, each compressed by itself.
+BREAK, OPENING, COMMA, CLOSING = (bz2.compress(x) for x in (b"\n", b'{"data": [', b",", b"]}"))
+
+
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some records of a document, compressed in small blocks, at which readers can split."""
+    for batch in batches:
+        lines = batch.column(0).to_pylist()
+        if lines:
+            yield pa.record_batch({"part": [bz2.compress("\n,".join(lines).encode(), 1)]})
+
+
 def write_one_document(df: DataFrame, path: str) -> None:
     """All records in one document, one record a line; written by one task, as such a file is.
 
-    That task only copies: the rows are made and stored by many tasks, so that it holds none of their joins.
+    That task only copies: the rows are made, compressed and stored by many tasks, so that it holds none of their joins.
+    The file is compressed by bzip2, which many tasks can read: compressed parts behind one another are the compressed whole.
     """
+    spark = df.sparkSession
     record = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    opening = F.when(F.monotonically_increasing_id() == 0, '{"data": [').otherwise(",")
-    rows = stage(df, "document-rows")
-    listed = rows.coalesce(1).select(F.concat(opening, record).alias("value"))
-    listed.unionByName(df.sparkSession.createDataFrame([("]}",)], "value string")).coalesce(1).write.text(path)
+    parts = stage(df.select(record.alias("record")).mapInArrow(_compressed, "part binary"), "document-rows").coalesce(1)
+    before = F.when(F.monotonically_increasing_id() == 0, F.lit(OPENING)).otherwise(F.lit(COMMA))
+    listed = parts.select(F.concat(before, "part").alias("value"))
+    if listed.isEmpty():
+        listed = spark.createDataFrame([(OPENING,)], "value binary")
+    whole = listed.unionByName(spark.createDataFrame([(CLOSING,)], "value binary")).coalesce(1)
+    # Bytes pass as text; what Spark puts behind every row is a line break, compressed.
+    raw = whole.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1")
+    raw.option("lineSep", BREAK.decode("ISO-8859-1")).text(path)
+    # Readers know compressed text by its ending.
+    files, folder = files_of(spark, path)
+    (written,) = [n for n in children(spark, path) if n.startswith("part-")]
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    if not files.rename(at(folder, written), at(folder, "document.json.bz2")):
+        raise OSError(f"{path}/{written} can't be named")
 
 
 def write_documents(df: DataFrame, path: str) -> None:
